@@ -164,6 +164,8 @@ def drop_unsupported(
 ) -> DataFrame:
     """Merge rows without evidence of a play into the last kept row.
 
+    Scores must be filled in (see ``backfill_static_and_scores``): merged rows
+    then have the kept row's scores, so a change shows against the row before.
     ``backed``: the row's banner holds a call the catalog knows.
     """
     columns = seq.unmark(summaries).columns
