@@ -167,7 +167,7 @@ def align_plays(labels: DataFrame, plays: DataFrame) -> DataFrame:
         found = align_rows(expected, observed)
         return pd.DataFrame(
             {
-                "game_id": [expected["game_id"].iloc[i] for i, _ in found],
+                "game_id": pd.Series([expected["game_id"].iloc[i] for i, _ in found], dtype=object),
                 "expected_number": [int(expected["number"].iloc[i]) for i, _ in found],
                 "play_number": [int(observed["number"].iloc[j]) for _, j in found],
             }
