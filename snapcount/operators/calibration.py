@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from snapcount import constants as C
 from snapcount.functions import text as P
+from snapcount.functions.similarity import normalized
+from snapcount.session import spread
 
 # Rows of the score table kept between recomputed blocks of the traceback.
 BLOCK = 256
@@ -67,12 +69,13 @@ class _PairScores:
     def __init__(self, expected: pd.DataFrame, observed: pd.DataFrame) -> None:
         self.fields = []
         for name, weight in C.ALIGNMENT_WEIGHTS.items():
-            left, right = expected[name], observed[name]
+            left = expected[name].astype(object).where(expected[name].notna(), None).tolist()
+            right = observed[name]
             if name in C.LOOSE_TEXT_FIELDS:
                 codes, texts = pd.factorize(right)
                 cells = {
                     text: np.array([self._close(text, other) for other in texts], dtype=bool)
-                    for text in left.dropna().unique()
+                    for text in set(left) - {None}
                 }
                 self.fields.append((weight, left, codes, cells))
             else:
@@ -80,16 +83,14 @@ class _PairScores:
 
     @staticmethod
     def _close(left: str, right: str) -> bool:
-        from snapcount.functions.similarity import normalized
-
         a, b = normalized(left), normalized(right)
         return a in b or b in a or a.replace(" ", "") == b.replace(" ", "")
 
     def row(self, i: int) -> np.ndarray:
         total, compared = 0.0, 0
         for weight, left, right, cells in self.fields:
-            value = left.iloc[i]
-            if pd.isna(value):
+            value = left[i]
+            if value is None:
                 continue
             if cells is None:
                 seen = ~np.isnan(right)
@@ -175,8 +176,8 @@ def align_plays(labels: DataFrame, plays: DataFrame) -> DataFrame:
 
     game = labels.schema["game_id"].dataType.simpleString()
     return (
-        left.groupBy("game_id")
-        .cogroup(right.groupBy("game_id"))
+        spread(left, "game_id").groupBy("game_id")
+        .cogroup(spread(right, "game_id").groupBy("game_id"))
         .applyInPandas(align, f"game_id {game}, expected_number int, play_number int")
     )
 

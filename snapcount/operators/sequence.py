@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapcount.session import cut
+from snapcount.session import cut, spread
 
 CHUNK = "_chunk"
 BEFORE = (Window.unboundedPreceding, -1)
@@ -351,7 +351,7 @@ def fold(df: DataFrame, seq: Sequence, machine: Machine, out: str) -> DataFrame:
         return result
 
     if seq.width is None:
-        return df.groupBy(*keys).applyInPandas(
+        return spread(df, *keys).groupBy(*keys).applyInPandas(
             lambda rows: keyed(rows, machine.start), schema
         )
 
@@ -379,6 +379,7 @@ def fold(df: DataFrame, seq: Sequence, machine: Machine, out: str) -> DataFrame:
                 state = int(dict(zip(row.froms, row.tos)).get(state, other))
             yield batch[list(keys) + ["chunk_no"]].assign(_state=states)
 
+    df = spread(df, *seq.parts)
     reaches = df.groupBy(*seq.parts).applyInPandas(reached, reach_schema)
     starts = (
         reaches.withColumnRenamed(CHUNK, "chunk_no")
@@ -421,7 +422,7 @@ def walk(
     schema = T.StructType(_key_types(df, tuple(keys)) + T.StructType.fromDDL(out).fields)
     names = schema.fieldNames()
     # Nested values do not sort in pandas, so order is left to Spark.
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, order)
+    ordered = spread(df, *keys).sortWithinPartitions(*keys, order)
     places = [ordered.columns.index(key) for key in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ from snapcount.functions.similarity import IN_ORDER_READS, seq_ratio, text_conse
 from snapcount.operators import sequence as S
 from snapcount.operators.sequence import Sequence
 from snapcount.operators.stabilise import FRAMES
+from snapcount.session import spread
 
 VOTED = {
     "quarter": "int",
@@ -256,7 +257,7 @@ def summarize_spots(spotted: DataFrame, seq: Sequence = FRAMES) -> DataFrame:
             ).alias(name)
             for name, c in calls.items()
         ]
-    counted = count_alike(df, keys, order, VOTED, *more).repartition(*keys)
+    counted = spread(count_alike(df, keys, order, VOTED, *more), *keys)
     rest = counted.groupBy(*keys).agg(
         F.round(F.min("_from")["t"], 3).alias("start_timestamp_seconds"),
         F.round(F.max("_to")["t"], 3).alias("end_timestamp_seconds"),

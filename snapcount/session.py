@@ -35,6 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` before Python work.
+
+    With a given number of partitions, adaptive execution does not merge them:
+    their bytes are few, but each row costs much more than a byte count shows.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers on every executor."""
     root = Path(__file__).resolve().parent
