@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
     """Regex group, null when there is no match."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -27,13 +34,13 @@ def compact_key(value: Column | str) -> Column:
 
 
 def parse_quarter(value: Column | str) -> Column:
-    text = compact_key(value)
-    return (
-        F.when(text.contains("ND"), 2)
+    return _let(
+        compact_key(value),
+        lambda text: F.when(text.contains("ND"), 2)
         .when(text.contains("RD"), 3)
         .when(text.contains("TH"), 4)
         .when(text.contains("ST"), 1)
-        .otherwise(_found(text, "[1-4]").try_cast("int"))
+        .otherwise(_found(text, "[1-4]").try_cast("int")),
     )
 
 
@@ -75,9 +82,11 @@ def parse_down_distance(value: Column | str) -> Column:
 
 
 def parse_special_state(value: Column | str) -> Column:
-    text = normalize_text(value)
-    return F.when(text.contains("KICKOFF"), "kickoff").when(
-        text.rlike(r"\bPAT\b"), "extra_point"
+    return _let(
+        normalize_text(value),
+        lambda text: F.when(text.contains("KICKOFF"), "kickoff").when(
+            text.rlike(r"\bPAT\b"), "extra_point"
+        ),
     )
 
 
@@ -127,21 +136,27 @@ def _formation_word(word: Column) -> Column:
     return F.when(word.isin(*C.UPPERCASE_FORMATION_WORDS), word).otherwise(titled)
 
 
+def _joined_formation(words: Column) -> Column:
+    head = F.get(words, F.lit(0))
+    rest = F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
+    dashed = head.isin(*C.DASHED_FAMILIES) & (F.size(words) > 1)
+    return F.when(dashed, F.concat(head, F.lit(" - "), rest)).otherwise(
+        F.array_join(words, " ")
+    )
+
+
 def canonical_formation(value: Column | str) -> Column:
-    text = normalize_text(value)
+    fixed = normalize_text(value)
     for wrong, right in C.FORMATION_FIXES:
-        text = F.replace(text, F.lit(wrong), F.lit(right))
-    family = _found(text, r"\b(?:" + "|".join(C.FORMATION_FAMILIES) + r")\b.*")
-    kept = F.coalesce(family, F.when(text.contains("Y OFF CLOSE"), text))
-    words = F.transform(F.split(kept, " +"), _formation_word)
-    head = F.get(words, F.lit(0))
-    rest = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), " ")
-    return F.when(kept.isNull(), F.lit(None).cast("string")).otherwise(
-        F.when(
-            head.isin(*C.DASHED_FAMILIES) & (F.size(words) > 1),
-            F.concat(head, F.lit(" - "), rest),
-        ).otherwise(F.array_join(words, " "))
+        fixed = F.replace(fixed, F.lit(wrong), F.lit(right))
+    family = r"\b(?:" + "|".join(C.FORMATION_FAMILIES) + r")\b.*"
+    kept = _let(
+        fixed,
+        lambda text: F.coalesce(
+            _found(text, family), F.when(text.contains("Y OFF CLOSE"), text)
+        ),
     )
+    return _let(F.transform(F.split(kept, " +"), _formation_word), _joined_formation)
 
 
 def previous_play_heading(value: Column | str) -> Column:
@@ -163,19 +178,18 @@ def seconds_clock(value: Column | str) -> Column:
 
 
 def infer_play_type(call: Column | str) -> Column:
-    text = normalize_text(call)
-
-    def mentions(words: tuple[str, ...]) -> Column:
+    def mentions(text: Column, words: tuple[str, ...]) -> Column:
         found = F.lit(False)
         for word in words:
             found = found | text.contains(word)
         return found
 
-    return (
-        F.when(text.contains("PAT"), "extra_point")
+    return _let(
+        normalize_text(call),
+        lambda text: F.when(text.contains("PAT"), "extra_point")
         .when(text.contains("KICK"), "kickoff")
-        .when(mentions(C.RUN_WORDS), "run")
-        .when(mentions(C.PASS_WORDS), "pass")
+        .when(mentions(text, C.RUN_WORDS), "run")
+        .when(mentions(text, C.PASS_WORDS), "pass"),
     )
 
 

@@ -334,6 +334,7 @@ def _key_types(df: DataFrame, names: tuple[str, ...]) -> list[T.StructField]:
 def fold(df: DataFrame, seq: Sequence, machine: Machine, out: str) -> DataFrame:
     """Run ``machine`` over every key; ``out`` is the DDL of its output columns.
 
+    Rows stream past the state in sorted batches, so no key is held whole.
     Chunked: each chunk first reports where every state would end, those small
     maps are composed in order, and then all chunks run with their own start.
     """
@@ -343,17 +344,39 @@ def fold(df: DataFrame, seq: Sequence, machine: Machine, out: str) -> DataFrame:
         _key_types(df, seq.keys) + T.StructType.fromDDL(out).fields
     )
 
-    def keyed(rows: pd.DataFrame, state: int) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        result = machine.run(state, rows)[1]
-        for position, key in enumerate(keys):
-            result.insert(position, key, rows[key].iloc[0])
-        return result
+    names = schema.fieldNames()
+
+    def keyed(key: tuple, result: pd.DataFrame) -> pd.DataFrame:
+        return result.assign(**dict(zip(keys, key)))[names]
+
+    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, machine.start
+        for batch in batches:
+            if batch.empty:
+                continue
+            changed = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+            bounds = [*np.flatnonzero(changed), len(batch)]
+            bounds = bounds if bounds[0] == 0 else [0, *bounds]
+            results = []
+            for low, high in zip(bounds, bounds[1:]):
+                rows = batch.iloc[low:high]
+                key = tuple(rows.iloc[0][name] for name in keys)
+                if key != current:
+                    current, state = key, machine.start
+                state, result = machine.run(state, rows)
+                if len(result):
+                    results.append(keyed(key, result))
+            if results:
+                yield pd.concat(results, ignore_index=True)
 
     if seq.width is None:
-        return spread(df, *keys).groupBy(*keys).applyInPandas(
-            lambda rows: keyed(rows, machine.start), schema
-        )
+        ordered = spread(df, *keys).sortWithinPartitions(*keys, order)
+        return ordered.mapInPandas(streamed, schema)
+
+    def resumed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        key = tuple(rows.iloc[0][name] for name in keys)
+        return keyed(key, machine.run(int(rows["_state"].iloc[0]), rows)[1])
 
     reach_schema = T.StructType(
         _key_types(df, seq.parts)
@@ -397,7 +420,7 @@ def fold(df: DataFrame, seq: Sequence, machine: Machine, out: str) -> DataFrame:
     return (
         df.join(cut(starts), list(seq.parts))
         .groupBy(*seq.parts)
-        .applyInPandas(lambda rows: keyed(rows, int(rows["_state"].iloc[0])), schema)
+        .applyInPandas(resumed, schema)
     )
 
 
