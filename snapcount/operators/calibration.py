@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapcount import constants as C
 from snapcount.functions import text as P
 from snapcount.functions.similarity import normalized
-from snapcount.session import spread
+from snapcount.operators.sequence import Walk, walk
 
 # Rows of the score table kept between recomputed blocks of the traceback.
 BLOCK = 256
@@ -63,23 +62,29 @@ def observed_values(plays: DataFrame) -> dict[str, Column]:
     }
 
 
+Columns = dict[str, list]
+
+
 class _PairScores:
     """Agreement of every expected row with every observed row, row by row."""
 
-    def __init__(self, expected: pd.DataFrame, observed: pd.DataFrame) -> None:
+    def __init__(self, expected: Columns, observed: Columns) -> None:
+        self.size = len(next(iter(observed.values())))
         self.fields = []
         for name, weight in C.ALIGNMENT_WEIGHTS.items():
-            left = expected[name].astype(object).where(expected[name].notna(), None).tolist()
-            right = observed[name]
-            if name in C.LOOSE_TEXT_FIELDS:
-                codes, texts = pd.factorize(right)
-                cells = {
-                    text: np.array([self._close(text, other) for other in texts], dtype=bool)
-                    for text in set(left) - {None}
-                }
-                self.fields.append((weight, left, codes, cells))
-            else:
-                self.fields.append((weight, left, right.to_numpy(dtype=float), None))
+            left, right = expected[name], observed[name]
+            if all(v is None for v in left) or all(v is None for v in right):
+                continue
+            seen = np.array([v is not None for v in right])
+            texts = list(dict.fromkeys(v for v in right if v is not None))
+            place = {text: i for i, text in enumerate(texts)}
+            codes = np.array([place.get(v, 0) for v in right])
+            close = self._close if name in C.LOOSE_TEXT_FIELDS else (lambda a, b: a == b)
+            cells = {
+                value: np.array([close(value, text) for text in texts])[codes]
+                for value in set(left) - {None}
+            }
+            self.fields.append((weight, left, seen, cells))
 
     @staticmethod
     def _close(left: str, right: str) -> bool:
@@ -87,21 +92,11 @@ class _PairScores:
         return a in b or b in a or a.replace(" ", "") == b.replace(" ", "")
 
     def row(self, i: int) -> np.ndarray:
-        total, compared = 0.0, 0
-        for weight, left, right, cells in self.fields:
-            value = left[i]
-            if value is None:
-                continue
-            if cells is None:
-                seen = ~np.isnan(right)
-                same = right == float(value)
-            else:
-                seen = right >= 0
-                same = cells[value][right] if len(cells[value]) else np.zeros(len(right), bool)
-            total = total + np.where(seen, np.where(same, weight, -0.75 * weight), 0.0)
-            compared = compared + seen
-        if isinstance(compared, int):
-            return np.full(len(self.fields[0][2]), C.ALIGNMENT_GAP)
+        total, compared = np.zeros(self.size), np.zeros(self.size, dtype=int)
+        for weight, left, seen, cells in self.fields:
+            if left[i] is not None:
+                total += np.where(seen, np.where(cells[left[i]], weight, -0.75 * weight), 0.0)
+                compared += seen
         return np.where(compared >= 2, total, C.ALIGNMENT_GAP)
 
 
@@ -119,26 +114,27 @@ def _next_scores(prior: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.nd
     return scores, moves
 
 
-def align_rows(expected: pd.DataFrame, observed: pd.DataFrame) -> list[tuple[int, int]]:
+def align_rows(expected: Columns, observed: Columns) -> list[tuple[int, int]]:
     """Best global alignment as (expected position, observed position) pairs.
 
     Score rows are kept once per block and moves are worked out again block by
     block on the way back, so memory is not the full table.
     """
-    if expected.empty or observed.empty:
+    rows, width = (len(next(iter(side.values()))) for side in (expected, observed))
+    if not rows or not width:
         return []
     pairs = _PairScores(expected, observed)
-    scores = C.ALIGNMENT_GAP * np.arange(len(observed) + 1)
+    scores = C.ALIGNMENT_GAP * np.arange(width + 1)
     kept = []
-    for i in range(len(expected)):
+    for i in range(rows):
         if i % BLOCK == 0:
             kept.append(scores)
         scores, _ = _next_scores(scores, pairs.row(i))
-    aligned, j = [], len(observed)
+    aligned, j = [], width
     for block in range(len(kept) - 1, -1, -1):
         first = block * BLOCK
         scores, table = kept[block], []
-        for i in range(first, min(first + BLOCK, len(expected))):
+        for i in range(first, min(first + BLOCK, rows)):
             pair = pairs.row(i)
             scores, moves = _next_scores(scores, pair)
             table.append((pair, moves))
@@ -153,32 +149,49 @@ def align_rows(expected: pd.DataFrame, observed: pd.DataFrame) -> list[tuple[int
     return aligned[::-1]
 
 
+class _Alignment(Walk):
+    """Gathers one game's labels and plays, then aligns them."""
+
+    def __init__(self) -> None:
+        self.sides: tuple[list, list] = ([], [])
+
+    def add(self, row):
+        self.sides[row.played].append(row)
+        return []
+
+    def end(self):
+        columns = [
+            {name: [getattr(r, name) for r in side] for name in C.ALIGNMENT_WEIGHTS}
+            for side in self.sides
+        ]
+        labels, plays = self.sides
+        return [
+            (int(labels[i].number), int(plays[j].number)) for i, j in align_rows(*columns)
+        ]
+
+
 def align_plays(labels: DataFrame, plays: DataFrame) -> DataFrame:
     """(game_id, expected_number, play_number): matched plays, game by game.
 
     An alignment is global, so one game's labels and plays meet in one task.
     """
-    names = list(C.ALIGNMENT_WEIGHTS)
-    left = labels.select("game_id", F.col("play_number").alias("number"), *names)
-    right = plays.select("game_id", F.col("play_number").alias("number"), *names)
-
-    def align(expected: pd.DataFrame, observed: pd.DataFrame) -> pd.DataFrame:
-        expected = expected.sort_values("number", kind="stable")
-        observed = observed.sort_values("number", kind="stable")
-        found = align_rows(expected, observed)
-        return pd.DataFrame(
-            {
-                "game_id": pd.Series([expected["game_id"].iloc[i] for i, _ in found], dtype=object),
-                "expected_number": [int(expected["number"].iloc[i]) for i, _ in found],
-                "play_number": [int(observed["number"].iloc[j]) for _, j in found],
-            }
+    number = F.col("play_number").cast("bigint")
+
+    def side(df: DataFrame, played: int) -> DataFrame:
+        return df.select(
+            "game_id",
+            (F.lit(played).cast("bigint") * (1 << 40) + number).alias("at"),
+            F.lit(played).alias("played"),
+            number.alias("number"),
+            *C.ALIGNMENT_WEIGHTS,
         )
 
-    game = labels.schema["game_id"].dataType.simpleString()
-    return (
-        spread(left, "game_id").groupBy("game_id")
-        .cogroup(spread(right, "game_id").groupBy("game_id"))
-        .applyInPandas(align, f"game_id {game}, expected_number int, play_number int")
+    return walk(
+        side(labels, 0).unionByName(side(plays, 1)),
+        ["game_id"],
+        "at",
+        _Alignment,
+        "expected_number int, play_number int",
     )
 
 

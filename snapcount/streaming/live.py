@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from snapcount.operators import discovery
 from snapcount.operators.catalog import Catalog
@@ -73,59 +73,45 @@ def live_plays(
     )
 
 
-class EndOfGame(StatefulProcessor):
-    """Reports a game once: at its end row, or after a time without frames."""
-
-    def __init__(self, idle_ms: int) -> None:
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("game", "frames bigint, last bigint, ended boolean")
-
-    def handleInputRows(self, key, rows, timerValues):
-        frames, last, ended = self.state.get() if self.state.exists() else (0, -1, False)
-        was_ended = ended
-        for batch in rows:
-            frames += len(batch)
-            last = max(last, int(batch["frame_index"].max()))
-            ended = ended or bool(batch["game_over"].fillna(False).any())
-        self.state.update((frames, last, ended))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if ended and not was_ended:
-            yield self._row(key, frames, last, "end_row")
-        elif not ended:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            self.handle.registerTimer(now + self.idle_ms)
-        else:
-            yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        frames, last, ended = self.state.get()
-        if ended:
-            yield pd.DataFrame()
-            return
-        self.state.update((frames, last, True))
-        yield self._row(key, frames, last, "idle")
-
-    @staticmethod
-    def _row(key, frames, last, reason):
-        return pd.DataFrame(
-            {"game_id": [key[0]], "frames": [frames], "last_frame": [last], "reason": [reason]}
-        )
-
-    def close(self) -> None:
-        pass
+def finished_games(frames: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+    """Each game once: at its end row, or after a time without frames.
 
+    ``frames`` has ``game_id, frame_index, game_over``. The state per game is
+    two numbers and a flag, however long the game is.
+    """
 
-def finished_games(frames: DataFrame, idle_ms: int = 600_000) -> DataFrame:
-    """Games that are over; ``frames`` has ``game_id, frame_index, game_over``."""
-    return frames.groupBy("game_id").transformWithStateInPandas(
-        statefulProcessor=EndOfGame(idle_ms),
-        outputStructType="game_id string, frames bigint, last_frame bigint, reason string",
-        outputMode="append",
-        timeMode="processingTime",
+    def step(
+        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        frames, last, done = state.get if state.exists else (0, -1, False)
+        reason = "idle"
+        if not state.hasTimedOut:
+            over = False
+            for batch in batches:
+                frames += len(batch)
+                last = max(last, int(batch["frame_index"].max()))
+                over = over or bool((batch["game_over"] == True).any())  # noqa: E712
+            reason = "end_row" if over else None
+        report = reason is not None and not done
+        state.update((frames, last, done or report))
+        if report:
+            yield pd.DataFrame(
+                {
+                    "game_id": [key[0]],
+                    "frames": [frames],
+                    "last_frame": [last],
+                    "reason": [reason],
+                }
+            )
+        elif not done:
+            state.setTimeoutDuration(idle_ms)
+
+    return frames.groupBy("game_id").applyInPandasWithState(
+        step,
+        "game_id string, frames bigint, last_frame bigint, reason string",
+        "frames bigint, last bigint, done boolean",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
