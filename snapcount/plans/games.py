@@ -118,7 +118,8 @@ def plays_from_frames(
         frame_seq, summary_seq = _sequences(long, frame_width, summary_width)
         df = _summaries(part, catalog, frame_seq, summary_seq)
         if observations is not None:
-            df = _settle(refine_calls(df, observations, catalog, summary_seq), summary_seq)
+            # The closer look reads the summaries several times.
+            df = cut(refine_calls(cut(df), observations, catalog, summary_seq))
         return pairing.pair_plays(df, catalog, summary_seq)
 
     return by_game_length(frames, work, long_game)

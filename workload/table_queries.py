@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from snapcount import constants as C
 from snapcount.functions import text as P
 from snapcount.operators import calibration, catalog as K, discovery, evidence, readings, reports
+from snapcount.plans import games
 from snapcount.sources import files
 from snapcount.streaming import live
 from workload import bindings as B
@@ -362,6 +363,37 @@ register(
               'p' || page_id as playSlug, cast(page_id % 9 as int) as teamCount from pages where page_id % 3 <> 0""",
 )
 
+_CALL_TEXT = """case e % 4 when 0 then 'RED WIDGET' when 1 then 'RED W1DGET' when 2 then 'blue-bolt' else 'zz' end"""
+_CALLED = B.FRAMES.replace(
+    "cast(null as string) as prev_off_call", f"case when kind = 'click' then {_CALL_TEXT} end as prev_off_call"
+)
+_CALLED_SUMMARIES = B.SUMMARIES.replace(B.FRAMES, _CALLED)
+_LOOKS = f"""select game_id, timestamp_seconds + 0.5 as timestamp_seconds,
+  case event_id % 3 when 0 then 'RED WIDGET' when 1 then 'RED WIDGETS' else 'HOT GEAR' end as off_text,
+  'zz' as def_text, 'PREVIOUS PLAY' as heading, event_id % 3 <> 0 as panel_visible
+  from ({B.FRAMES}) f"""
+register(
+    "refine_calls",
+    lambda spark, sf: evidence.refine_calls(
+        B.bound(spark, sf, _CALLED_SUMMARIES), B.bound(spark, sf, _LOOKS), catalog(spark, sf)
+    ).select(
+        "game_id", "spot", "_prev_off", "_prev_def",
+        F.array_join("_prev_off_evidence", ",").alias("off_evidence"),
+        F.array_join("_banner_heading_evidence", ",").alias("headings"),
+    ),
+)
+
+
+def _plays_with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All plays, their calls read from banners and checked against the catalog."""
+    df = games.plays_from_frames(
+        B.bound(spark, sf_dir, _CALLED), catalog(spark, sf_dir), B.bound(spark, sf_dir, _LOOKS)
+    )
+    return files.play_rows(df)
+
+
+register("published_plays_with_calls", _plays_with_calls)
+
 # Reports --------------------------------------------------------------------
 
 
