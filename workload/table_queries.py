@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from snapcount import constants as C
 from snapcount.functions import text as P
 from snapcount.operators import calibration, catalog as K, discovery, evidence, readings, reports
-from snapcount.plans import games
 from snapcount.sources import files
 from snapcount.streaming import live
 from workload import bindings as B
@@ -383,17 +382,6 @@ register(
     ),
 )
 
-
-def _plays_with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All plays, their calls read from banners and checked against the catalog."""
-    df = games.plays_from_frames(
-        B.bound(spark, sf_dir, _CALLED), catalog(spark, sf_dir), B.bound(spark, sf_dir, _LOOKS)
-    )
-    return files.play_rows(df)
-
-
-register("published_plays_with_calls", _plays_with_calls)
-
 # Reports --------------------------------------------------------------------
 
 
