@@ -238,7 +238,7 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = TREES)
     last_of_score = np.append(np.diff(total[order]) != 0, True)
     enough = np.flatnonzero((share >= PRECISION) & last_of_score)
     if len(enough):
-        model.least = float(total[order][enough[-1]])
+        model.least = max(0.0, float(total[order][enough[-1]]))
     return model
 
 

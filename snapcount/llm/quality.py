@@ -21,6 +21,7 @@ other than the id and the text are carried or left, never read.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ from snapcount.llm.common import add_columns, text_of, texts
 TRAIN_ROWS = 4000
 TRAIN_CHARS = 60_000
 # Characters whose lines are described at once.
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 1_000_000
 
 NEWLINE, SPACE, LOWER, UPPER, DIGIT, STOP, SHOUT, BAR, SYMBOL = range(9)
 
@@ -190,7 +191,7 @@ def fit(documents: list[str], good: np.ndarray, turns: int = 120) -> Chain | Non
     """Fit the chain on whole texts and their labels (1: good)."""
     if len(documents) == 0 or good.min() == good.max():
         return None
-    x, length, lines = line_features(documents)
+    x, length, lines = (np.concatenate(part) for part in zip(*map(line_features, blocks(documents)), strict=True))
     of = np.repeat(np.arange(len(lines)), lines)
     bad_share = 1 - good.mean()
     weight = np.where(good == 1, 0.5 / (1 - bad_share), 0.5 / bad_share)[of] / lines[of] / len(lines)
@@ -243,18 +244,29 @@ def spot(mean: np.ndarray) -> np.ndarray:
     return np.log(mean / (1 - mean))
 
 
+def blocks(documents: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about ``CHARS_AT_ONCE`` characters."""
+    held: list[str] = []
+    size = 0
+    for text in documents:
+        if held and size + len(text) > CHARS_AT_ONCE:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def scores(chain: Chain | None, documents: list[str]) -> np.ndarray:
     """Chance of label 1 of each text."""
     out = np.full(len(documents), 0.5)
     if chain is None:
         return out
     at = 0
-    while at < len(documents):
-        to, held = at, 0
-        while to < len(documents) and (to == at or held + len(documents[to]) <= CHARS_AT_ONCE):
-            held += len(documents[to])
-            to += 1
-        x, length, lines = line_features(documents[at:to])
+    for block in blocks(documents):
+        to = at + len(block)
+        x, length, lines = line_features(block)
         odds = x @ chain.weights
         steps = Steps(lines)
         chance = sigmoid(steps.forward(odds, chain.step) + steps.backward(odds, chain.step))
