@@ -19,11 +19,14 @@ input stay, but those named as a new column are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapcount.llm.common import positions, text_of
+from snapcount.session import cut
 
 BUCKETS = 12
 BUDGET = 16_384
@@ -34,8 +37,8 @@ NEW = ("n_tokens", "bucket", "bound", "batch", "slot", "padding")
 
 def words(text: str = "text") -> Column:
     """Tokens of a text where no other length is given: runs of characters that aren't white space."""
-    trimmed = F.regexp_replace(text_of(text), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")))
+    trimmed = F.btrim(text_of(text), F.lit(" \t\n\x0b\x0c\r"))
+    return F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")) - F.when(trimmed == "", 1).otherwise(0)
 
 
 def grid(length: Column) -> Column:
@@ -80,7 +83,7 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 
 def bounds_of(docs: DataFrame, length: Column, buckets: int = BUCKETS) -> list[int]:
     """Best bounds for all lengths of ``docs``."""
-    rows = docs.select(grid(length).alias("g")).groupBy("g").count().collect()
+    rows = docs.groupBy(length.alias("n")).count().groupBy(grid(F.col("n")).alias("g")).agg(F.sum("count").alias("count")).collect()
     found = sorted((r["g"], r["count"]) for r in rows)
     lengths, counts = (np.array([r[i] for r in found], dtype=np.int64) for i in (0, 1))
     return best_bounds(lengths, counts, buckets)
@@ -92,22 +95,25 @@ def pack(
     buckets: int = BUCKETS,
     budget: int = BUDGET,
     seed: int = SEED,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with n_tokens, bucket, bound, batch, slot and padding.
+    """``docs``, or its columns ``keep``, with n_tokens, bucket, bound, batch, slot and padding.
 
     ``length`` is any token count; words without it. ``batch`` counts from 0 in its bucket.
+    ``keep`` has to hold doc_id.
     """
     length = words() if length is None else length
-    bounds = bounds_of(docs, length, buckets)
-    counted = docs.drop(*[c for c in NEW if c in docs.columns]).withColumn("n_tokens", length.cast("long"))
+    seeded = F.xxhash64(F.lit(seed), F.col("doc_id"), text_of())
+    kept = [c for c in docs.columns if c not in NEW and c != "__hash"]
+    # Counting tokens is most of the work: it is done once, beside the columns the caller keeps.
+    counted = cut(docs.select(*[c for c in kept if c in (keep or kept)], length.cast("long").alias("n_tokens"), seeded.alias("__hash")))
+    bounds = bounds_of(counted, F.col("n_tokens"), buckets)
     top = F.lit(len(bounds) - 1).cast("int")
     upper = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
     bucket = top
     for i in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[i], i).otherwise(bucket)
-    placed = counted.withColumn("bucket", bucket.cast("int")).withColumn(
-        "__hash", F.xxhash64(F.lit(seed), F.col("doc_id"), text_of())
-    )
+    placed = counted.withColumn("bucket", bucket.cast("int"))
     cell = F.shiftrightunsigned(F.col("__hash").bitwiseXOR(F.lit(-(2**63)).cast("long")), 52)
     order = [F.col("__hash"), F.col("doc_id")]
     ranked = positions(placed, order, cell, ["bucket"], position="__at", total="__all")
