@@ -1,5 +1,9 @@
 """DuckDB SQL for the corpus queries that SQL can say."""
 
+from __future__ import annotations
+
+from snapcount.llm import licenses
+
 # CRC-32 by its polynomial, a byte at a time; places by seeded MD5, as the operator takes them.
 SHARDING = """
 with recursive steps(b, k, c) as (
@@ -30,3 +34,37 @@ select doc_id, cast(size as bigint) as size, text_crc32, 'rows' as law, cast((po
        cast(pos - (((pos * 16) // n) * n + 15) // 16 as bigint) as slot, cast(null as int) as grown_shard, source
 from ordered
 """
+
+
+def license_scan(templates=licenses.TEMPLATES) -> str:
+    """Exact containment of every template in every window, without bands."""
+    quoted = ", ".join("('" + "', '".join(x.replace("'", "''") for x in t) + "')" for t in templates)
+    words = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"""
+with templates(template, license, text) as (values {quoted}),
+template_shingles as (
+  select distinct template, array_to_string(w[i + 1 : i + 5], ' ') as s, n from (
+    select template, w, len(w) - 4 as n, unnest(range(0, greatest(len(w) - 4, 0))) as i
+    from (select template, {words.format("text")} as w from templates))
+), sized as (
+  select template, s, (select min(p) from (select cast(pow(2, k) as bigint) as p from range(1, 40) r(k)) where p >= 2 * n) as length,
+         count(*) over (partition by template) as total
+  from template_shingles
+), document_shingles as (
+  select doc_id, cast(i as bigint) as i, array_to_string(w[i + 1 : i + 5], ' ') as s from (
+    select doc_id, w, unnest(range(0, greatest(len(w) - 4, 0))) as i
+    from (select doc_id, {words.format("text")} as w from documents))
+), hits as (
+  select doc_id, i, template, s, length, total,
+         unnest([i // (length // 2), i // (length // 2) - 1]) as k
+  from document_shingles join sized using (s)
+), windows as (
+  select doc_id, template, k, count(distinct s)::double / any_value(total) as containment, min(i) as start_word
+  from hits where k >= 0 group by all
+)
+select doc_id, template, license, min(start_word) as start_word, max(containment) as containment
+from windows join templates using (template) where containment >= 0.8 group by all
+"""
+
+
+LICENSES = license_scan()
