@@ -153,7 +153,11 @@ def dense(hit: np.ndarray, index: Index) -> np.ndarray:
 
 
 def search(code: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
-    """(segment, text position, edits) of verified regions; one for each segment and band."""
+    """(segment, text position, edits) of verified regions; one for each segment and band.
+
+    The position is that of the end of the region less the segment's length, so it is off by at most
+    the edits.
+    """
     hashed = grams(code)
     if not len(hashed):
         return []
@@ -182,14 +186,15 @@ def search(code: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
         chosen = np.flatnonzero([len(index.segments[s]) == m for s in segment])
         e = int(index.edits[segment[chosen[0]]])
         low = band[chosen] * (e + 1) - SEGMENT - e
-        distance = banded(code, low, np.array([index.segments[s] for s in segment[chosen]]), 2 * (e + 1) + 2 * e)
+        distance, lane = banded(code, low, np.array([index.segments[s] for s in segment[chosen]]), 2 * (e + 1) + 2 * e)
         for i in np.flatnonzero(distance <= e):
-            out.append((int(segment[chosen[i]]), max(0, int(low[i]) + e), int(distance[i])))
+            out.append((int(segment[chosen[i]]), int(low[i] + lane[i]), int(distance[i])))
     return out
 
 
-def banded(code: np.ndarray, low: np.ndarray, segments: np.ndarray, width: int) -> np.ndarray:
-    """Edit distance of each segment to the best text region on diagonals ``low`` to ``low + width``."""
+def banded(code: np.ndarray, low: np.ndarray, segments: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edit distance of each segment to the best text region on diagonals ``low`` to ``low + width``,
+    and the diagonal, less ``low``, on which that region ends."""
     lanes = np.arange(width)
     padded = np.concatenate([np.zeros(width + SEGMENT, np.uint32), code, np.zeros(width + 2 * SEGMENT, np.uint32)])
     at = low[:, None] + lanes + width + SEGMENT
@@ -199,7 +204,7 @@ def banded(code: np.ndarray, low: np.ndarray, segments: np.ndarray, width: int)
         here = distance + ~same
         here[:, :-1] = np.minimum(here[:, :-1], distance[:, 1:] + 1)
         distance = np.minimum.accumulate(here - lanes, axis=1) + lanes
-    return distance.min(axis=1)
+    return distance.min(axis=1), distance.argmin(axis=1)
 
 
 def matches(documents: list[str], index: Index | None) -> list[list[dict]]:
@@ -220,10 +225,11 @@ def matches(documents: list[str], index: Index | None) -> list[list[dict]]:
             parts += [codes(text), gap]
             length += len(text) + SEGMENT
         for segment, at, edits in search(np.concatenate(parts), index):
-            i = int(np.searchsorted(starts, at, "right")) - 1
+            # The middle of a region lies in its piece, whatever the edits do to its ends.
+            i = int(np.searchsorted(starts, at + len(index.segments[segment]) // 2, "right")) - 1
             d, offset, _ = pieces[i]
             item = int(index.items[segment])
-            best = (edits, offset + at - starts[i])
+            best = (edits, offset + max(0, at - starts[i]))
             out[d][item] = min(out[d].get(item, best), best)
         pieces.clear()
 
