@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
+from math import floor
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ from pyspark.sql import types as T
 
 from snapcount import constants as C
 
-# Up to this many reads, agreement is summed read by read in list order, so
-# that floating-point ties fall as they would in a plain loop.
-IN_ORDER_READS = 4096
+# Agreement is summed in whole billionths, so that the order and the number of
+# reads cannot change a sum. (A plain loop over floats may break near ties otherwise.)
+UNIT = 1_000_000_000
+TOKEN_BONUS = 3 * UNIT // 2
+LETTER_BONUS = 3 * UNIT // 100
 
 
 @lru_cache(maxsize=1 << 16)
@@ -23,6 +26,10 @@ def ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
+def units(value: float) -> int:
+    return floor(value * UNIT + 0.5)
+
+
 def normalized(text: object) -> str:
     return re.sub(r"[^A-Z0-9]+", " ", str(text).upper()).strip()
 
@@ -40,15 +47,10 @@ def best_supported(reads: Sequence[str | None]) -> str | None:
     for text in texts:
         counts[text] += 1
 
-    def agreement(text: str) -> float:
-        near = {o: ratio(squeezed[text], squeezed[o]) for o in distinct}
-        if len(texts) <= IN_ORDER_READS:
-            total = sum(near[other] for other in texts)
-        else:
-            total = sum(near[other] * n for other, n in counts.items())
-        # The two bonuses are added one after the other: float order matters.
-        tokens = sum(1.5 for word in text.split() if word in C.CONSENSUS_TOKENS)
-        return total + tokens + min(len(text), 24) * 0.03
+    def agreement(text: str) -> int:
+        near = sum(units(ratio(squeezed[text], squeezed[o])) * n for o, n in counts.items())
+        tokens = sum(word in C.CONSENSUS_TOKENS for word in text.split())
+        return near + tokens * TOKEN_BONUS + min(len(text), 24) * LETTER_BONUS
 
     return max(distinct, key=lambda text: (agreement(text), len(text)))
 

@@ -330,7 +330,12 @@ def _match_by_blocks(lookups: DataFrame, catalog: Catalog, side: str) -> DataFra
     names = catalog.names.filter(F.col("side") == side).select(
         "play_name", P.compact_key("play_name").alias("name_key")
     )
-    fnames = formation_names(catalog.plays).withColumnRenamed("formation_key", "fkey")
+    # Only a known formation of the offense narrows the names; a blank one never does.
+    fnames = (
+        formation_names(catalog.plays)
+        .withColumnRenamed("formation_key", "fkey")
+        .filter((F.col("fkey") != "") & F.lit(side == "offense"))
+    )
     inside = lookups.join(fnames.select("fkey"), "fkey", "left_semi")
     outside = lookups.join(fnames.select("fkey"), "fkey", "left_anti")
     pairs_in = inside.join(

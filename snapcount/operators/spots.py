@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapcount import constants as C
 from snapcount.functions import text as P
-from snapcount.functions.similarity import IN_ORDER_READS, seq_ratio, text_consensus
+from snapcount.functions.similarity import (
+    LETTER_BONUS,
+    TOKEN_BONUS,
+    UNIT,
+    seq_ratio,
+    text_consensus,
+)
 from snapcount.operators import sequence as S
 from snapcount.operators.sequence import Sequence
 from snapcount.operators.stabilise import FRAMES
@@ -143,36 +149,22 @@ def consensus_by_key(
 ) -> DataFrame:
     """(keys, text): the best-supported text among each key's ordered reads.
 
-    For keys of any length. Long ones are reduced to their distinct texts with
+    For keys of any length: reads are reduced to their distinct texts with
     counts, and only texts that a length bound cannot rule out are compared
-    with the others.
+    with the others. Sums are whole numbers, as in ``best_supported``.
     """
     reads = reads.filter(F.col(text).isNotNull() & (F.col(text) != ""))
-
-    def short(rows: DataFrame) -> DataFrame:
-        listed = F.sort_array(F.collect_list(F.struct(position, text)))[text]
-        return (
-            rows.groupBy(*keys)
-            .agg(listed.alias("_reads"))
-            .select(*keys, text_consensus("_reads").alias(text))
-        )
-
-    clean = P.normalize_text(text)
     counts = (
-        reads.withColumn("_clean", clean)
+        reads.withColumn("_clean", P.normalize_text(text))
         .filter(F.col("_clean") != "")
         .groupBy(*keys, "_clean")
         .agg(F.count("*").alias("_n"), F.min(position).alias("_at"))
     )
-    long_keys = (
-        counts.groupBy(*keys)
-        .agg(F.sum("_n").alias("_reads"))
-        .filter(F.col("_reads") > IN_ORDER_READS)
-        .select(*keys)
-    )
-    few = short(reads.join(long_keys, keys, "left_anti"))
-    many = _consensus_of_counts(counts.join(long_keys, keys, "left_semi"), keys)
-    return few.unionByName(many.withColumnRenamed("_clean", text))
+    # A key of one text, as most are, needs no comparison.
+    counts = counts.withColumn("_texts", F.count("*").over(Window.partitionBy(*keys)))
+    alone = counts.filter("_texts = 1").select(*keys, F.col("_clean").alias(text))
+    many = _consensus_of_counts(counts.filter("_texts > 1").drop("_texts"), keys)
+    return alone.unionByName(many.withColumnRenamed("_clean", text))
 
 
 def _consensus_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,7 +180,8 @@ def _consensus_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     counts = counts.withColumns(
         {
             "_squeezed": F.replace("_clean", F.lit(" "), F.lit("")),
-            "_bonus": F.size(words) * 1.5 + F.least(F.length("_clean"), F.lit(24)) * 0.03,
+            "_bonus": F.size(words) * F.lit(TOKEN_BONUS).cast("long")
+            + F.least(F.length("_clean"), F.lit(24)) * F.lit(LETTER_BONUS).cast("long"),
         }
     ).withColumn("_len", F.length("_squeezed"))
     lengths = counts.groupBy(*keys, "_len").agg(F.sum("_n").alias("_n"))
@@ -198,7 +191,9 @@ def _consensus_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
         .join(lengths.alias("b"), keys)
         .groupBy(*keys, ours.alias("_len"))
         .agg(
-            F.sum(2 * F.least(ours, theirs) / (ours + theirs) * F.col("b._n")).alias("_most")
+            F.sum(
+                F.ceil(2 * F.least(ours, theirs) / (ours + theirs) * UNIT) * F.col("b._n")
+            ).alias("_most")
         )
     )
 
@@ -208,7 +203,9 @@ def _consensus_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
         )
         return (
             candidates.join(others, keys)
-            .withColumn("_near", seq_ratio("_squeezed", "_other") * F.col("_weight"))
+            .withColumn(
+                "_near", F.floor(seq_ratio("_squeezed", "_other") * UNIT + 0.5) * F.col("_weight")
+            )
             .groupBy(*keys, "_clean", "_at", "_bonus")
             .agg(F.sum("_near").alias("_sum"))
             .withColumn("_score", F.col("_sum") + F.col("_bonus"))
@@ -218,7 +215,7 @@ def _consensus_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
         F.max_by(F.struct("_clean", "_squeezed", "_at", "_bonus"), F.struct("_n", "_bonus")).alias("_top")
     )
     floor = agreement(leader.select(*keys, "_top.*")).select(
-        *keys, (F.col("_score") - 1e-9).alias("_floor")
+        *keys, F.col("_score").alias("_floor")
     )
     candidates = (
         counts.join(bound, [*keys, "_len"])

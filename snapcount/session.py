@@ -14,13 +14,15 @@ BROADCAST_ROWS = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="snapcount-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """The cluster's shared folder. Only a session on one machine may go without a setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="snapcount-checkpoint-")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

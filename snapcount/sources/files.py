@@ -11,6 +11,7 @@ from snapcount import constants as C
 from snapcount import schemas
 from snapcount.operators import pairing, reports
 from snapcount.operators.catalog import Catalog
+from snapcount.session import cut
 
 
 class StateCacheError(RuntimeError):
@@ -231,8 +232,10 @@ def write_games(
     """Reports and play rows; with ``completed`` (a date) also the archives.
 
     Calls are checked first, so nothing is written for plays that claim calls
-    the catalog does not hold.
+    the catalog does not hold. Archives and play rows add up over runs: a run replaces
+    only the files of its own games. Reports are of this run.
     """
+    plays = cut(plays)
     reports.assert_catalog_calls(plays, catalog)
     reports.validation_report(plays, catalog).write.mode("overwrite").json(
         f"{output}/play_call_validation_report"
@@ -241,20 +244,20 @@ def write_games(
         f"{output}/full_game_quality_report"
     )
     rows = play_rows(plays)
-    rows.write.mode("overwrite").partitionBy("game_id").csv(
-        f"{output}/football_play_data", header=True
-    )
+    _replace(rows, f"{output}/football_play_data", "game_id")
     if completed is None:
         return
     files = game_files(plays, completed)
     archived = rows.join(files.select("game_id", "game_file"), "game_id").drop("game_id")
-    archived.write.mode("overwrite").partitionBy("game_file").csv(
-        f"{output}/Game_Data", header=True
-    )
+    _replace(archived, f"{output}/Game_Data", "game_file")
     by_team = rows.join(team_files(files), "game_id").drop("game_id")
-    by_team.write.mode("overwrite").partitionBy("team", "game_file").csv(
-        f"{output}/Team_Data", header=True
-    )
+    _replace(by_team, f"{output}/Team_Data", "team", "game_file")
+
+
+def _replace(rows: DataFrame, path: str, *parts: str) -> None:
+    """Write the partitions that ``rows`` has and leave the others."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*parts).csv(path, header=True)
 
 
 def write_calibration(comparisons: DataFrame, summary: DataFrame, output: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,13 +24,14 @@ def live_plays(
     checkpoint: str,
     lateness: str = "1 hour",
 ) -> StreamingQuery:
-    """Keep ``folder``/plays up to date with a stream of frame states.
+    """Keep the plays under ``folder`` up to date with a stream of frame states.
 
     Later frames change earlier plays, so each batch adds its frames to
-    ``folder``/states and computes the games it touched again. Both tables are
-    partitioned by a bucket of the game; only touched buckets are read, and only
-    touched games' partitions are written. A batch that runs twice writes the
-    same rows again: its frames have the batch id in their path.
+    ``folder``/states and computes the games it touched again, from the buckets of those
+    games only. Plays are versions: a batch writes the plays of its games and, last, the list
+    of its games; ``current_plays`` takes each game from the last batch that lists it. A game
+    whose new plays are fewer, or none, so leaves nothing old behind. A batch that runs twice
+    writes the same rows again: its id is in every path.
     """
     bucket = F.pmod(F.xxhash64("game_id"), F.lit(BUCKETS)).cast("int")
     once = frames
@@ -60,10 +61,9 @@ def live_plays(
             .agg(F.max_by(F.struct(*others), "batch").alias("_s"))
             .select("game_id", "frame_index", "_s.*")
         )
-        plays = plays_from_frames(latest, catalog).withColumn("bucket", bucket)
-        plays.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "bucket", "game_id"
-        ).parquet(f"{folder}/plays")
+        plays = plays_from_frames(latest, catalog)
+        plays.write.mode("overwrite").parquet(f"{folder}/plays/batch={batch_id}")
+        touched.select("game_id").write.mode("overwrite").parquet(f"{folder}/games/batch={batch_id}")
 
     return (
         once.writeStream.foreachBatch(update)
@@ -73,17 +73,33 @@ def live_plays(
     )
 
 
-def finished_games(frames: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def current_plays(spark: SparkSession, folder: str) -> DataFrame:
+    """The plays of every game as of the last batch that had frames of it."""
+    last = (
+        spark.read.parquet(f"{folder}/games")
+        .groupBy("game_id")
+        .agg(F.max("batch").alias("batch"))
+    )
+    return spark.read.parquet(f"{folder}/plays").join(last, ["game_id", "batch"]).drop("batch")
+
+
+def finished_games(
+    frames: DataFrame, idle_ms: int = 600_000, grace_ms: int = 3_600_000
+) -> DataFrame:
     """Each game once: at its end row, or after a time without frames.
 
     ``frames`` has ``game_id, frame_index, game_over``. The state per game is
-    two numbers and a flag, however long the game is.
+    two numbers and a flag, however long the game is. A reported game is remembered
+    for ``grace_ms`` after its last frame, so that late frames don't report it again.
     """
 
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         frames, last, done = state.get if state.exists else (0, -1, False)
+        if done and state.hasTimedOut:
+            state.remove()
+            return
         reason = "idle"
         if not state.hasTimedOut:
             over = False
@@ -103,8 +119,7 @@ def finished_games(frames: DataFrame, idle_ms: int = 600_000) -> DataFrame:
                     "reason": [reason],
                 }
             )
-        elif not done:
-            state.setTimeoutDuration(idle_ms)
+        state.setTimeoutDuration(grace_ms if done or report else idle_ms)
 
     return frames.groupBy("game_id").applyInPandasWithState(
         step,
@@ -146,14 +161,18 @@ def run_to_table(
     df: DataFrame, name: str, checkpoint: str, mode: str = "append",
     start: Callable[[StreamingQuery], None] = lambda query: query.awaitTermination(),
 ) -> DataFrame:
-    """Run a stream over what is there now, into an in-memory table (for tests)."""
-    query = (
-        df.writeStream.format("memory")
-        .queryName(name)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    start(query)
-    return df.sparkSession.table(name)
+    """Run a stream over what is there now into a Parquet table beside ``checkpoint``.
+
+    Rows go from the executors to the table. In complete mode each batch replaces it.
+    """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"mode {mode} has no table as its result")
+    spark, out = df.sparkSession, f"{checkpoint}-rows"
+    spark.createDataFrame([], df.schema).write.mode("ignore").parquet(out)
+    writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    start(writer.trigger(availableNow=True).start())
+    return spark.read.schema(df.schema).parquet(out)

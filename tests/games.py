@@ -1,4 +1,4 @@
-"""Random games for comparing Spark results with the plain loops."""
+"""Random games: noisy frames of an invented match."""
 
 from __future__ import annotations
 

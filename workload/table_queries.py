@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from snapcount import constants as C
 from snapcount.functions import text as P
 from snapcount.operators import calibration, catalog as K, discovery, evidence, readings, reports
+from snapcount.session import checkpoint_dir
 from snapcount.sources import files
 from snapcount.streaming import live
 from workload import bindings as B
@@ -778,7 +779,8 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _as_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    return live.run_to_table(df, name, tempfile.mkdtemp(prefix=f"{name}-"), mode)
+    folder = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return live.run_to_table(df, name, folder, mode)
 
 
 register(
