@@ -1,9 +1,13 @@
+import random
+
 import pytest
 
 from snapcount import schemas
 from snapcount.operators import catalog as K
 from snapcount.operators import evidence, reports
-from snapcount.operators.catalog import Catalog
+from snapcount.functions.similarity import best_supported
+from snapcount.operators.catalog import Catalog, validate_calls
+from snapcount.operators.spots import consensus_by_key
 from pyspark.sql import functions as F
 
 
@@ -127,3 +131,46 @@ def test_audit(spark):
     reports.assert_catalog_calls(
         plays((None, None, "HB STRETCH", "COVER 3 SKY", "run"), (None, None, "PAT Kick", None, "extra_point")), c
     )
+
+
+def test_blank_formations_narrow_nothing_in_either_way(spark):
+    plays = spark.createDataFrame(
+        [
+            ("offense", "HB DIVE", "", ""), ("offense", "ZIG ZAG OUT", None, None),
+            ("offense", "MESH SPOT", "Gun", "Trips TE"), ("defense", "COVER 3 SKY", "Nickel", "Over"),
+        ],
+        "side string, play_name string, formation_family string, formation string",
+    )
+    texts = spark.createDataFrame(
+        [(i, t, f) for i, (t, f) in enumerate(
+            (t, f) for t in ("HB D1VE", "ZIG ZAG 0UT", "MESH SP0T", "COVER 3 SKV", "NOTHING LIKE", "", None)
+            for f in ("", None, "Gun - Trips TE", "Unknown")
+        )],
+        "id long, text string, formation string",
+    )
+    for side in ("offense", "defense"):
+        found = []
+        for small in (True, False):
+            one = Catalog(plays.withColumn("formation_slug", F.lit("f")))
+            one._small = small
+            rows = validate_calls(texts, one, "text", side, "name", "formation").select("id", "name", "name_status")
+            found.append(sorted(map(tuple, rows.collect())))
+        assert found[0] == found[1]
+        names = {n for _, n, _ in found[0]}
+        assert names == ({"HB DIVE", "ZIG ZAG OUT", "MESH SPOT", None} if side == "offense" else {"COVER 3 SKY", None})
+
+
+def test_consensus_of_counts_is_that_of_the_list(spark):
+    rng = random.Random(8)
+    words = ["GUN", "GUM", "TRIPS", "TR1PS", "COVER", "C0VER", "3", "SKY", "SKV", "ZONE"]
+    rows = [
+        (f"k{k}", i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 3))))
+        for k in range(60) for i in range(rng.randint(1, 12))
+    ]
+    reads = spark.createDataFrame(rows, "key string, at long, text string")
+    expected = {}
+    for key, at, text in rows:
+        expected.setdefault(key, []).append(text)
+    expected = {k: best_supported(v) for k, v in expected.items()}
+    found = {r.key: r.text for r in consensus_by_key(reads, ["key"], "at", "text").collect()}
+    assert found == {k: v for k, v in expected.items() if v}
