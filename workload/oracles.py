@@ -481,3 +481,103 @@ def up_to(name: str, last: str) -> str:
 
 def on_summaries(query: str, columns: str) -> str:
     return chain(("summaries", B.SUMMARIES), last=f"select {columns} from ({query})")
+
+
+def _longest(a: str, b: str, alo: str, ahi: str, blo: str, bhi: str) -> str:
+    """Longest common block of two stretches: first in ``a``, then in ``b`` among equals."""
+    return f"""list_max(flatten(list_transform(range({alo}, {ahi}), lambda i: list_transform(range({blo}, {bhi}), lambda j:
+      {{'k': list_max(list_filter(range(0, least({ahi} - i, {bhi} - j) + 1),
+              lambda k: substr({a}, i + 1, k) = substr({b}, j + 1, k))), 'i': -i, 'j': -j}}))))"""
+
+
+def ratios(pairs: str) -> tuple[tuple[str, str], ...]:
+    """Chain steps that end in ``ratios`` (a, b, ratio): twice the letters in common blocks, found
+    longest first and then on both sides of each, over all letters."""
+    whole = _longest("a", "b", "cast(0 as bigint)", "cast(length(a) as bigint)", "cast(0 as bigint)", "cast(length(b) as bigint)")
+    side = _longest("a", "b", "s.alo", "s.ahi", "s.blo", "s.bhi")
+    return (
+        ("pairs", f"select distinct a, b from ({pairs}) where a <> '' and b <> ''"),
+        ("blocks", f"""
+          select a, b, 0::bigint as alo, length(a)::bigint as ahi, 0::bigint as blo, length(b)::bigint as bhi, {whole} as m from pairs
+          union all
+          select a, b, s.alo, s.ahi, s.blo, s.bhi, {side} as m from (
+            select a, b, unnest([{{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j}},
+                                 {{'alo': m.k - m.i, 'ahi': ahi, 'blo': m.k - m.j, 'bhi': bhi}}]) as s
+            from blocks where m.k > 0) where s.ahi > s.alo and s.bhi > s.blo"""),
+        ("ratios", "select a, b, 2.0::double * sum(m.k) / (length(a) + length(b)) as ratio from blocks group by a, b"),
+    )
+
+
+def recursive(*steps: tuple[str, str], last: str) -> str:
+    """As ``chain``; the step ``blocks`` refers to itself and so is not kept as a table."""
+    return chain(*steps, last=last).replace("blocks as materialized (", "blocks as (")
+
+
+def _key(text: str) -> str:
+    return f"regexp_replace(upper({text}), '[^A-Z0-9]', '', 'g')"
+
+
+def checked(calls: str, side: str = "offense") -> tuple[tuple[str, str], ...]:
+    """Chain steps that end in ``checked``: ``calls`` (text, formation) with the catalog name and its status."""
+    formed = "1 = 1" if side == "offense" else "1 = 0"
+    return (
+        ("catalog", B.CATALOG),
+        ("calls", f"""select *, case when text <> '' then {_key('text')} end as c,
+                             case when formation <> '' and {formed} then {_key('formation')} end as f from ({calls})"""),
+        ("names", f"select distinct play_name, {_key('play_name')} as n from catalog where side = '{side}'"),
+        ("exact", "select n, min(play_name) as exact_name from names group by n having count(*) = 1"),
+        ("formed", f"""select distinct {_key("coalesce(formation_family, '') || coalesce(formation, '')")} as f, play_name,
+                              {_key('play_name')} as n from catalog where side = 'offense'"""),
+        ("open", "select distinct c, f from calls where c not in (select n from exact) and length(c) >= 3"),
+        ("candidates", """
+          select o.c, o.f, x.play_name, x.n from open o join formed x on o.f = x.f and o.f <> ''
+          union all
+          select o.c, o.f, x.play_name, x.n from open o, names x
+          where o.f is null or o.f = '' or o.f not in (select f from formed)"""),
+        *ratios("select c as a, n as b from candidates"),
+        ("ranked", """
+          select c, f, play_name, ratio, row_number() over w as r, coalesce(lead(ratio) over w, 0) as following
+          from candidates join ratios on c = a and n = b
+          window w as (partition by c, f order by ratio desc, play_name desc)"""),
+        ("fuzzy", f"""select * from ranked where r = 1 and (ratio >= {C.FUZZY_ACCEPT}::double
+          or (ratio >= {C.FUZZY_ACCEPT_WITH_MARGIN}::double and ratio - following >= {C.FUZZY_MARGIN}::double))"""),
+        ("checked", """
+          select calls.*, coalesce(upper(exact_name), upper(fuzzy.play_name)) as name,
+                 case when text is null or text = '' then 'unreadable' when exact_name is not null then 'verified'
+                      when fuzzy.play_name is not null then 'verified_fuzzy' else 'unverified' end as name_status
+          from calls left join exact on calls.c = exact.n
+          left join fuzzy on calls.c = fuzzy.c and calls.f is not distinct from fuzzy.f and exact_name is null"""),
+    )
+
+
+CHECKED_CALLS = recursive(*checked(B.CALLS), last="select call_id, text, name, name_status from checked")
+
+CANDIDATES = recursive(
+    *checked(f"""select cast(call_id % 50 as varchar) as game_id, call_id % 7 as spot, call_id as pos, text,
+                        cast(null as varchar) as formation from ({B.CALLS})"""),
+    ("supported", """
+      select game_id, spot, name, count(*) as n, bool_or(name_status = 'verified') as exact,
+             count(distinct c) as spellings, min(pos) as first
+      from checked where name is not null group by game_id, spot, name"""),
+    last="""select game_id, spot, case when n >= 2 and (exact or spellings >= 2) then name end as voted from supported
+      qualify row_number() over (partition by game_id, spot order by n desc, first) = 1""",
+)
+
+CONSENSUS = recursive(
+    ("calls", B.CALLS),
+    ("counted", f"""
+      select cast(call_id % 50 as varchar) as game_id, call_id % 7 as spot,
+             trim(regexp_replace(upper(text), '[^A-Z0-9]+', ' ', 'g')) as clean, count(*) as n, min(call_id) as first
+      from calls where text <> '' group by all having clean <> ''"""),
+    ("squeezed", "select *, replace(clean, ' ', '') as s from counted"),
+    *ratios("select x.s as a, y.s as b from squeezed x join squeezed y using (game_id, spot)"),
+    ("scored", f"""
+      select x.game_id, x.spot, x.clean, x.first,
+             sum(cast(floor(ratio * 1000000000 + 0.5::double) as bigint) * y.n)
+             + len(list_filter(string_split(x.clean, ' '), lambda w: list_contains({list(C.CONSENSUS_TOKENS)}, w))) * 1500000000
+             + least(length(x.clean), 24) * 30000000 as score
+      from squeezed x join squeezed y using (game_id, spot) join ratios on a = x.s and b = y.s
+      group by x.game_id, x.spot, x.clean, x.first"""),
+    last="""select game_id, spot, clean as text from scored
+      qualify row_number() over (partition by game_id, spot order by score desc, length(clean) desc, first) = 1""",
+)

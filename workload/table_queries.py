@@ -289,6 +289,7 @@ register(
     lambda spark, sf: K.validate_calls(
         B.bound(spark, sf, B.CALLS), catalog(spark, sf), "text", "offense", "name", "formation"
     ).select("call_id", "text", "name", "name_status"),
+    O.CHECKED_CALLS,
 )
 
 
@@ -301,7 +302,7 @@ def _by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("call_id", "text", "name", "name_status")
 
 
-register("validate_calls_by_blocks", _by_blocks)
+register("validate_calls_by_blocks", _by_blocks, O.CHECKED_CALLS)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,10 +316,12 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(
     "candidate_consensus",
     lambda spark, sf: evidence.candidate_consensus(_candidates(spark, sf), catalog(spark, sf), "offense"),
+    O.CANDIDATES,
 )
 register(
     "text_consensus",
     lambda spark, sf: _consensus(spark, sf),
+    O.CONSENSUS,
 )
 
 
