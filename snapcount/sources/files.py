@@ -181,8 +181,12 @@ def write_play_records(plays: DataFrame, path: str) -> None:
 
 
 def play_rows(plays: DataFrame) -> DataFrame:
-    """The 59 published columns, lists as JSON, anchored plays numbered anew."""
-    kept = pairing.renumber_anchored(plays)
+    """The 59 published columns, lists as JSON, anchored plays numbered anew.
+
+    The plays are written first: a filter on calls would be pushed into the
+    expressions that make them, which then grow beyond what can be planned.
+    """
+    kept = pairing.renumber_anchored(cut(plays))
     types = dict(kept.dtypes)
 
     def published(name: str) -> Column:
