@@ -190,3 +190,23 @@ def test_finished_games_are_reported_once(spark, tmp_path):
         live.finished_games(stream), "finished", str(tmp_path / "cp"), start=stop_at_first_row
     )
     assert [tuple(r) for r in table.collect()] == [("a", 2, 1, "end_row")]
+
+
+def test_archives_of_earlier_runs_stay(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for seed in (3, 4):
+        plays = plays_from_frames(games.frames(spark, [games.game(seed)]), no_catalog(spark))
+        files.write_games(plays, no_catalog(spark), out, f"2026-08-{seed:02d}")
+    rows = spark.read.option("header", True).csv(f"{out}/football_play_data")
+    assert {r.game_id for r in rows.select("game_id").distinct().collect()} == {"g3", "g4"}
+    archived = spark.read.option("header", True).csv(f"{out}/Game_Data")
+    assert archived.select("game_file").distinct().count() == 2
+
+
+def test_a_game_whose_plays_go_leaves_none_behind(spark, tmp_path):
+    folder = str(tmp_path)
+    for batch, rows in enumerate([[("a", 1), ("b", 1)], []]):
+        spark.createDataFrame(rows, "game_id string, play_number int").write.parquet(f"{folder}/plays/batch={batch}")
+    for batch, names in enumerate([["a", "b"], ["a"]]):
+        spark.createDataFrame([(n,) for n in names], "game_id string").write.parquet(f"{folder}/games/batch={batch}")
+    assert [r.game_id for r in live.current_plays(spark, folder).collect()] == ["b"]
