@@ -53,13 +53,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER_LEFT_OUT = frozenset("article body html main".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 BOILERPLATE = (
-    "ad ads advert advertisement adverts author-box banner breadcrumb breadcrumbs byline comment comments consent "
-    "cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
-    "overlay pager pagination popup promo promotion recommended related replies respond share sharing sidebar signup "
-    "skip social sponsor sponsored subscribe tags toolbar widget"
+    "ad ads adsbygoogle advert advertisement advertising adverts banner breadcrumb breadcrumbs comment commentlist "
+    "comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation "
+    "newsletter notice overlay pager pagination popup promo promotion recommended related replies respond share "
+    "sharing sidebar sidenav signup skip social sponsor sponsored subnav subscribe toolbar topbar topnav widget"
 ).split()
-NOT_ARTICLE = re.compile(rf"^(?:{'|'.join(BOILERPLATE)})(?:$|[-_])|[-_](?:{'|'.join(BOILERPLATE)})$")
-WHOLE = re.compile(r"(?:^|[-_])(?:has|with|no|without)[-_]|(?:^|[-_])(?:article|content|main)(?:$|[-_])")
+NOT_ARTICLE = re.compile(rf"^(?:{'|'.join(BOILERPLATE)})(?:$|[-_\d])|[-_](?:{'|'.join(BOILERPLATE)})\d*$")
+WHOLE = re.compile(r"(?:^|[-_])(?:has|with|no|without)[-_]")
 SEMANTIC = 1.4
 FADE = 0.75
 # Share of a page's best score from which on a container gets a vote.
