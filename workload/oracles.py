@@ -563,21 +563,88 @@ CANDIDATES = recursive(
       qualify row_number() over (partition by game_id, spot order by n desc, first) = 1""",
 )
 
-CONSENSUS = recursive(
-    ("calls", B.CALLS),
-    ("counted", f"""
-      select cast(call_id % 50 as varchar) as game_id, call_id % 7 as spot,
-             trim(regexp_replace(upper(text), '[^A-Z0-9]+', ' ', 'g')) as clean, count(*) as n, min(call_id) as first
-      from calls where text <> '' group by all having clean <> ''"""),
-    ("squeezed", "select *, replace(clean, ' ', '') as s from counted"),
-    *ratios("select x.s as a, y.s as b from squeezed x join squeezed y using (game_id, spot)"),
-    ("scored", f"""
-      select x.game_id, x.spot, x.clean, x.first,
-             sum(cast(floor(ratio * 1000000000 + 0.5::double) as bigint) * y.n)
-             + len(list_filter(string_split(x.clean, ' '), lambda w: list_contains({list(C.CONSENSUS_TOKENS)}, w))) * 1500000000
-             + least(length(x.clean), 24) * 30000000 as score
-      from squeezed x join squeezed y using (game_id, spot) join ratios on a = x.s and b = y.s
-      group by x.game_id, x.spot, x.clean, x.first"""),
-    last="""select game_id, spot, clean as text from scored
-      qualify row_number() over (partition by game_id, spot order by score desc, length(clean) desc, first) = 1""",
+def consensus(reads: str) -> str:
+    """(game_id, spot, text): the best-supported text of ``reads`` (game_id, spot, pos, text)."""
+    return recursive(
+        ("counted", f"""
+          select game_id, spot, trim(regexp_replace(upper(text), '[^A-Z0-9]+', ' ', 'g')) as clean,
+                 count(*) as n, min(pos) as first
+          from ({reads}) where text <> '' group by all having clean <> ''"""),
+        ("squeezed", "select *, replace(clean, ' ', '') as s from counted"),
+        *ratios("select x.s as a, y.s as b from squeezed x join squeezed y using (game_id, spot)"),
+        ("scored", f"""
+          select x.game_id, x.spot, x.clean, x.first,
+                 sum(cast(floor(ratio * 1000000000 + 0.5::double) as bigint) * y.n)
+                 + len(list_filter(string_split(x.clean, ' '), lambda w: list_contains({list(C.CONSENSUS_TOKENS)}, w))) * 1500000000
+                 + least(length(x.clean), 24) * 30000000 as score
+          from squeezed x join squeezed y using (game_id, spot) join ratios on a = x.s and b = y.s
+          group by x.game_id, x.spot, x.clean, x.first"""),
+        last="""select game_id, spot, clean as text from scored
+          qualify row_number() over (partition by game_id, spot order by score desc, length(clean) desc, first) = 1""",
+    )
+
+
+CONSENSUS = consensus(
+    f"select cast(call_id % 50 as varchar) as game_id, call_id % 7 as spot, call_id as pos, text from ({B.CALLS})"
 )
+
+
+def refined(summaries: str, looks: str, quality: str) -> str:
+    """Calls after the closer look; ``quality`` is SQL for a text's quality, with {0} for the text."""
+
+    def names(texts: str, side: str) -> str:
+        return recursive(*checked(f"select distinct text, formation from ({texts})", side), last="select text, formation, name, name_status, c from checked")
+
+    steps = [
+        ("s", f"select *, lag(_formation) over (partition by game_id order by spot) as bf from ({summaries})"),
+        ("known_off", names("select _prev_off as text, bf as formation from s", "offense")),
+        ("known_def", names("select _prev_def as text, cast(null as varchar) as formation from s", "defense")),
+        ("n", """
+          select s.*, o.name_status not in ('verified', 'verified_fuzzy') as needs_off,
+                 d.name_status not in ('verified', 'verified_fuzzy') as needs_def
+          from s left join known_off o on o.text is not distinct from _prev_off and o.formation is not distinct from bf
+          left join known_def d on d.text is not distinct from _prev_def"""),
+        ("looks", f"""
+          select n.game_id, n.spot, cast(floor(o.timestamp_seconds - n.start_timestamp_seconds) as int) as second,
+                 off_text, def_text, heading
+          from n join ({looks}) o on o.game_id = n.game_id and o.panel_visible and (needs_off or needs_def)
+            and o.timestamp_seconds between n.start_timestamp_seconds
+            and least(n.end_timestamp_seconds + 1, n.start_timestamp_seconds + 12)
+          qualify row_number() over (partition by n.game_id, n.spot, second order by o.timestamp_seconds) = 1"""),
+        ("heads", "select game_id, spot, string_agg(distinct heading, ',' order by heading) as h from looks where heading <> '' group by all"),
+    ]
+    for short, side in (("off", "offense"), ("def", "defense")):
+        steps += [
+            (f"reads_{short}", f"""
+              select * from (
+                select game_id, spot, -1 as pos, _prev_{short} as text, bf as formation from n where needs_{short}
+                union all
+                select game_id, spot, second, {short}_text, bf from looks join n using (game_id, spot) where needs_{short})
+              where text <> ''"""),
+            (f"names_{short}", names(f"select text, formation from reads_{short}", side)),
+            (f"voted_{short}", f"""
+              select game_id, spot, case when n >= 2 and (exact or spellings >= 2) then name end as voted from (
+                select game_id, spot, name, count(*) as n, bool_or(name_status = 'verified') as exact,
+                       count(distinct c) as spellings, min(pos) as first
+                from reads_{short} r join names_{short} k on k.text = r.text and k.formation is not distinct from r.formation
+                where name is not null group by game_id, spot, name)
+              qualify row_number() over (partition by game_id, spot order by n desc, first) = 1"""),
+            (f"best_{short}", consensus(f"select * from reads_{short}")),
+            (f"told_{short}", f"""
+              select game_id, spot, count(*) as looked, string_agg(distinct text, ',' order by text) as evidence
+              from reads_{short} group by all"""),
+        ]
+
+    def call(short: str) -> str:
+        old, new = quality.format(f"n._prev_{short}"), quality.format(f"b_{short}.text")
+        return f"""case when v_{short}.voted is not null then v_{short}.voted
+          when t_{short}.looked >= 3 and {new} >= {old} then b_{short}.text else n._prev_{short} end as _prev_{short}"""
+
+    joins = " ".join(
+        f"left join {step}_{short} {step[0]}_{short} using (game_id, spot)"
+        for short in ("off", "def") for step in ("voted", "best", "told")
+    )
+    return chain(*steps, last=f"""
+      select game_id, spot, {call('off')}, {call('def')}, coalesce(t_off.evidence, '') as off_evidence,
+             coalesce(heads.h, '') as headings
+      from n {joins} left join heads using (game_id, spot)""")

@@ -385,6 +385,8 @@ register(
         F.array_join("_prev_off_evidence", ",").alias("off_evidence"),
         F.array_join("_banner_heading_evidence", ",").alias("headings"),
     ),
+    O.refined(_CALLED_SUMMARIES, _LOOKS, f"""len(list_filter(string_split(trim(regexp_replace(upper(coalesce({{0}}, '')),
+      '[^A-Z0-9]+', ' ', 'g')), ' '), lambda w: list_contains({list(C.QUALITY_TOKENS)}, w)))"""),
 )
 
 
