@@ -139,13 +139,14 @@ def in_order(docs: DataFrame, cells: int | None = None) -> DataFrame:
 
     @F.pandas_udf("int")
     def cell_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(ends, ids.fillna(-(2**63)).astype("int64").to_numpy()).astype(np.int32))
+        return pd.Series(np.searchsorted(ends, ids.to_numpy()).astype(np.int32))
 
     last = max(0, len(ends) - 1)
     own = F.struct(F.col("cell"), F.lit(False).alias("tail"))
     # A cell's greatest id comes after the cell above; the greatest of all after the lowest cell.
     after = F.struct(F.when(F.col("cell") == last, 0).otherwise(F.col("cell") + 1).alias("cell"), F.lit(True).alias("tail"))
-    marked = rows.withColumn("cell", cell_of("doc_id"))
+    # Null ids, which come last, count as the least; without nulls pandas keeps whole numbers whole.
+    marked = rows.withColumn("cell", cell_of(F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))))
     if len(ends):
         is_end = F.col("doc_id") == F.get(F.lit([int(e) for e in ends]), F.col("cell"))
         places = F.when(is_end, F.array(own, after)).otherwise(F.array(own))

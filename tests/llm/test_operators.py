@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -324,6 +325,14 @@ def test_winnowing_of_awkward_rows(spark, docs, none):
     assert winnow.compared(none).count() == 0
     assert winnow.compared(docs.limit(1)).count() == 1
     assert winnow.fingerprints(docs).count() == docs.count()
+    # Ids beyond 2 ** 53 keep their neighbours, also beside a null.
+    big = [(2**60 + i, prose(i), None, None, None) for i in range(40)] + [(None, prose(99), None, None, None)]
+    far = {r.doc_id: r.fingerprint for r in winnow.compared(spark.createDataFrame(big, SCHEMA)).collect()}
+    chained = winnow.compared(spark.createDataFrame(big, SCHEMA)).collect()
+    assert len(far) == 41 and all(
+        r.edited_sha256 == hashlib.sha256(winnow.edited(prose(r.doc_id - 2**60), prose(r.doc_id - 2**60 - 1)).encode()).hexdigest()
+        for r in chained if r.doc_id is not None and r.doc_id > 2**60
+    )
 
 
 # -- 2 ----------------------------------------------------------------------------------

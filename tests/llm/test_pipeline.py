@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -38,7 +39,7 @@ def folder(spark, tmp_path_factory):
 def test_stages_keep_what_a_plain_run_keeps(spark, folder):
     docs = pd.read_parquet(f"{folder}/documents.parquet")
     labels = pd.read_parquet(f"{folder}/labels.parquet").set_index("doc_id").quality
-    train = sorted((str(i), i) for i in labels.index if __import__("zlib").crc32(str(i).encode()) % 3 != 1)
+    train = sorted((str(i), i) for i in labels.index if zlib.crc32(str(i).encode()) % 3 != 1)
     text = docs.set_index("doc_id").text
     chain = quality.fit([text[i] for _, i in train], np.array([float(labels[i]) for _, i in train]))
     rows = [(r.doc_id, r.text) for r in docs.itertuples()]
