@@ -127,8 +127,8 @@ def in_order(docs: DataFrame, cells: int | None = None) -> DataFrame:
     """(cell, tail, doc_id, text): cells of neighbouring ids in descending order, each followed by
     the first document after it (``tail`` true); the last cell by the first document of all.
 
-    One shuffle of the texts. Cells end at ids that are in the table, so the only thing that
-    is collected is one id a cell.
+    One shuffle of the texts. All that is collected is an approximate bound and the greatest id of each
+    cell; the number of cells is a parameter.
     """
     spark = docs.sparkSession
     cells = cells or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -141,17 +141,20 @@ def in_order(docs: DataFrame, cells: int | None = None) -> DataFrame:
     def cell_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(ends, ids.to_numpy()).astype(np.int32))
 
-    last = max(0, len(ends) - 1)
-    own = F.struct(F.col("cell"), F.lit(False).alias("tail"))
-    # A cell's greatest id comes after the cell above; the greatest of all after the lowest cell.
-    after = F.struct(F.when(F.col("cell") == last, 0).otherwise(F.col("cell") + 1).alias("cell"), F.lit(True).alias("tail"))
     # Null ids, which come last, count as the least; without nulls pandas keeps whole numbers whole.
     marked = rows.withColumn("cell", cell_of(F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))))
-    if len(ends):
-        is_end = F.col("doc_id") == F.get(F.lit([int(e) for e in ends]), F.col("cell"))
-        places = F.when(is_end, F.array(own, after)).otherwise(F.array(own))
-    else:
-        places = F.array(own, after)
+    tops = {r["cell"]: r["top"] for r in marked.groupBy("cell").agg(F.max("doc_id").alias("top")).collect()}
+    used = sorted(tops)
+    # The greatest id of a cell comes after the cell above; the greatest of all after the lowest cell.
+    above = {c: used[(i + 1) % len(used)] for i, c in enumerate(used)}
+    known = range(used[-1] + 1) if used else []
+    top = F.get(F.array(*[F.lit(tops.get(c)).cast("long") for c in known]), F.col("cell"))
+    up = F.get(F.array(*[F.lit(above.get(c)).cast("int") for c in known]), F.col("cell"))
+    own = F.struct(F.col("cell"), F.lit(False).alias("tail"))
+    after = F.struct(up.alias("cell"), F.lit(True).alias("tail"))
+    places = F.array(own)
+    if used:
+        places = F.when(F.col("doc_id").eqNullSafe(top), F.array(own, after)).otherwise(places)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         marked.select(F.explode(places).alias("p"), "doc_id", "text")
