@@ -196,29 +196,35 @@ def align_plays(labels: DataFrame, plays: DataFrame) -> DataFrame:
 
 
 def compare_fields(labels: DataFrame, plays: DataFrame, aligned: DataFrame) -> DataFrame:
-    """One row per labelled field: expected, observed, and match status."""
-
-    def cells(values: dict[str, Column], out: str) -> Column:
-        return F.explode(
-            F.array(*(F.struct(F.lit(n).alias("field"), v.alias(out)) for n, v in values.items()))
-        ).alias("_cell")
-
-    expected = (
-        labels.select(
-            "game_id", F.col("play_number").alias("expected_number"),
-            F.col("stream_side").alias("side"), F.col("possession_team").alias("team"),
-            cells(expected_values(labels), "expected"),
-        )
-        .select("game_id", "expected_number", "side", "team", "_cell.*")
-        .filter("expected is not null")
+    """One row per labelled field: expected, observed, and match status.
+
+    Labels and plays meet once per play, as wide rows; only then does a row become
+    one for each field, so the shuffle carries plays and not fields.
+    """
+    expected = labels.select(
+        "game_id", F.col("play_number").alias("expected_number"),
+        F.col("stream_side").alias("side"), F.col("possession_team").alias("team"),
+        *(v.alias(f"_e_{n}") for n, v in expected_values(labels).items()),
     )
     matched = plays.join(aligned, ["game_id", "play_number"])
     observed = matched.select(
         "game_id", "expected_number", F.col("play_number").alias("observed_play_number"),
-        cells(observed_values(plays), "observed"),
-    ).select("game_id", "expected_number", "observed_play_number", "_cell.*")
+        *(v.alias(f"_o_{n}") for n, v in observed_values(plays).items()),
+    )
+    cells = F.array(
+        *(
+            F.struct(F.lit(n).alias("field"), F.col(f"_e_{n}").alias("expected"), F.col(f"_o_{n}").alias("observed"))
+            for n in C.CALIBRATED_FIELDS
+        )
+    )
+    fields = (
+        expected.join(observed, ["game_id", "expected_number"], "left")
+        .select("game_id", "expected_number", "observed_play_number", "side", "team", F.explode(cells).alias("_cell"))
+        .select("game_id", "expected_number", "observed_play_number", "side", "team", "_cell.*")
+        .filter("expected is not null")
+    )
     agrees = values_match(F.col("field"), F.col("expected"), F.col("observed"))
-    return expected.join(observed, ["game_id", "expected_number", "field"], "left").select(
+    return fields.select(
         "game_id",
         F.col("expected_number").alias("play_number"),
         "observed_play_number",
