@@ -4,7 +4,7 @@ Examples are at most ``EXAMPLES`` labelled documents (chosen by hash of the id);
 is sent to every task. Terms are words and the beginnings of longer words. The vocabulary is the
 terms of ``LEAST_EXAMPLES`` examples or more whose chi-square with the label is
 ``ASSOCIATION`` or more. How many documents hold each term is counted over the whole corpus,
-summed in every task before the counts meet. Weights are (1 + ln tf) ln(N / df), texts are
+summed in every task before the counts meet. Weights are (1 + ln tf) (ln((N + 1) / (df + 1)) + 1), texts are
 unit vectors over the vocabulary.
 
 Every document is a query. The index is inverted and cut into blocks of examples; each term
@@ -49,8 +49,6 @@ NEIGHBOURS = 31
 BLOCK = 64
 FIRST_BLOCKS = 6
 BEGINNINGS = (5, 7)
-# Terms that more than this share of all documents hold weigh nothing.
-COMMON = 0.3
 WORD = re.compile(r"\w+")
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
 
@@ -200,7 +198,7 @@ def vocabulary_of(rows: list[tuple[int, str, int]]) -> list[str]:
 def build(rows: list[tuple[int, str, int]], df: dict[str, int], total: int) -> Index:
     """Index of (id, text, label) examples; ``df`` and ``total`` are counted over all documents."""
     vocabulary = Vocabulary(sorted(df))
-    idf = np.array([np.log(total / df[w]) if 0 < df[w] <= COMMON * total else 0.0 for w in sorted(df)])
+    idf = np.array([np.log((total + 1) / (df[w] + 1)) + 1 for w in sorted(df)])
     # Examples that are alike in label, length and beginning share blocks, which makes their bounds tight.
     rows = sorted(rows, key=lambda r: (-r[2], r[1][:1], len(r[1]), r[0]))
     first: dict[str, int] = {}

@@ -295,6 +295,15 @@ def test_toxicity_of_held_out_and_awkward_rows(spark, docs, none):
     assert toxicity.score(none, index).count() == 0
 
 
+def test_copies_of_a_toxic_text_keep_their_terms(spark):
+    rows = [(i, "vile nasty rotten scum" if i % 5 < 2 else prose(i, 30), None, None, None) for i in range(400)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 < 2)) for i in range(300)], "doc_id long, quality int, toxic int")
+    scored = toxicity.score(table, toxicity.fit_on(table, labels)).collect()
+    copies = [r for r in scored if r.doc_id % 5 < 2]
+    assert len(copies) == 160 and all(r.evidence and r.evidence[0].cosine > 0.999 and r.score > 0.9 for r in copies)
+
+
 # -- 4 ----------------------------------------------------------------------------------
 
 
