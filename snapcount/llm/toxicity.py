@@ -1,17 +1,15 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine.
 
 Examples are at most ``EXAMPLES`` labelled documents (chosen by hash of the id); a bound on what
-is sent to every task. Terms are words and the beginnings of longer words. The vocabulary is the
-terms of ``LEAST_EXAMPLES`` examples or more whose chi-square with the label is
-``ASSOCIATION`` or more. How many documents hold each term is counted over the whole corpus,
-summed in every task before the counts meet. Weights are (1 + ln tf) (ln((N + 1) / (df + 1)) + 1), texts are
-unit vectors over the vocabulary.
-
-Every document is a query. The index is inverted and cut into blocks of examples; each term
-keeps its largest weight in every block. The sum of query weight times block maximum bounds
-all cosines of a block. The blocks with the highest bounds are scored first; then those whose
-bound is not below the k-th best cosine so far. Blocks that are passed over can hold no
-nearer example, so the k nearest are exact (ties go to the lower place in the index).
+is sent to every task. Terms are words and the beginnings of longer words. The vocabulary is all
+terms of the examples. How many documents hold each term is counted over the whole corpus,
+summed in every task before the counts meet. Weights are (1 + ln tf) (ln((N + 1) / (df + 1)) + 1),
+which is above zero however many copies a text has, times one plus ``STRENGTH`` times the
+correlation of the term and the label among the examples; texts are unit vectors over the vocabulary.
+
+Every document is a query, and its cosines with all examples are computed: those of terms that
+many examples hold by a matrix product over some documents at once, the others by their lists of
+examples. So the k nearest are exact (ties go to the lower place in the index).
 
 The k nearest vote with the weight of their closeness. A logistic curve, fitted to votes on
 the examples themselves, each without itself and its equal texts, makes the vote a probability.
@@ -42,12 +40,14 @@ from snapcount.session import ship_package
 
 EXAMPLES = 4000
 EXAMPLE_CHARS = 60_000
-LEAST_EXAMPLES = 5
-# Chi-square of a term and the label among the examples, from which on the term counts.
-ASSOCIATION = 12.0
+# How much the correlation of a term and the label adds to the term's weight.
+STRENGTH = 40.0
 NEIGHBOURS = 31
-BLOCK = 64
-FIRST_BLOCKS = 6
+# Share of the examples from which on a term's weights are a row of the matrix.
+DENSE = 0.02
+# Documents, and terms of documents, whose cosines are computed at once; bounds the memory of a task.
+AT_ONCE = 256
+TERMS_AT_ONCE = 1 << 17
 BEGINNINGS = (5, 7)
 WORD = re.compile(r"\w+")
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
@@ -91,71 +91,69 @@ class Vocabulary:
 
 @dataclass
 class Index:
-    """Examples by word and block, and what turns votes into scores."""
+    """Examples by term, and what turns votes into scores."""
 
     vocabulary: Vocabulary
-    idf: np.ndarray
+    term_weight: np.ndarray
     ids: np.ndarray
     label: np.ndarray
     same: np.ndarray
-    # Segments (word, block): word w has those from word_at[w] to word_at[w + 1].
-    word_at: np.ndarray
-    block: np.ndarray
-    block_max: np.ndarray
+    # Term w is held by example[post_at[w]:post_at[w + 1]], with these weights.
     post_at: np.ndarray
     example: np.ndarray
     weight: np.ndarray
     curve: tuple[float, float] = (0.0, 1.0)
+    # Rows of the terms that many examples hold, and the row of each term (-1: none); made where it is used.
+    matrix: np.ndarray | None = None
+    row: np.ndarray | None = None
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(words, weights) of a text as a unit vector; weights of zero are left out."""
+        """(words, weights) of a text as a unit vector."""
         found = self.vocabulary.found(text)
         words = np.fromiter(found, dtype=np.int64, count=len(found))
         tf = np.fromiter(found.values(), dtype=np.float64, count=len(found))
-        weight = (1 + np.log(tf)) * self.idf[words] if len(words) else tf
         order = np.argsort(words)
-        words, weight = words[order], weight[order]
-        words, weight = words[weight > 0], weight[weight > 0]
+        words, tf = words[order], tf[order]
+        weight = (1 + np.log(tf)) * self.term_weight[words]
         norm = np.sqrt((weight * weight).sum())
         return words, weight / norm if norm else weight
 
+    def fill(self) -> None:
+        held = np.diff(self.post_at)
+        often = np.flatnonzero(held > DENSE * len(self.ids))
+        self.row = np.full(len(held), -1)
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), len(self.ids)))
+        at = spans_of(self.post_at[often], held[often])
+        self.matrix[np.repeat(np.arange(len(often)), held[often]), self.example[at]] = self.weight[at]
+
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosine of each vector with each example; rounded, so that equal texts tie."""
+        if self.matrix is None:
+            self.fill()
+        words = np.concatenate([w for w, _ in vectors])
+        weight = np.concatenate([v for _, v in vectors])
+        query = np.repeat(np.arange(len(vectors)), [len(w) for w, _ in vectors])
+        row = self.row[words]
+        often = row >= 0
+        asked = np.zeros((len(vectors), len(self.matrix)))
+        asked[query[often], row[often]] = weight[often]
+        found = asked @ self.matrix
+        words, weight, query = words[~often], weight[~often], query[~often]
+        size = self.post_at[words + 1] - self.post_at[words]
+        at = spans_of(self.post_at[words], size)
+        place = np.repeat(query * len(self.ids), size) + self.example[at]
+        found += np.bincount(place, self.weight[at] * np.repeat(weight, size), minlength=found.size).reshape(found.shape)
+        return np.round(found, 12)
+
     def nearest(self, words: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None):
         """(examples, cosines) of the ``k`` nearest with a cosine above zero, nearest first."""
-        none = np.zeros(0, dtype=np.int64), np.zeros(0)
-        if not len(words):
-            return none
-        number = self.word_at[words + 1] - self.word_at[words]
-        segment = spans_of(self.word_at[words], number)
-        of_query = np.repeat(weight, number)
-        blocks = self.block[segment]
-        bound = np.bincount(blocks, of_query * self.block_max[segment], minlength=-(-len(self.ids) // BLOCK))
-        cosine = np.zeros(len(self.ids))
-        order = np.argsort(-bound, kind="stable")
-
-        def score(chosen: np.ndarray) -> None:
-            wanted = np.zeros(len(bound), dtype=bool)
-            wanted[chosen] = True
-            some = wanted[blocks]
-            part = segment[some]
-            size = self.post_at[part + 1] - self.post_at[part]
-            at = spans_of(self.post_at[part], size)
-            found = np.bincount(
-                self.example[at], self.weight[at] * np.repeat(of_query[some], size), minlength=len(cosine)
-            )
-            np.add(cosine, found, out=cosine)
-
-        def kth() -> float:
-            if skip is not None:
-                cosine[skip] = 0
-            return np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
-
-        score(order[:FIRST_BLOCKS])
-        # The slack keeps rounding from passing over a block with an equal cosine.
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth() - 1e-9)]
-        if len(rest):
-            score(rest)
-        least = kth()
+        return self.best(self.cosines([(words, weight)])[0], k, skip)
+
+    def best(self, cosine: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        if skip is not None:
+            cosine[skip] = 0
+        least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
         best = np.flatnonzero((cosine >= least) & (cosine > 0))
         best = best[np.argsort(-cosine[best], kind="stable")][:k]
         return best, cosine[best]
@@ -169,60 +167,60 @@ class Index:
         toxic = float(closeness @ self.label[best]) + 0.5 * prior
         return float(np.log(toxic / (closeness.sum() + 0.5 - toxic)))
 
-    def judge(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        best, cosine = self.nearest(*self.vector(text), NEIGHBOURS)
+    def judge(self, documents: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, examples, cosines) of each text."""
         a, b = self.curve
-        return float(sigmoid(np.array(a + b * self.vote(best, cosine)))), best, cosine
+        vectors, held = [], 0
+        for i, text in enumerate(documents, 1):
+            vectors.append(self.vector(text))
+            held += len(vectors[-1][0])
+            if len(vectors) < AT_ONCE and held < TERMS_AT_ONCE and i < len(documents):
+                continue
+            for cosine in self.cosines(vectors):
+                best, near = self.best(cosine, NEIGHBOURS)
+                yield float(sigmoid(np.array(a + b * self.vote(best, near)))), best, near
+            vectors, held = [], 0
 
 
 def vocabulary_of(rows: list[tuple[int, str, int]]) -> list[str]:
-    """Terms that go with the label, for or against, among (id, text, label) examples."""
-    held, toxic = Counter(), Counter()
-    for _, text, label in rows:
-        found = counts(text).keys()
-        held.update(found)
-        if label:
-            toxic.update(found)
-    n, bad = len(rows), sum(y for _, _, y in rows)
-    chosen = []
-    for term, all_with in held.items():
-        if all_with < LEAST_EXAMPLES:
-            continue
-        expected = all_with * bad / n
-        spread = expected * (1 - bad / n) * (1 - all_with / n)
-        if spread > 0 and (toxic[term] - expected) ** 2 / spread >= ASSOCIATION:
-            chosen.append(term)
-    return sorted(chosen)
+    """All terms of (id, text, label) examples."""
+    return sorted(set().union(*(counts(text) for _, text, _ in rows)))
+
+
+def association(held: np.ndarray, toxic: np.ndarray, n: int, bad: float) -> np.ndarray:
+    """Size of the correlation with the label of terms that ``held`` examples hold, ``toxic`` of them toxic."""
+    spread = held * (1 - held / n) * bad * (1 - bad / n)
+    return np.abs(toxic - held * bad / n) / np.sqrt(np.where(spread > 0, spread, np.inf))
 
 
 def build(rows: list[tuple[int, str, int]], df: dict[str, int], total: int) -> Index:
     """Index of (id, text, label) examples; ``df`` and ``total`` are counted over all documents."""
-    vocabulary = Vocabulary(sorted(df))
-    idf = np.array([np.log((total + 1) / (df[w] + 1)) + 1 for w in sorted(df)])
-    # Examples that are alike in label, length and beginning share blocks, which makes their bounds tight.
+    terms = sorted(df)
+    vocabulary = Vocabulary(terms)
     rows = sorted(rows, key=lambda r: (-r[2], r[1][:1], len(r[1]), r[0]))
     first: dict[str, int] = {}
     same = np.array([first.setdefault(t, i) for i, (_, t, _) in enumerate(rows)], dtype=np.int64)
-    index = Index(
-        vocabulary, idf, np.array([r[0] for r in rows]), np.array([r[2] for r in rows], dtype=np.float64), same,
-        *(np.zeros(0, dtype=np.int64),) * 6,
-    )
+    label = np.array([r[2] for r in rows], dtype=np.float64)
+    found = [np.fromiter(f, np.int64, len(f)) for f in (vocabulary.found(t) for _, t, _ in rows)]
+    held = np.bincount(np.concatenate(found), minlength=len(terms)).astype(np.float64)
+    marked = np.repeat(label, [len(f) for f in found])
+    toxic = np.bincount(np.concatenate(found), marked, minlength=len(terms))
+    counted = np.array([df[t] for t in terms], dtype=np.float64)
+    term_weight = (np.log((total + 1) / (counted + 1)) + 1) * (1 + STRENGTH * association(held, toxic, len(rows), label.sum()))
+    index = Index(vocabulary, term_weight, np.array([r[0] for r in rows]), label, same, *(np.zeros(0, np.int64),) * 3)
     vectors = [index.vector(t) for _, t, _ in rows]
-    word = np.concatenate([w for w, _ in vectors]) if vectors else np.zeros(0, np.int64)
+    word = np.concatenate([w for w, _ in vectors])
     example = np.repeat(np.arange(len(rows)), [len(w) for w, _ in vectors])
-    weight = np.concatenate([v for _, v in vectors]) if vectors else np.zeros(0)
-    order = np.lexsort((example, word))
-    word, example, weight = word[order], example[order], weight[order]
-    segment = word * (len(rows) // BLOCK + 1) + example // BLOCK
-    begin = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(word) else word
-    index.block, index.example, index.weight = example[begin] // BLOCK, example, weight
-    index.block_max = np.maximum.reduceat(weight, begin) if len(begin) else weight
-    index.post_at = np.append(begin, len(word))
-    index.word_at = np.searchsorted(word[begin], np.arange(vocabulary.size + 1))
+    weight = np.concatenate([v for _, v in vectors])
+    order = np.argsort(word, kind="stable")
+    index.post_at = np.searchsorted(word[order], np.arange(len(terms) + 1))
+    index.example, index.weight = example[order].astype(np.int32), weight[order]
     votes = []
-    for i, (words, values) in enumerate(vectors):
-        votes.append(index.vote(*index.nearest(words, values, NEIGHBOURS, np.flatnonzero(same == same[i]))))
-    index.curve = logistic(np.array(votes), index.label)
+    for start in range(0, len(rows), AT_ONCE):
+        for i, cosine in enumerate(index.cosines(vectors[start : start + AT_ONCE]), start):
+            votes.append(index.vote(*index.best(cosine, NEIGHBOURS, np.flatnonzero(same == same[i]))))
+    index.curve = logistic(np.array(votes), label)
+    index.matrix = index.row = None
     return index
 
 
@@ -275,16 +273,13 @@ def score(docs: DataFrame, index: Index | float, text: str = "text") -> DataFram
         documents = texts(batch, text)
         if isinstance(index, float):
             return [[index] * len(documents), [[] for _ in documents]]
-        scores, evidence, known = [], [], {}
-        for t in documents:
-            if t not in known:
-                p, best, cosine = index.judge(t)
-                known[t] = p, [
-                    {"doc_id": int(index.ids[i]), "toxic": int(index.label[i]), "cosine": float(c)}
-                    for i, c in zip(best, cosine, strict=True)
-                ]
-            scores.append(known[t][0])
-            evidence.append(known[t][1])
-        return [scores, evidence]
+        distinct = list(dict.fromkeys(documents))
+        known = {}
+        for t, (p, best, cosine) in zip(distinct, index.judge(distinct), strict=True):
+            known[t] = p, [
+                {"doc_id": int(index.ids[i]), "toxic": int(index.label[i]), "cosine": float(c)}
+                for i, c in zip(best, cosine, strict=True)
+            ]
+        return [[known[t][0] for t in documents], [known[t][1] for t in documents]]
 
     return add_columns(docs, [("score", T.DoubleType()), ("evidence", EVIDENCE)], compute)

@@ -304,6 +304,16 @@ def test_copies_of_a_toxic_text_keep_their_terms(spark):
     assert len(copies) == 160 and all(r.evidence and r.evidence[0].cosine > 0.999 and r.score > 0.9 for r in copies)
 
 
+def test_examples_without_a_marked_term_have_their_copies_as_neighbours():
+    rows = [(i, prose(i, 30) + (" vile nasty rotten" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    rows.append((1000, "an unheard of slur zorgle", 1))
+    index = toxicity.build(rows, dict.fromkeys(toxicity.vocabulary_of(rows), 1), len(rows))
+    assert index.vocabulary.size == len({t for _, text, _ in rows for t in toxicity.counts(text)})
+    found = list(index.judge([text for _, text, _ in rows]))
+    for (i, text, _), (_, best, cosine) in zip(rows, found, strict=True):
+        assert i in index.ids[best[cosine > 1 - 1e-9]], text
+
+
 # -- 4 ----------------------------------------------------------------------------------
 
 
