@@ -11,7 +11,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from snapcount.llm import decontam, html_text, licenses, packing, pii, quality, sharding, simhash, toxicity, winnow
+from snapcount.llm import decontam, html_text, licenses, likeness, packing, pii, quality, sharding, simhash, toxicity, winnow
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and river stone meadow lantern copper whistle harbour violet engine paper candle winter".split()
@@ -89,6 +89,34 @@ def test_radius_beyond_the_blocks_is_refused(docs):
         simhash.near_duplicates(docs, radius=5)
 
 
+def test_near_copies_of_likeness_are_found_against_all_pairs(spark, docs, none):
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        words = prose(i // 6, 150).split()
+        for _ in range(i % 6):
+            words[rng.randrange(len(words))] = f"changed{i}"
+        rows.append((i, " ".join(words), None, None, None))
+    # A chain in which the ends are not alike, and a key that most rows share.
+    rows += [(300 + i, " ".join(prose(999, 400).split()[12 * i : 12 * i + 200]), None, None, None) for i in range(8)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    sets = {r[0]: set(zip(*[r[1].split()[k:] for k in range(5)])) for r in rows}
+    group = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(10):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    bits = {r[0]: plain.simhash(r[1]) for r in rows}
+    assert sum((bits[a] ^ bits[b]).bit_count() > 4 for a, b in pairs) > len(pairs) // 2
+    assert {r.doc_id for r in likeness.keep_one(table).collect()} == set(group.values())
+    kept = likeness.keep_one(docs.withColumn("t", F.lit("own")))
+    assert kept.columns == [*docs.columns, "t"]
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.select("doc_id").collect() if r.doc_id is not None) == [
+        (False, i) for i in (0, 3, 4, 7, 8, 9, 10)
+    ]
+    assert likeness.keep_one(none).count() == 0
+
+
 # -- 8 ----------------------------------------------------------------------------------
 
 
