@@ -1,17 +1,18 @@
 """Benchmark passages in documents, by the q-gram lemma on diagonal bands.
 
-Benchmark items, lower-cased with single spaces, are cut into overlapping segments of
-``SEGMENT`` characters (shorter items are one segment). A segment of m characters may be met with
-up to e edits, e being ``RATE`` of m. By the q-gram lemma a text region within e edits shares at
-least ``m + 1 - q (e + 1)`` q-grams with it, all on diagonals (text position less segment
+Benchmark items are lower-cased with single spaces. A document contains an item if some part of it is
+within e edits of a window of m characters of the item: any stretch of ``WINDOW`` characters, at any place, or the whole
+item if it is shorter; e is ``RATE`` of m. By the q-gram lemma such a part shares at
+least ``m + 1 - q (e + 1)`` q-grams with the window, all on diagonals (text position less item
 position) that differ by at most e.
 
 1. Density: text positions whose q-gram is none of the benchmark's, and stretches of
-   m + e positions with fewer such q-grams than any segment asks for, cannot be part of a region.
-2. Bands: the q-grams that are left are counted by segment in bands of 2 (e + 1) diagonals, each
+   m + e positions with fewer such q-grams than any window asks for, cannot be part of a region.
+2. Bands: the q-grams that are left are put, by item, in bands of 2 (e + 1) diagonals, each
    overlapping the next by half, so that the diagonals of one region lie in one band.
-   Bands below the segment's bound go.
-3. Verification: edit distance of the whole segment within the band, with free ends in the text.
+   Windows in which a band has fewer than the bound go.
+3. Verification: windows that stand unedited in the text are runs on one diagonal; where an item has
+   none, the edit distance of every window that is left, within the band, with free ends in the text.
 
 The benchmark's index goes to every task and is bounded: benchmarks of more than
 ``INDEX_CHARS`` characters are cut into several indexes, and documents pass each. Texts are
@@ -36,15 +37,17 @@ from pyspark.sql import types as T
 from snapcount.llm.common import add_columns, texts
 
 Q = 8
-SEGMENT = 100
+WINDOW = 100
 RATE = 0.08
 INDEX_CHARS = 8_000_000
 # Characters that are searched at once, and by how many pieces of a longer text overlap.
 PIECE = 200_000
-OVERLAP = 2 * SEGMENT
+OVERLAP = 2 * WINDOW
 MATCHES = T.ArrayType(
     T.StructType([T.StructField("item_id", T.LongType()), T.StructField("at", T.LongType()), T.StructField("edits", T.IntegerType())])
 )
+# Windows that are compared at once; bounds the memory of a task.
+WINDOWS_AT_ONCE = 8192
 # Bits of the filter in front of the index.
 FILTER_BITS = 22
 BREAK = 1
@@ -73,26 +76,36 @@ def grams(code: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 def edits_allowed(m: int) -> int:
-    """Edits for a segment of ``m`` characters; few enough that the lemma asks for a shared q-gram."""
+    """Edits for a window of ``m`` characters; few enough that the lemma asks for a shared q-gram."""
     return max(0, min(int(RATE * m), m // Q - 1))
 
 
 @dataclass
 class Index:
-    """Segments of a benchmark and where each q-gram stands in them."""
+    """Items of a benchmark and where each q-gram stands in them."""
 
-    items: np.ndarray
-    offsets: np.ndarray
-    segments: list[np.ndarray]
+    ids: np.ndarray
+    texts: list[np.ndarray]
+    window: np.ndarray
     least: np.ndarray
     edits: np.ndarray
     hashes: np.ndarray
     begins: np.ndarray
-    of_segment: np.ndarray
+    of_item: np.ndarray
     of_place: np.ndarray
     seen: np.ndarray
     shapes: list[tuple[int, int]]
 
+    @property
+    def segments(self) -> list[np.ndarray]:
+        """All windows."""
+        return [t[i : i + m] for t, m in zip(self.texts, self.window, strict=True) for i in range(len(t) - m + 1)]
+
+    @property
+    def items(self) -> np.ndarray:
+        """The item of each window."""
+        return np.repeat(self.ids, [len(t) - m + 1 for t, m in zip(self.texts, self.window, strict=True)])
+
 
 def build(rows: list[tuple[int, str]]) -> Index | None:
     """Index of (item_id, text) rows; None if no item can match."""
@@ -100,32 +113,26 @@ def build(rows: list[tuple[int, str]]) -> Index | None:
     for item, text in sorted((i, plain(t or "")) for i, t in rows if i is not None):
         if len(text) >= Q:
             first.setdefault(text, item)
-    items, offsets, segments = [], [], []
-    for text, item in first.items():
-        code = codes(text)
-        starts = list(range(0, max(1, len(code) - SEGMENT), SEGMENT // 2)) + [max(0, len(code) - SEGMENT)]
-        for at in sorted(set(starts)):
-            items.append(item)
-            offsets.append(at)
-            segments.append(code[at : at + SEGMENT])
-    if not segments:
+    if not first:
         return None
-    hashed = [grams(s) for s in segments]
+    wholes = [codes(text) for text in first]
+    hashed = [grams(t) for t in wholes]
     every = np.concatenate(hashed)
     order = np.argsort(every, kind="stable")
     size = np.array([len(h) for h in hashed])
     hashes, begins = np.unique(every[order], return_index=True)
     seen = np.zeros(1 << FILTER_BITS, dtype=bool)
     seen[hashes >> np.uint32(32 - FILTER_BITS)] = True
-    edits = np.array([edits_allowed(len(s)) for s in segments])
-    least = np.array([len(s) + 1 for s in segments]) - Q * (edits + 1)
-    # For segments of like length: the widest region and the fewest q-grams it may share.
+    window = np.array([min(len(t), WINDOW) for t in wholes])
+    edits = np.array([edits_allowed(int(m)) for m in window])
+    least = window + 1 - Q * (edits + 1)
+    # For windows of like length: the widest region and the fewest q-grams it may share.
     shapes: dict[int, tuple[int, int]] = {}
-    for m, e, n in zip(map(len, segments), edits, least, strict=True):
+    for m, e, n in zip(window.tolist(), edits.tolist(), least.tolist(), strict=True):
         width, few = shapes.get(m.bit_length(), (1, m))
-        shapes[m.bit_length()] = max(width, m + int(e) - Q + 1), min(few, int(n))
+        shapes[m.bit_length()] = max(width, m + e - Q + 1), min(few, n)
     return Index(
-        np.array(items), np.array(offsets), segments, least, edits, hashes, np.append(begins, len(every)),
+        np.array(list(first.values())), wholes, window, least, edits, hashes, np.append(begins, len(every)),
         np.repeat(np.arange(len(size)), size)[order],
         (np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size))[order], seen, list(shapes.values()),
     )
@@ -138,7 +145,7 @@ def spans_of(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def dense(hit: np.ndarray, index: Index) -> np.ndarray:
-    """Hits that lie in a stretch with as many hits as some segment length asks for."""
+    """Hits that lie in a stretch with as many hits as some window length asks for."""
     total = np.zeros(len(hit) + 1, dtype=np.int32)
     np.cumsum(hit, out=total[1:])
     change = np.zeros(len(hit) + 1, dtype=np.int32)
@@ -152,11 +159,43 @@ def dense(hit: np.ndarray, index: Index) -> np.ndarray:
     return np.flatnonzero(hit & (np.cumsum(change)[:-1] > 0)) if change.any() else np.zeros(0, dtype=np.int64)
 
 
-def search(code: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
-    """(segment, text position, edits) of verified regions; one for each segment and band.
-
-    The position is that of the end of the region less the segment's length, so it is off by at most
-    the edits.
+def unedited(code: np.ndarray, index: Index, item: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, text position) of the first window of each run of q-grams that holds a whole window unedited."""
+    order = np.lexsort((place, at - place, item))
+    item, at, place = item[order], at[order], place[order]
+    new = (np.diff(item) != 0) | (np.diff(at - place) != 0) | (np.diff(place) != 1)
+    begin = np.flatnonzero(np.concatenate([[True], new]))
+    length = np.diff(np.append(begin, len(item)))
+    begin = begin[length + Q - 1 >= index.window[item[begin]]]
+    same = [
+        np.array_equal(code[p : p + m], index.texts[i][s : s + m])
+        for i, p, s, m in zip(item[begin], at[begin], place[begin], index.window[item[begin]], strict=True)
+    ]
+    begin = begin[np.array(same, dtype=bool)]
+    return item[begin], at[begin]
+
+
+def windows(index: Index, key: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of the windows that hold enough of the q-grams of one band; ``key`` and ``place`` ascend."""
+    room = index.window[item] - Q
+    last = np.arange(len(key)) + index.least[item] - 1
+    end = np.minimum(last, len(key) - 1)
+    row = np.flatnonzero((last < len(key)) & (key[end] == key) & (place[end] - place <= room))
+    size = np.array([len(t) for t in index.texts])
+    low = np.maximum(0, place[end[row]] - room[row])
+    high = np.minimum(place[row], (size - index.window)[item[row]])
+    # Both ends ascend within a band: what the window before has covered is left out.
+    before = np.where(np.concatenate([[False], np.diff(key[row]) == 0])[: len(row)], np.concatenate([[0], high[:-1]])[: len(row)], -1)
+    low = np.maximum(low, before + 1)
+    count = np.maximum(0, high - low + 1)
+    return np.repeat(row, count), spans_of(low, count)
+
+
+def search(code: np.ndarray, index: Index, starts: list[int]) -> list[tuple[int, int, int]]:
+    """(item, text position, edits) of verified regions; all that may have the fewest edits of an item in a piece.
+
+    Pieces begin at ``starts``. The position is that of the end of the region less the window's length, so it
+    is off by at most the edits.
     """
     hashed = grams(code)
     if not len(hashed):
@@ -172,35 +211,44 @@ def search(code: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
         return []
     counts = index.begins[slot + 1] - index.begins[slot]
     entry = spans_of(index.begins[slot], counts)
-    segment = index.of_segment[entry]
-    diagonal = np.repeat(at, counts) - index.of_place[entry] + SEGMENT
-    half = index.edits[segment] + 1
-    key = segment * (4 * (len(code) + 2 * SEGMENT)) + diagonal // half
-    key = np.concatenate([key, key - 1])
-    key, found = np.unique(key, return_counts=True)
-    segment = key // (4 * (len(code) + 2 * SEGMENT))
-    rich = found >= index.least[segment]
-    segment, band = segment[rich], (key % (4 * (len(code) + 2 * SEGMENT)))[rich]
-    out = []
-    for m in {len(index.segments[s]) for s in segment}:
-        chosen = np.flatnonzero([len(index.segments[s]) == m for s in segment])
-        e = int(index.edits[segment[chosen[0]]])
-        low = band[chosen] * (e + 1) - SEGMENT - e
-        distance, lane = banded(code, low, np.array([index.segments[s] for s in segment[chosen]]), 2 * (e + 1) + 2 * e)
-        for i in np.flatnonzero(distance <= e):
-            out.append((int(segment[chosen[i]]), int(low[i] + lane[i]), int(distance[i])))
+    item, place, at = index.of_item[entry], index.of_place[entry], np.repeat(at, counts)
+    whole, position = unedited(code, index, item, at, place)
+    out = [(int(i), int(p), 0) for i, p in zip(whole, position, strict=True)]
+
+    def piece(at: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return item * len(starts) + np.searchsorted(starts, at + index.window[item] // 2, "right") - 1
+
+    shift = max(len(t) for t in index.texts) + 2 * WINDOW
+    bands = len(code) + 2 * shift
+    key = item * bands + (at - place + shift) // (index.edits[item] + 1)
+    key, item, place = np.concatenate([key, key - 1]), np.concatenate([item, item]), np.concatenate([place, place])
+    order = np.lexsort((place, key))
+    key, item, place = key[order], item[order], place[order]
+    row, start = windows(index, key, item, place)
+    item, half = item[row], index.edits[item[row]] + 1
+    low = key[row] % bands * half - shift - index.edits[item] + start
+    left = ~np.isin(piece(low + index.edits[item] + half, item), piece(position, whole))
+    item, start, low = item[left], start[left], low[left]
+    for m in np.unique(index.window[item]):
+        chosen = np.flatnonzero(index.window[item] == m)
+        e = edits_allowed(int(m))
+        for some in np.split(chosen, range(WINDOWS_AT_ONCE, len(chosen), WINDOWS_AT_ONCE)):
+            parts = np.array([index.texts[i][s : s + m] for i, s in zip(item[some], start[some], strict=True)])
+            distance, lane = banded(code, low[some], parts, 2 * (e + 1) + 2 * e)
+            for i in np.flatnonzero(distance <= e):
+                out.append((int(item[some[i]]), int(low[some[i]] + lane[i]), int(distance[i])))
     return out
 
 
-def banded(code: np.ndarray, low: np.ndarray, segments: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edit distance of each segment to the best text region on diagonals ``low`` to ``low + width``,
+def banded(code: np.ndarray, low: np.ndarray, parts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edit distance of each window to the best text region on diagonals ``low`` to ``low + width``,
     and the diagonal, less ``low``, on which that region ends."""
     lanes = np.arange(width)
-    padded = np.concatenate([np.zeros(width + SEGMENT, np.uint32), code, np.zeros(width + 2 * SEGMENT, np.uint32)])
-    at = low[:, None] + lanes + width + SEGMENT
+    padded = np.concatenate([np.zeros(width + WINDOW, np.uint32), code, np.zeros(width + 2 * WINDOW, np.uint32)])
+    at = low[:, None] + lanes + width + WINDOW
     distance = np.zeros((len(low), width), dtype=np.int64)
-    for i in range(segments.shape[1]):
-        same = padded[np.clip(at + i, 0, len(padded) - 1)] == segments[:, i : i + 1]
+    for i in range(parts.shape[1]):
+        same = padded[np.clip(at + i, 0, len(padded) - 1)] == parts[:, i : i + 1]
         here = distance + ~same
         here[:, :-1] = np.minimum(here[:, :-1], distance[:, 1:] + 1)
         distance = np.minimum.accumulate(here - lanes, axis=1) + lanes
@@ -218,17 +266,17 @@ def matches(documents: list[str], index: Index | None) -> list[list[dict]]:
         if not pieces:
             return
         # Breaks between pieces are longer than an edit budget, so no region crosses them.
-        gap = np.full(SEGMENT, BREAK, dtype=np.uint32)
+        gap = np.full(WINDOW, BREAK, dtype=np.uint32)
         parts, starts, length = [], [], 0
         for _, _, text in pieces:
             starts.append(length)
             parts += [codes(text), gap]
-            length += len(text) + SEGMENT
-        for segment, at, edits in search(np.concatenate(parts), index):
+            length += len(text) + WINDOW
+        for place, at, edits in search(np.concatenate(parts), index, starts):
             # The middle of a region lies in its piece, whatever the edits do to its ends.
-            i = int(np.searchsorted(starts, at + len(index.segments[segment]) // 2, "right")) - 1
+            i = int(np.searchsorted(starts, at + index.window[place] // 2, "right")) - 1
             d, offset, _ = pieces[i]
-            item = int(index.items[segment])
+            item = int(index.ids[place])
             best = (edits, offset + max(0, at - starts[i]))
             out[d][item] = min(out[d].get(item, best), best)
         pieces.clear()

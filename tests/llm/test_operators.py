@@ -216,6 +216,19 @@ def test_decontamination_of_awkward_rows(spark, docs, none, monkeypatch):
     assert sorted(decontam.leaks(docs, bench).collect()) == sorted(leaks.collect())
 
 
+def test_any_stretch_of_an_item_is_found():
+    item = decontam.plain(prose(71, 90))[:300]
+    index = decontam.build([(5, item), (6, prose(72, 90))])
+    for at in range(0, len(item) - 100 + 1, 3):
+        quote = item[at : at + 100]
+        edited = list(quote)
+        for i in range(8):
+            edited[6 + 12 * i] = "#"
+        texts = [f"{prose(3, 40)} {q} {prose(4, 40)}" for q in (quote, "".join(edited), quote[:60] + "#" * 40)]
+        found = [[(m["item_id"], m["edits"]) for m in ms] for ms in decontam.matches(texts, index)]
+        assert found[0] == [(5, 0)] and [i for i, _ in found[1]] == [5] and found[1][0][1] <= 8 and not found[2], at
+
+
 # -- 6 ----------------------------------------------------------------------------------
 
 
