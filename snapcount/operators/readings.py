@@ -103,8 +103,8 @@ def sample_frames(
 ) -> DataFrame:
     """Every n-th relative frame, with absolute index and timestamp.
 
-    Kept frames are evenly numbered, so the frame limit is a bound on the
-    relative index and needs no ranking. Rows must be numbered from 0.
+    The frame limit takes the first kept rows of each game, also where numbers
+    are missing. Rows must be numbered from 0.
     """
     fps = fps if fps > 0 else 30.0
     relative = F.col("relative_index")
@@ -112,7 +112,7 @@ def sample_frames(
     if max_seconds is not None:
         kept = kept.filter((F.lit(start_seconds) + relative / fps) - start_seconds <= max_seconds)
     if max_frames is not None:
-        kept = kept.filter(relative < every * max_frames)
+        kept = first_rows(kept, max_frames, Sequence(FRAMES.keys, "relative_index"))
     return kept.withColumns(
         {
             "frame_index": relative + round(start_seconds * fps),

@@ -61,6 +61,13 @@ def test_sampling_keeps_absolute_times(spark):
     assert rows[1].timestamp_seconds == pytest.approx(120 + 1 / 30)
 
 
+def test_frame_limit_counts_kept_rows_of_each_game(spark):
+    numbers = {"g": [0, 4, 10, 12, 20, 30], "h": [50, 51, 52, 60]}
+    df = spark.createDataFrame([(g, i) for g, ns in numbers.items() for i in ns], "game_id string, relative_index long")
+    rows = readings.sample_frames(df, 2, 30.0, 0.0, None, 3).collect()
+    assert sorted((r.game_id, r.frame_index) for r in rows) == [("g", 0), ("g", 4), ("g", 10), ("h", 50), ("h", 52), ("h", 60)]
+
+
 def test_alignment_skips_an_inserted_play():
     def table(rows):
         return {n: [r.get(n) for r in rows] for n in calibration.C.ALIGNMENT_WEIGHTS}
