@@ -6,9 +6,12 @@
    characters outside links of its blocks, less for blocks deeper down.
 2. The path of a container is its chain of elements and classes, digits and hash-like parts made
    alike. Pages vote in Spark: per host, shares of the best score are summed by path, and
-   the path with the most is the host's.
+   the path with the most is the host's. It is then widened to the outermost ancestor that adds text:
+   on a share ``VOTES`` of the host's pages it holds more beside its largest child than links, and below it no
+   ancestor adds links on more pages than text. So headlines, leads and paragraphs around the deepest container
+   stay; a list or a quotation is always widened.
 3. Every page is read once more; its containers on the host's path give the text. A page without
-   such a container, or with no text in it, takes its own best one.
+   such a container, or with no text in it, takes its own best one, widened in the same way.
 
 Votes are summed before they meet, so one host may hold most pages; the host's path comes back by a
 join that adaptive execution can split. Pages are read whole.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapcount.llm.common import add_columns, texts
-from snapcount.session import ship_package
+from snapcount.session import cut, ship_package
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -60,6 +63,9 @@ BOILERPLATE = (
 ).split()
 NOT_ARTICLE = re.compile(rf"^(?:{'|'.join(BOILERPLATE)})(?:$|[-_\d])|[-_](?:{'|'.join(BOILERPLATE)})\d*$")
 WHOLE = re.compile(r"(?:^|[-_])(?:has|with|no|without)[-_]")
+EXACT = frozenset(BOILERPLATE)
+# Containers that are a part of a text and never all of it.
+PARTS = frozenset("blockquote dl figure ol ul".split())
 SEMANTIC = 1.4
 FADE = 0.75
 # Share of a page's best score from which on a container gets a vote.
@@ -80,7 +86,16 @@ def left_out(tag: str, given: dict[str, str]) -> bool:
         return True
     if re.search(r"display\s*:\s*none", given.get("style", "")):
         return True
-    names = (given.get("class", "") + " " + given.get("id", "")).lower().split()
+    classes = given.get("class", "").lower().split()
+    if tag in LEAVES:
+        return any(n in EXACT for n in classes)
+    own = given.get("id", "").lower().split()
+    # The id of a section is as a rule its heading's words.
+    if tag == "section" or "section" in classes:
+        if any(n in EXACT for n in own):
+            return True
+        own = []
+    names = classes + own
     return any(NOT_ARTICLE.search(n) and not WHOLE.search(n) for n in names)
 
 
@@ -210,17 +225,47 @@ class Page:
         total = self.scores()
         return max(range(len(total)), key=lambda i: (total[i], -i))
 
-    def votes(self) -> dict[str, float]:
-        """Paths with their share of the best score."""
+    def votes(self) -> dict[str, list[float]]:
+        """Paths with their share of the best score (0 below ``VOTES``), and whether they add text, add links, and are there."""
         total = self.scores()
         top = max(total)
-        out: dict[str, float] = {}
+        out: dict[str, list[float]] = {}
         if top > 0:
-            for path, score in zip(self.path, total, strict=True):
-                if score >= VOTES * top:
-                    out[path] = max(out.get(path, 0.0), score / top)
+            voted = set()
+            for i, score in enumerate(total):
+                while score >= VOTES * top and i >= 0 and i not in voted:
+                    voted.add(i)
+                    i = self.parent[i]
+            added = self.added()
+            for i in sorted(voted):
+                share = total[i] / top if total[i] >= VOTES * top else 0.0
+                before = out.get(self.path[i], [0.0, 0, 0, 1])
+                out[self.path[i]] = [max(b, n) for b, n in zip(before, (share, *added[i], 1), strict=True)]
         return out
 
+    def added(self) -> list[tuple[int, int]]:
+        """Whether each container has more text than links, or links and no more text, beside its largest child."""
+        free, linked = [0] * len(self.parent), [0] * len(self.parent)
+        for text, links, container in self.blocks:
+            free[container] += len(text) - links
+            linked[container] += links
+        largest = [(0, 0)] * len(self.parent)
+        # A parent has a smaller number than its children.
+        for i in range(len(self.parent) - 1, 0, -1):
+            up = self.parent[i]
+            free[up] += free[i]
+            linked[up] += linked[i]
+            largest[up] = max(largest[up], (free[i], linked[i]))
+        beside = [(f - a, n - b) for f, n, (a, b) in zip(free, linked, largest, strict=True)]
+        return [(int(more > links), int(0 < links >= more)) for more, links in beside]
+
+    def widened(self, chosen: int) -> int:
+        added = self.added()
+        chain = [chosen]
+        while self.parent[chain[-1]] >= 0:
+            chain.append(self.parent[chain[-1]])
+        return chain[widest([(self.path[i], *added[i], 1) for i in chain])]
+
     def text(self, chosen: set[int]) -> str:
         inside = [False] * len(self.parent)
         for i, parent in enumerate(self.parent):
@@ -228,6 +273,20 @@ class Page:
         return "\n".join(text for text, _, container in self.blocks if inside[container])
 
 
+def widest(chain: list[tuple[str, int, int, int]]) -> int:
+    """The place of the container to take, in a chain from the inside out of (path, pages on which it adds text,
+    on which it adds links, all pages with it)."""
+    at = 0
+    for i in range(1, len(chain)):
+        _, text, links, pages = chain[i]
+        part = re.split(r"[>.]", chain[i - 1][0].rsplit(">", 1)[-1])[0] in PARTS
+        if links > text and not part:
+            break
+        if part or text >= VOTES * pages:
+            at = i
+    return at
+
+
 def main_text(source: str, path: str | None) -> str:
     """Text of the containers on ``path``, or of the page's own best container."""
     page = Page(source)
@@ -235,7 +294,7 @@ def main_text(source: str, path: str | None) -> str:
         found = page.text({i for i, p in enumerate(page.path) if p == path})
         if found:
             return found
-    return page.text({page.best()})
+    return page.text({page.widened(page.best())})
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -247,28 +306,53 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes of each host's pages; the least of equals."""
+    """(host, path): the path with the most votes of each host's pages, the least of equals, widened."""
     ship_package(pages.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple[str, str], float] = {}
+            held: dict[tuple[str, str], list[float]] = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, share in Page(source or "").votes().items():
-                    held[host, path] = held.get((host, path), 0.0) + share
+                for path, votes in Page(source or "").votes().items():
+                    before = held.get((host, path), (0.0, 0, 0, 0))
+                    held[host, path] = [a + b for a, b in zip(before, votes, strict=True)]
+            share, *counts = zip(*held.values(), strict=True) if held else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([h for h, _ in held], type=pa.string()),
                     pa.array([p for _, p in held], type=pa.string()),
-                    pa.array(list(held.values()), type=pa.float64()),
+                    pa.array(share, type=pa.float64()),
+                    *[pa.array(c, type=pa.int64()) for c in counts],
                 ],
-                names=["host", "path", "share"],
+                names=["host", "path", "share", "adds", "links", "pages"],
             )
 
-    votes = with_host(pages.select("url", "html")).select("host", "html").mapInArrow(each, "host string, path string, share double")
+    schema = "host string, path string, share double, adds long, links long, pages long"
+    votes = with_host(pages.select("url", "html")).select("host", "html").mapInArrow(each, schema)
     # Rounded, so that the order of sums cannot tip a tie.
-    summed = votes.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("share"))
-    return summed.groupBy("host").agg(F.min(F.struct((-F.col("share")).alias("s"), "path")).alias("m")).select("host", "m.path")
+    summed = cut(
+        votes.groupBy("host", "path").agg(
+            F.round(F.sum("share"), 6).alias("share"), *[F.sum(c).alias(c) for c in ("adds", "links", "pages")]
+        )
+    )
+    won = summed.groupBy("host").agg(F.min(F.struct((-F.col("share")).alias("s"), "path")).alias("m")).select("host", "m.path")
+    steps = F.split("path", ">")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), ">"))
+    chains = (
+        won.select("host", F.explode(above).alias("path"))
+        .join(summed, ["host", "path"])
+        .groupBy("host")
+        .agg(F.sort_array(F.collect_list(F.struct(F.length("path").alias("n"), "path", "adds", "links", "pages")), False).alias("chain"))
+    )
+
+    def widen(batch: pa.RecordBatch) -> list:
+        found = []
+        for chain in batch.column(batch.schema.get_field_index("chain")).to_pylist():
+            steps = [(c["path"], c["adds"], c["links"], c["pages"]) for c in chain]
+            found.append(steps[widest(steps)][0])
+        return [found]
+
+    return add_columns(chains, [("path", T.StringType())], widen).select("host", "path")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -486,3 +486,30 @@ def test_pages_by_host_paths(spark):
 @pytest.mark.parametrize("broken", ["<", "<p", "<div class='x", "<!--", "<script>", "</div></p></article>", "<a <b>", "&#xFFFFFFF;", "<p>\0"])
 def test_broken_pages_are_read(broken):
     assert "kept" in html_text.main_text(f"<div><p>kept text</p>{broken}", None)
+
+
+def test_all_of_an_article_is_kept(spark):
+    menu = "<div class='box'>" + "".join(f"<a href='/{k}'>Section number {k}</a>" for k in range(12)) + "</div>"
+    inner = {
+        "wrapped": "<div class=content><h1>Head {i}</h1><div class=body><p>{t}</p></div></div>",
+        "deep": "<article><h1>Head {i}</h1><div class=a><div class=b><p>{t}</p></div></div><p>Last {i}</p></article>",
+        "list": "<div class=content><h1>Head {i}</h1><p>Lead {i}</p><ul><li>{t}</li></ul></div>",
+        "quote": "<div class=content><h1>Head {i}</h1><blockquote><p>{t}</p></blockquote><p>Last {i}</p></div>",
+    }
+    rows = [
+        (100 * k + i, f"http://{name}.example/{i}", f"<body>{menu}{form.format(i=i, t=prose(i, 60))}</body>")
+        for k, (name, form) in enumerate(inner.items())
+        for i in range(4)
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.extract(pages).collect():
+        i = r.page_id % 100
+        assert f"Head {i}" in r.text and prose(i, 60) in r.text and "Section number" not in r.text, r
+        assert (f"Last {i}" in r.text) == (r.page_id // 100 in (1, 3)) and (f"Lead {i}" in r.text) == (r.page_id // 100 == 2)
+        assert html_text.main_text(dict((p, h) for p, _, h in rows)[r.page_id], None) == r.text
+
+
+def test_slug_ids_do_not_make_boilerplate():
+    page = """<article><p>One.</p><h2 id="related-work">Related work</h2><section id="social-effects"><p>Two.</p></section>
+    <p class="share">gone</p><section class="related-posts"><p>gone</p></section><div id="comments-area">gone</div></article>"""
+    assert html_text.main_text(page, None) == "One.\nRelated work\nTwo."
