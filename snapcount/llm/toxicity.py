@@ -44,7 +44,7 @@ EXAMPLE_CHARS = 60_000
 STRENGTH = 40.0
 NEIGHBOURS = 31
 # Share of the examples from which on a term's weights are a row of the matrix.
-DENSE = 0.02
+DENSE = 0.05
 # Documents, and terms of documents, whose cosines are computed at once; bounds the memory of a task.
 AT_ONCE = 256
 TERMS_AT_ONCE = 1 << 17
@@ -184,7 +184,10 @@ class Index:
 
 def vocabulary_of(rows: list[tuple[int, str, int]]) -> list[str]:
     """All terms of (id, text, label) examples."""
-    return sorted(set().union(*(counts(text) for _, text, _ in rows)))
+    terms: set[str] = set()
+    for _, text, _ in rows:
+        terms.update(counts(text))
+    return sorted(terms)
 
 
 def association(held: np.ndarray, toxic: np.ndarray, n: int, bad: float) -> np.ndarray:
@@ -251,8 +254,9 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, i
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["w", "n"])
 
     summed = docs.select(text_of().alias("t")).mapInArrow(each, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    found = {r["w"]: r["n"] for r in summed.collect()}
-    return {w: found.get(i, 0) for i, w in enumerate(vocabulary)}, found.get(size, 0)
+    found, counted = summed.toArrow(), np.zeros(size + 1, dtype=np.int64)
+    counted[found["w"].to_numpy()] = found["n"].to_numpy()
+    return dict(zip(vocabulary, counted[:size].tolist(), strict=True)), int(counted[size])
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index | float:
