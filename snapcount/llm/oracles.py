@@ -68,3 +68,42 @@ from windows join templates using (template) where containment >= 0.8 group by a
 
 
 LICENSES = license_scan()
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Every distance to every entry, round after round."""
+    sql = f"""
+with kept as materialized (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), cells as materialized (
+  select r, (i * {parts}) // len(v) as part, i % (len(v) // {parts}) as pos, v[i + 1] as x
+  from (select r, v, unnest(range(len(v))) as i from kept)
+), book0 as materialized (
+  select entry, part, pos, x from cells join (
+    select r, row_number() over (order by vec_id nulls last, v) - 1 as entry from kept qualify entry < {entries}) using (r)
+)"""
+    for k in range(rounds + 1):
+        sql += f""", near{k} as materialized (
+  select r, part, min(d) as d, arg_min(entry, (d, entry)) as entry from (
+    select r, part, entry, sum((c.x - b.x) * (c.x - b.x)) as d from cells c join book{k} b using (part, pos) group by all)
+  group by all
+)"""
+        if k < rounds:
+            sql += f""", book{k + 1} as materialized (
+  select entry, part, pos, coalesce(m.x, b.x) as x from book{k} b left join (
+    select part, entry, pos, cast(floor(sum(x) / count(*)) as bigint) as x
+    from cells join near{k} using (r, part) group by all) m using (part, entry, pos)
+)"""
+    return sql + f""", coded as (
+  select r, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error
+  from near{rounds} group by r
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(cast(x as varchar), ',' order by part, entry, pos)) from book{rounds}) as codebooks_sha256
+from kept join coded using (r)
+"""
+
+
+VECTOR_CODES = vector_codes()

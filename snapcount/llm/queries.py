@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcount.llm import decontam, html_text, licenses, oracles, packing, pii, quality, sharding, simhash, toxicity, winnow
+from snapcount.llm import codes, decontam, html_text, licenses, oracles, packing, pii, quality, sharding, simhash, toxicity, winnow
 from snapcount.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = codes.fit(vectors)
+    coded = codes.encode(vectors, books).drop("embedding")
+    digest = F.lit(books.sha256() if books else None).cast("string")
+    return codes.with_sum_over(coded, "label", "error", "label_error").select(
+        "vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256")
+    )
+
+
+ORACLES["op13_vector_codes"] = oracles.VECTOR_CODES
