@@ -6,10 +6,10 @@ vectors: tasks add up their own rows, Spark adds up the tasks, and only the code
 entries x part width) reach the driver.
 
 The nearest entry is found by slicing and intersecting: for each dimension the entries' coordinates are
-sorted, and every prefix of that order has a uint64 mask of its entries. A first radius, the distance to an
+sorted, and every prefix of that order has a uint64 mask of its entries. A first radius, a quarter of the distance to an
 entry close by in the widest dimension, selects a range of each order; two prefix masks give the entries in
 a range, and the masks of all dimensions are ANDed. An entry at most that far away lies in every
-range, so the candidates hold the nearest one and all its ties; their distances are then computed.
+range, so candidates within the radius hold the nearest one and all its ties; where there is none, the radius grows.
 
 Rows: null vectors and vectors with a null, NaN or infinite component are left out, as are vectors
 of another length than most (of equally frequent lengths the longer counts). That length must be divisible by the number
@@ -37,6 +37,7 @@ from snapcount.session import BROADCAST_ROWS, cut, ship_package
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 MOST_ENTRIES = 64  # bits of a mask
+FIRST_RADIUS = 4  # the part of the widest radius that is tried first
 
 
 def integers(column: pa.Array, length: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +71,11 @@ class Slices:
         self.order = order.T
         self.widest = int(np.argmax(self.coordinates[:, -1] - self.coordinates[:, 0])) if width else 0
 
-    def first_radius(self, vectors: np.ndarray) -> np.ndarray:
+    def widest_radius(self, vectors: np.ndarray) -> np.ndarray:
         """A distance, rounded up, within which every vector has an entry."""
         line = self.coordinates[self.widest]
         near = np.minimum(np.searchsorted(line, vectors[:, self.widest]), len(line) - 1)
-        squared = ((vectors - self.entries[self.order[self.widest, near]]) ** 2).sum(axis=1)
-        if squared.dtype == object:
-            return np.array([math.isqrt(x) + 1 for x in squared], dtype=object)
-        return np.sqrt(squared.astype(np.float64)).astype(np.int64) + 1
+        return roots(((vectors - self.entries[self.order[self.widest, near]]) ** 2).sum(axis=1))
 
     def candidates(self, vectors: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """Masks of the entries that are within the radius in every dimension."""
@@ -88,13 +86,8 @@ class Slices:
             found &= self.masks[j, high] ^ self.masks[j, low]
         return found
 
-    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index and squared distance of the nearest entry; of equally near ones the lowest."""
-        if not vectors.shape[1]:
-            return np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors), dtype=np.int64)
-        if self.entries.dtype == object and vectors.dtype != object:
-            vectors = vectors.astype(object)
-        found = self.candidates(vectors, self.first_radius(vectors))
+    def best(self, vectors: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index (-1: none) and squared distance of the nearest candidate, of equally near ones the lowest."""
         index = np.full(len(vectors), -1, dtype=np.int64)
         least = np.zeros(len(vectors), dtype=np.result_type(vectors, self.entries))
         for e, entry in enumerate(self.entries):
@@ -105,6 +98,37 @@ class Slices:
             index[rows], least[rows] = e, squared
         return index, least
 
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index and squared distance of the nearest entry; of equally near ones the lowest.
+
+        A vector is settled once its best candidate is no farther than the radius. Otherwise the radius becomes that
+        candidate's distance, or, with no candidate, twice as wide.
+        """
+        if not vectors.shape[1]:
+            return np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors), dtype=np.int64)
+        if self.entries.dtype == object and vectors.dtype != object:
+            vectors = vectors.astype(object)
+        index = np.full(len(vectors), -1, dtype=np.int64)
+        least = np.zeros(len(vectors), dtype=np.result_type(vectors, self.entries))
+        widest = self.widest_radius(vectors)
+        radius, open_ = widest // FIRST_RADIUS + 1, np.arange(len(vectors))
+        while len(open_):
+            part, within = vectors[open_], radius[open_]
+            found, squared = self.best(part, self.candidates(part, within))
+            settled = (found >= 0) & (squared <= within**2)
+            index[open_[settled]], least[open_[settled]] = found[settled], squared[settled]
+            wider = np.where(found >= 0, roots(squared), np.minimum(2 * within, widest[open_]))
+            radius[open_] = wider
+            open_ = open_[~settled]
+        return index, least
+
+
+def roots(squared: np.ndarray) -> np.ndarray:
+    """Square roots, rounded up or one more."""
+    if squared.dtype == object:
+        return np.array([math.isqrt(x) + 1 for x in squared], dtype=object)
+    return np.sqrt(squared.astype(np.float64)).astype(np.int64) + 1
+
 
 def narrow(codebooks: list[list[list[int]]]) -> list[np.ndarray]:
     """Codebooks as arrays, of 64-bit integers where squares of differences fit."""
