@@ -107,3 +107,21 @@ from kept join coded using (r)
 
 
 VECTOR_CODES = vector_codes()
+
+
+# SHA-1 in hex to base32: 40 hex digits are 32 groups of five bits.
+WARC = """
+with paid as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages
+), named as (
+  select page_id, payload_bytes, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda q:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((('0x' || substr(h, cast(g * 5 + 1 as int), 5))::bigint >> (15 - 5 * q)) & 31 as int) + 1, 1)), '')), '') as payload_digest
+  from paid
+), ranked as (
+  select *, max(page_id) over (partition by payload_digest) as kept from named
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when page_id = kept then 'response' else 'revisit' end as record_type,
+       case when page_id < kept then kept end as refers_to
+from ranked
+"""

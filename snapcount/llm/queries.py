@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcount.llm import codes, decontam, html_text, licenses, oracles, packing, pii, quality, sharding, simhash, toxicity, winnow
+from snapcount.llm import codes, decontam, html_text, licenses, oracles, packing, pii, quality, sharding, simhash, toxicity, warc, winnow
 from snapcount.llm.common import table
+from snapcount.sources.stores import staging_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +105,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawled, deduplicated = staging_folder(spark), staging_folder(spark)
+    records = warc.write(table(spark, sf_dir, "pages"), crawled)
+    warc.deduplicate(spark, crawled, deduplicated, records=records)
+    return warc.read(spark, deduplicated).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to_page").cast("long").alias("refers_to"),
+    )
+
+
+ORACLES["op12_warc"] = oracles.WARC
+
+
 @query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
