@@ -125,3 +125,53 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
        case when page_id < kept then kept end as refers_to
 from ranked
 """
+
+
+# Every prefix as its text; subtrees by joining each node with all prefixes of its smallest member.
+PREFIX_TRIE = """
+with recursive steps(b, k, c) as (
+  select b, 0, b from range(256) r(b)
+  union all
+  select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end from steps where k < 8
+), crc as (select list(c order by b) as t from steps where k = 8),
+turns as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first) - 1 as p
+  from conversations where conv_id is not null
+), ids as (
+  select c, n, c - ((c % 5) + 5) % 5 as base,
+         xor(list_reduce(list_concat([4294967295::bigint], list_transform(
+           regexp_extract_all(hex(encode(cast(c as varchar))), '..'), lambda x: ('0x' || x)::bigint)),
+           lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295::bigint) % 9 as h
+  from (select c, count(*) as n from turns group by c), crc
+), convs as (
+  select i.*, least(h, coalesce(b.bn, 0)) as taken from ids i left join (select c as base, n as bn from ids) b using (base)
+), rebuilt as (
+  select v.c, t.p, role, text from convs v join turns t on t.c = v.base where t.p < h
+  union all
+  select v.c, taken + t.p - h, role, text from convs v join turns t on t.c = v.c where t.p >= h
+), paths as materialized (
+  select c, p + 1 as depth, octet_length(encode(text)) as size,
+         sha256(cast(list([role, text]) over (partition by c order by p) as varchar)) as k,
+         p + 1 = count(*) over (partition by c) as ends
+  from rebuilt
+  union all
+  select c, 0, 0, '', c not in (select c from rebuilt) from convs
+), nodes as materialized (
+  select k, depth, any_value(size) as size, min(c) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (ends), '')) as ends_sha256
+  from paths group by k, depth
+), up as (
+  select n.k, a.k as above, a.depth as above_depth from nodes n join paths a on a.c = n.conv_id and a.depth <= n.depth
+), children as (
+  select u.above as k, count(*) as n_children from up u join nodes n using (k) where u.above_depth = n.depth - 1 group by 1
+), below as (
+  select u.above as k, sum((n.n_convs - 1) * n.size) as saved, count(*) filter (n.k not in (select k from children)) as leaves
+  from up u join nodes n using (k) group by 1
+), parent as (
+  select u.k, a.conv_id as parent_conv_id from up u join nodes n using (k) join nodes a on a.k = u.above where u.above_depth = n.depth - 1
+)
+select conv_id, cast(depth as bigint) as depth, parent_conv_id, n_convs, coalesce(n_children, 0) as n_children,
+       leaves as n_leaves, cast(saved as bigint) as saved_tokens, ends_sha256
+from nodes left join children using (k) join below using (k) left join parent using (k)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapcount.llm import codes, decontam, html_text, licenses, oracles, packing, pii, quality, sharding, simhash, toxicity, warc, winnow
+from snapcount.llm import codes, decontam, html_text, licenses, oracles, packing, pii, quality, sharding, simhash, toxicity, trie, warc, winnow
 from snapcount.llm.common import table
 from snapcount.sources.stores import staging_folder
 
@@ -105,6 +105,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = oracles.PREFIX_TRIE
+
+
 @query
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawled, deduplicated = staging_folder(spark), staging_folder(spark)

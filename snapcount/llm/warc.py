@@ -161,8 +161,9 @@ def members(stream) -> Iterator[tuple[int, int, bytes]]:
 class Archives:
     """Writes records to one archive after another in a staging folder."""
 
-    def __init__(self, staging: str):
+    def __init__(self, staging: str, most: int):
         self.system, self.root = store(staging)
+        self.most = most
         self.stream, self.name, self.offset = None, "", 0
 
     def add(self, record: dict, data) -> dict:
@@ -176,7 +177,7 @@ class Archives:
         self.stream.write(content)
         placed = record | {"file": self.name, "offset": self.offset, "length": len(content)}
         self.offset += len(content)
-        if self.offset >= FILE_BYTES:
+        if self.offset >= self.most:
             self.close()
         return placed
 
@@ -208,7 +209,7 @@ def write(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame:
     staging = staging_folder(spark, folder)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archives = Archives(staging)
+        archives = Archives(staging, FILE_BYTES)
         for batch in batches:
             done = []
             for page_id, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -322,7 +323,7 @@ def deduplicate(
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, root = store(source)
-            archives, name, stream = Archives(staging), None, None
+            archives, name, stream = Archives(staging, FILE_BYTES), None, None
             for batch in batches:
                 done = []
                 for row in batch.to_pylist():

@@ -55,6 +55,7 @@ def test_each_payload_is_stored_once(spark, tmp_path, monkeypatch, least):
     first, second = f"file://{tmp_path}/crawl", f"{tmp_path}/once"
     records = warc.write(spark.createDataFrame(pages(), SCHEMA).repartition(4), first)
     assert {r.record_type for r in records.collect()} == {"response"} and records.count() == 93
+    assert records.select("file").distinct().count() > 5
     for given in (None, records):
         target = f"{second}-{given is None}"
         warc.deduplicate(spark, first, target, least, records=given)
