@@ -37,42 +37,51 @@ VOTED = {
 }
 
 
-def assign_spots(frames: DataFrame, seq: Sequence = FRAMES) -> DataFrame:
-    """Add ``spot``: the order value of the frame that opens the frame's spot.
+def has_anchor() -> Column:
+    return F.col("yard_line").isNotNull() | F.col("down").isNotNull() | F.col("special_state").isNotNull()
 
-    Scores must be filled in (see ``stabilize_scores``). Whether a frame opens a
-    spot depends on the anchored frame before it, on the last yard line, and on
-    the down of the open spot. That down is the latest one read together with a
-    yard line since the last certain opening or, without one, the first down
-    read since then; so a few ordered lookups decide every frame.
-    Unreadable frames go with the next anchored frame; those before the first
-    and after the last anchored frame get null.
-    """
-    order = F.col(seq.order)
-    yard, down = F.col("yard_line"), F.col("down")
+
+def with_openings(frames: DataFrame, seq: Sequence = FRAMES) -> DataFrame:
+    """Add ``_opens``, whether a frame certainly opens a spot, and what decides it: ``_prior``, the special state and
+    score of the anchored frame before, and ``_yard``, the last yard line."""
     special = F.col("special_state")
-    anchored = yard.isNotNull() | down.isNotNull() | special.isNotNull()
     score = F.struct("away_score", "home_score")
-
     df = S.scan(
         frames,
         seq,
-        _prior=S.latest(F.when(anchored, F.struct(special.alias("special"), score.alias("score")))),
-        _yard=S.latest(yard),
+        _prior=S.latest(F.when(has_anchor(), F.struct(special.alias("special"), score.alias("score")))),
+        _yard=S.latest(F.col("yard_line")),
     )
     prior = F.col("_prior")
-    moved = F.coalesce(yard != F.col("_yard"), F.lit(False))
+    moved = F.coalesce(F.col("yard_line") != F.col("_yard"), F.lit(False))
     opens = (
-        F.when(~anchored, False)
+        F.when(~has_anchor(), False)
         .when(prior.isNull(), True)
         .when(prior.special.isNotNull(), ~prior.special.eqNullSafe(special))
         .otherwise(moved | ~prior.score.eqNullSafe(score))
     )
-    df = S.scan(df.withColumn("_opens", opens), seq, _since=S.fill(F.when(F.col("_opens"), order)))
+    return df.withColumn("_opens", opens)
+
+
+def assign_spots(frames: DataFrame, seq: Sequence = FRAMES) -> DataFrame:
+    """Add ``spot``: the order value of the frame that opens the frame's spot.
+
+    Scores must be filled in (see ``stabilize_scores``). Whether a frame opens a
+    spot depends on the anchored frame before it, on the last yard line, and on
+    the down of the open spot. That down is the latest one read together with a
+    yard line since the last certain opening or, without one, the first down
+    read since then; so a few ordered lookups decide every frame.
+    Unreadable frames go with the next anchored frame; those before the first
+    and after the last anchored frame get null.
+    """
+    order = F.col(seq.order)
+    yard, down = F.col("yard_line"), F.col("down")
+    df = with_openings(frames, seq)
+    df = S.scan(df, seq, _since=S.fill(F.when(F.col("_opens"), order)))
 
     since = F.col("_since")
     firm = yard.isNotNull() & F.col("_yard").isNotNull() & down.isNotNull()
-    loose = anchored & down.isNotNull() & ~firm
+    loose = has_anchor() & down.isNotNull() & ~firm
     read = F.struct(down.alias("down"), since.alias("since"))
     df = S.scan(
         df,
@@ -93,10 +102,10 @@ def assign_spots(frames: DataFrame, seq: Sequence = FRAMES) -> DataFrame:
         & (down != spot_down)
     )
     opened = F.col("_opens") | F.coalesce(new_down, F.lit(False))
-    df = df.withColumn("_opened", anchored & opened)
+    df = df.withColumn("_opened", has_anchor() & opened)
     df = S.scan(df, seq, _spot=S.fill(F.when(F.col("_opened"), order)))
-    df = S.scan(df, seq, _ahead=S.coming(F.when(anchored, F.col("_spot"))))
-    spot = F.when(anchored, F.col("_spot")).when(F.col("_spot").isNotNull(), F.col("_ahead"))
+    df = S.scan(df, seq, _ahead=S.coming(F.when(has_anchor(), F.col("_spot"))))
+    spot = F.when(has_anchor(), F.col("_spot")).when(F.col("_spot").isNotNull(), F.col("_ahead"))
     return df.withColumn("spot", spot).drop(
         "_prior", "_yard", "_opens", "_since", "_firm", "_loose", "_first",
         "_opened", "_spot", "_ahead",
@@ -285,11 +294,3 @@ def summarize_spots(spotted: DataFrame, seq: Sequence = FRAMES) -> DataFrame:
     ).withColumnsRenamed(
         {"stream_side": "_stream_side", "personnel": "_personnel", "formation": "_formation"}
     )
-
-
-def has_anchor() -> Column:
-    return (
-        F.col("yard_line").isNotNull()
-        | F.col("down").isNotNull()
-        | F.col("special_state").isNotNull()
-    )

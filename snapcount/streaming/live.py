@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from snapcount.operators import discovery
 from snapcount.operators.catalog import Catalog
-from snapcount.plans.games import plays_from_frames
-
-BUCKETS = 256
-
+from snapcount.streaming import incremental
 
 def live_plays(
     frames: DataFrame,
@@ -23,17 +18,16 @@ def live_plays(
     folder: str,
     checkpoint: str,
     lateness: str = "1 hour",
+    compact_every: int = 20,
 ) -> StreamingQuery:
     """Keep the plays under ``folder`` up to date with a stream of frame states.
 
-    Later frames change earlier plays, so each batch adds its frames to
-    ``folder``/states and computes the games it touched again, from the buckets of those
-    games only. Plays are versions: a batch writes the plays of its games and, last, the list
-    of its games; ``current_plays`` takes each game from the last batch that lists it. A game
-    whose new plays are fewer, or none, so leaves nothing old behind. A batch that runs twice
-    writes the same rows again: its id is in every path.
+    Later frames change earlier plays, but only back to the last settled spot: a batch computes the open tails
+    of its games again (see ``incremental``). Plays are versions by batch, and ``current_plays`` takes each
+    game from the last batch that lists it. A game whose new plays are fewer, or none, so leaves nothing old
+    behind. A batch that runs twice writes the same rows again: its id is in every path. Every ``compact_every``
+    batches the tables are merged.
     """
-    bucket = F.pmod(F.xxhash64("game_id"), F.lit(BUCKETS)).cast("int")
     once = frames
     if "event_time" in frames.columns:
         once = frames.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(
@@ -41,29 +35,8 @@ def live_plays(
         )
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.drop("event_time").withColumn("bucket", bucket)
-        batch.write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{folder}/states/batch={batch_id}"
-        )
-        mine = spark.read.parquet(f"{folder}/states/batch={batch_id}")
-        touched = mine.select("game_id", "bucket").distinct()
-        if not touched.head(1):
-            return
-        # At most one value per bucket, so a short list of partitions to read.
-        buckets = [row.bucket for row in touched.select("bucket").distinct().collect()]
-        states = spark.read.parquet(f"{folder}/states").filter(F.col("bucket").isin(buckets))
-        latest = states.join(touched.select("game_id"), "game_id", "left_semi")
-        # A frame sent again in a later batch counts once, the newer one.
-        others = [c for c in latest.columns if c not in ("game_id", "frame_index", "batch", "bucket")]
-        latest = (
-            latest.groupBy("game_id", "frame_index")
-            .agg(F.max_by(F.struct(*others), "batch").alias("_s"))
-            .select("game_id", "frame_index", "_s.*")
-        )
-        plays = plays_from_frames(latest, catalog)
-        plays.write.mode("overwrite").parquet(f"{folder}/plays/batch={batch_id}")
-        touched.select("game_id").write.mode("overwrite").parquet(f"{folder}/games/batch={batch_id}")
+        tables = incremental.live_tables(batch.sparkSession, folder)
+        incremental.update(batch.drop("event_time"), batch_id, catalog, tables, compact_every)
 
     return (
         once.writeStream.foreachBatch(update)
@@ -75,59 +48,7 @@ def live_plays(
 
 def current_plays(spark: SparkSession, folder: str) -> DataFrame:
     """The plays of every game as of the last batch that had frames of it."""
-    last = (
-        spark.read.parquet(f"{folder}/games")
-        .groupBy("game_id")
-        .agg(F.max("batch").alias("batch"))
-    )
-    return spark.read.parquet(f"{folder}/plays").join(last, ["game_id", "batch"]).drop("batch")
-
-
-def finished_games(
-    frames: DataFrame, idle_ms: int = 600_000, grace_ms: int = 3_600_000
-) -> DataFrame:
-    """Each game once: at its end row, or after a time without frames.
-
-    ``frames`` has ``game_id, frame_index, game_over``. The state per game is
-    two numbers and a flag, however long the game is. A reported game is remembered
-    for ``grace_ms`` after its last frame, so that late frames don't report it again.
-    """
-
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        frames, last, done = state.get if state.exists else (0, -1, False)
-        if done and state.hasTimedOut:
-            state.remove()
-            return
-        reason = "idle"
-        if not state.hasTimedOut:
-            over = False
-            for batch in batches:
-                frames += len(batch)
-                last = max(last, int(batch["frame_index"].max()))
-                over = over or bool((batch["game_over"] == True).any())  # noqa: E712
-            reason = "end_row" if over else None
-        report = reason is not None and not done
-        state.update((frames, last, done or report))
-        if report:
-            yield pd.DataFrame(
-                {
-                    "game_id": [key[0]],
-                    "frames": [frames],
-                    "last_frame": [last],
-                    "reason": [reason],
-                }
-            )
-        state.setTimeoutDuration(grace_ms if done or report else idle_ms)
-
-    return frames.groupBy("game_id").applyInPandasWithState(
-        step,
-        "game_id string, frames bigint, last_frame bigint, reason string",
-        "frames bigint, last bigint, done boolean",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
-    )
+    return incremental.live_tables(spark, folder).latest("plays")
 
 
 def new_streams(polls: DataFrame, jobs: DataFrame, lateness: str | None = None) -> DataFrame:

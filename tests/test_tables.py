@@ -179,26 +179,6 @@ def test_live_result_equals_batch_result(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_finished_games_are_reported_once(spark, tmp_path):
-    rows = [("a", 0, False), ("a", 1, True), ("b", 0, False)]
-    df = spark.createDataFrame(rows, "game_id string, frame_index long, game_over boolean")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-
-    def stop_at_first_row(query):
-        # A stream with time-outs goes on for ever; it is stopped from outside.
-        for _ in range(80):
-            time.sleep(0.5)
-            if spark.read.schema("game_id string").parquet(str(tmp_path / "cp-rows")).count():
-                break
-        query.stop()
-
-    table = live.run_to_table(
-        live.finished_games(stream), "finished", str(tmp_path / "cp"), start=stop_at_first_row
-    )
-    assert [tuple(r) for r in table.collect()] == [("a", 2, 1, "end_row")]
-
-
 def test_archives_of_earlier_runs_stay(spark, tmp_path):
     out = str(tmp_path / "out")
     for seed in (3, 4):
@@ -208,12 +188,3 @@ def test_archives_of_earlier_runs_stay(spark, tmp_path):
     assert {r.game_id for r in rows.select("game_id").distinct().collect()} == {"g3", "g4"}
     archived = spark.read.option("header", True).csv(f"{out}/Game_Data")
     assert archived.select("game_file").distinct().count() == 2
-
-
-def test_a_game_whose_plays_go_leaves_none_behind(spark, tmp_path):
-    folder = str(tmp_path)
-    for batch, rows in enumerate([[("a", 1), ("b", 1)], []]):
-        spark.createDataFrame(rows, "game_id string, play_number int").write.parquet(f"{folder}/plays/batch={batch}")
-    for batch, names in enumerate([["a", "b"], ["a"]]):
-        spark.createDataFrame([(n,) for n in names], "game_id string").write.parquet(f"{folder}/games/batch={batch}")
-    assert [r.game_id for r in live.current_plays(spark, folder).collect()] == ["b"]
