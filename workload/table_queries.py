@@ -6,17 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapcount import constants as C
+from snapcount import schemas
 from snapcount.functions import text as P
 from snapcount.operators import calibration, catalog as K, discovery, evidence, readings, reports
 from snapcount.plans import games
-from snapcount.session import checkpoint_dir
+from snapcount.session import checkpoint_dir, cut
 from snapcount.sources import files
-from snapcount.streaming import live
+from snapcount.streaming import finish, live
 from workload import bindings as B
 from workload import oracles as O
-from workload.game_queries import catalog, register, summaries
+from workload.game_queries import PLAY_COLUMNS, catalog, frames, register, summaries
 
 # Readings -------------------------------------------------------------------
 
@@ -843,3 +845,50 @@ register(
     O.chain(("c", _CHANNELS), last="""select distinct 'player_' || (conv_id % 40) as channel from conversations
       where turn % 4 = 0 and 'player_' || (conv_id % 40) not in (select lower(trim(channel)) from c)"""),
 )
+
+
+def _live_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames as a stream of two batches: the second half of each game continues from its open tail."""
+    folder = f"{checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
+    whole = frames(spark, sf_dir)
+    names = list(T.StructType.fromDDL(schemas.FRAMES).names)
+    middle = whole.groupBy("game_id").agg((F.max("frame_index") / 2).alias("middle"))
+    halves = cut(whole.join(middle, "game_id").withColumn("half", (F.col("frame_index") > F.col("middle")).cast("int")))
+    for half in range(2):
+        part = halves.filter(F.col("half") == half).select(*names)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(halves.select(*names).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    live.live_plays(stream, catalog(spark, sf_dir), f"{folder}/live", f"{folder}/checkpoint").awaitTermination()
+    return live.current_plays(spark, f"{folder}/live").select(
+        *PLAY_COLUMNS, F.array_join("transition_evidence", ",").alias("transition_evidence")
+    )
+
+
+register(
+    "stream_live_plays",
+    _live_plays,
+    O.up_to("plays", f"select {', '.join(PLAY_COLUMNS)}, transition_evidence from plays"),
+)
+register(
+    "stream_finished_games",
+    lambda spark, sf: _as_table(
+        finish.finished_games(
+            _stream(spark, sf, "events").select(
+                F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("game_id"),
+                F.col("event_id").alias("frame_index"),
+                (F.col("event_id") % 97 == 5).alias("game_over"),
+                F.col("ts").cast("timestamp").alias("event_time"),
+            ),
+            idle_ms=6 * 3_600_000, lateness="1 hour",
+        ),
+        "stream_finished_games",
+    ),
+    """with g as (
+      select 'g' || user_id as game_id, count(*) as frames, min(event_id) as first_frame, max(event_id) as last_frame,
+             min(ts) filter (event_id % 97 = 5) as over, max(ts) + interval 6 hour as idle
+      from events group by user_id
+    )
+    select game_id, frames, first_frame, last_frame, cast(1 as bigint) as batches,
+           case when over is null then 'idle' else 'end_row' end as reason
+    from g where coalesce(over, idle) <= (select max(ts) - interval 1 hour from events)""",
+)
