@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from snapcount import constants as C
 from snapcount.functions import text as P
 from snapcount.functions.similarity import normalized
-from snapcount.operators.sequence import Walk, walk
+from snapcount.session import checkpoint_dir, cut, ship_package, spread
 
-# Rows of the score table kept between recomputed blocks of the traceback.
-BLOCK = 256
+# Rows and columns of a part of an alignment's score table.
+TILE = 512
 
 
 def values_match(field: str | Column, expected: Column, observed: Column) -> Column:
@@ -100,99 +107,159 @@ class _PairScores:
         return np.where(compared >= 2, total, C.ALIGNMENT_GAP)
 
 
-def _next_scores(prior: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row of the alignment table and its moves (0 match, 1 up, 2 left)."""
+def _next_scores(prior: np.ndarray, pair: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
+    """One row of a score table that starts with ``first``, and its moves (0 match, 1 up, 2 left)."""
     gap = C.ALIGNMENT_GAP
     match, up = prior[:-1] + pair, prior[1:] + gap
     best = np.where(match >= up, match, up)
     moves = np.where(match >= up, 0, 1).astype(np.int8)
     # A run of left moves costs a gap each, so the best start is a running max.
     steps = gap * np.arange(len(best) + 1)
-    reach = np.maximum.accumulate(np.concatenate([[prior[0] + gap], best]) - steps) + steps
-    scores = np.concatenate([[prior[0] + gap], np.maximum(best, reach[:-1] + gap)])
+    reach = np.maximum.accumulate(np.concatenate([[first], best]) - steps) + steps
+    scores = np.concatenate([[first], np.maximum(best, reach[:-1] + gap)])
     moves[scores[1:] > best] = 2
     return scores, moves
 
 
-def align_rows(expected: Columns, observed: Columns) -> list[tuple[int, int]]:
-    """Best global alignment as (expected position, observed position) pairs.
+class _Tile:
+    """Part of a score table: some labelled rows against some observed rows.
 
-    Score rows are kept once per block and moves are worked out again block by
-    block on the way back, so memory is not the full table.
+    ``top`` has the scores of the table's row above (one more than the columns), ``left`` those of the column
+    before; without them the tile lies at that edge of the table, where every step is a gap.
     """
-    rows, width = (len(next(iter(side.values()))) for side in (expected, observed))
-    if not rows or not width:
-        return []
-    pairs = _PairScores(expected, observed)
-    scores = C.ALIGNMENT_GAP * np.arange(width + 1)
-    kept = []
-    for i in range(rows):
-        if i % BLOCK == 0:
-            kept.append(scores)
-        scores, _ = _next_scores(scores, pairs.row(i))
-    aligned, j = [], width
-    for block in range(len(kept) - 1, -1, -1):
-        first = block * BLOCK
-        scores, table = kept[block], []
-        for i in range(first, min(first + BLOCK, rows)):
-            pair = pairs.row(i)
-            scores, moves = _next_scores(scores, pair)
+
+    def __init__(self, labels: list[dict], plays: list[dict], top: list | None, left: list | None) -> None:
+        self.labels, self.plays = labels, plays
+        sides = ({n: [row[n] for row in side] for n in C.ALIGNMENT_WEIGHTS} for side in (labels, plays))
+        self.pairs = _PairScores(*sides)
+        edge = C.ALIGNMENT_GAP * np.array([labels[0]["place"], plays[0]["place"]])
+        gaps = C.ALIGNMENT_GAP * np.arange(max(len(labels), len(plays)) + 1)
+        self.top = np.array(top) if top is not None else edge[1] + gaps[: len(plays) + 1]
+        self.left = np.array(left) if left is not None else edge[0] + gaps[: len(labels) + 1]
+
+    def borders(self) -> tuple[list[float], list[float]]:
+        """Scores of the last row and the last column."""
+        scores, last = self.top, [self.top[-1]]
+        for i in range(len(self.labels)):
+            scores, _ = _next_scores(scores, self.pairs.row(i), self.left[i + 1])
+            last.append(scores[-1])
+        return scores.tolist(), [float(x) for x in last]
+
+    def trace(self, row: int, column: int) -> tuple[list[tuple[int, int]], int, int]:
+        """The aligned numbers on the way back from a cell, and the cell at which the way leaves the tile."""
+        scores, table, aligned = self.top, [], []
+        for i in range(row):
+            pair = self.pairs.row(i)
+            scores, moves = _next_scores(scores, pair, self.left[i + 1])
             table.append((pair, moves))
-        for i in range(len(table) - 1, -1, -1):
-            pair, moves = table[i]
-            while j > 0 and moves[j - 1] == 2:
-                j -= 1
-            if j > 0 and moves[j - 1] == 0:
-                if pair[j - 1] > 0:
-                    aligned.append((first + i, j - 1))
-                j -= 1
-    return aligned[::-1]
-
-
-class _Alignment(Walk):
-    """Gathers one game's labels and plays, then aligns them."""
-
-    def __init__(self) -> None:
-        self.sides: tuple[list, list] = ([], [])
-
-    def add(self, row):
-        self.sides[row.played].append(row)
-        return []
-
-    def end(self):
-        columns = [
-            {name: [getattr(r, name) for r in side] for name in C.ALIGNMENT_WEIGHTS}
-            for side in self.sides
-        ]
-        labels, plays = self.sides
-        return [
-            (int(labels[i].number), int(plays[j].number)) for i, j in align_rows(*columns)
-        ]
-
-
-def align_plays(labels: DataFrame, plays: DataFrame) -> DataFrame:
-    """(game_id, expected_number, play_number): matched plays, game by game.
-
-    An alignment is global, so one game's labels and plays meet in one task.
+        while row > 0 and column > 0:
+            pair, moves = table[row - 1]
+            move = moves[column - 1]
+            if move == 0 and pair[column - 1] > 0:
+                aligned.append((self.labels[row - 1]["number"], self.plays[column - 1]["number"]))
+            row -= move != 2
+            column -= move != 1
+        return aligned, row, column
+
+
+def _blocks(df: DataFrame, tile: int, block: str) -> DataFrame:
+    """Rows of each game in order, ``tile`` of them to a row."""
+    number = F.col("play_number").cast("bigint").alias("number")
+    rows = df.select("game_id", number, *C.ALIGNMENT_WEIGHTS)
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("game_id").orderBy("number", *C.ALIGNMENT_WEIGHTS)) - 1)
+    item = F.struct("place", "number", *C.ALIGNMENT_WEIGHTS)
+    return placed.groupBy("game_id", F.floor(F.col("place") / tile).alias(block)).agg(
+        F.sort_array(F.collect_list(item)).alias(f"{block}_rows")
+    )
+
+
+_BORDERS = "game_id string, i bigint, j bigint, side string, scores array<double>"
+_TRACED = "game_id string, expected_number int, play_number int, r bigint, c bigint"
+
+
+def _with_borders(tiles: DataFrame, borders: DataFrame) -> DataFrame:
+    for side in ("top", "left"):
+        known = borders.filter(F.col("side") == side).select("game_id", "i", "j", F.col("scores").alias(side))
+        tiles = tiles.join(known, ["game_id", "i", "j"], "left")
+    return tiles
+
+
+def align_plays(labels: DataFrame, plays: DataFrame, tile: int = TILE) -> DataFrame:
+    """(game_id, expected_number, play_number): matched plays, by the best global alignment of each game.
+
+    A game's score table is cut into tiles of ``tile`` labelled times ``tile`` observed rows. The tiles of one
+    antidiagonal need only the last row and column of those on the one before, so all of them, of all games,
+    are computed at once; these borders are kept, and no others. The way back goes through one tile a game and
+    round, computed again from its borders. A game that fits in a tile needs no border and one round, whatever
+    its neighbours need; no task holds more than one tile at a time. Games without labels or without plays have no pairs. Equal play numbers are
+    ordered by their values; nulls in a compared field count as not read.
     """
-    number = F.col("play_number").cast("bigint")
-
-    def side(df: DataFrame, played: int) -> DataFrame:
-        return df.select(
-            "game_id",
-            (F.lit(played).cast("bigint") * (1 << 40) + number).alias("at"),
-            F.lit(played).alias("played"),
-            number.alias("number"),
-            *C.ALIGNMENT_WEIGHTS,
+    spark = labels.sparkSession
+    ship_package(spark)
+    folder = f"{checkpoint_dir(spark)}/alignment-{uuid.uuid4().hex}"
+    left, right = cut(_blocks(labels, tile, "i")), cut(_blocks(plays, tile, "j"))
+
+    def extent(blocks: DataFrame, block: str, rows: str) -> DataFrame:
+        return blocks.groupBy("game_id").agg(F.max(block).alias(f"last_{block}"), F.sum(F.size(f"{block}_rows")).alias(rows))
+
+    games = cut(extent(left, "i", "r").join(extent(right, "j", "c"), "game_id"))
+    far = games.agg(F.max(F.col("last_i") + F.col("last_j"))).head()[0] or 0
+
+    def bordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                bottom, end = _Tile(row["i_rows"], row["j_rows"], row["top"], row["left"]).borders()
+                key = {"game_id": row["game_id"]}
+                made.append(key | {"i": row["i"] + 1, "j": row["j"], "side": "top", "scores": bottom})
+                made.append(key | {"i": row["i"], "j": row["j"] + 1, "side": "left", "scores": end})
+            yield pa.RecordBatch.from_pylist(made, schema=border_schema)
+
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                part = _Tile(row["i_rows"], row["j_rows"], row["top"], row["left"])
+                above, before = row["i"] * tile, row["j"] * tile
+                aligned, r, c = part.trace(row["r"] - above, row["c"] - before)
+                key = {"game_id": row["game_id"]}
+                made += [key | {"expected_number": e, "play_number": p, "r": None, "c": None} for e, p in aligned]
+                made.append(key | {"expected_number": None, "play_number": None, "r": above + r, "c": before + c})
+            yield pa.RecordBatch.from_pylist(made, schema=traced_schema)
+
+    border_schema = to_arrow_schema(T.StructType.fromDDL(_BORDERS))
+    traced_schema = to_arrow_schema(T.StructType.fromDDL(_TRACED))
+    none = spark.createDataFrame([], _BORDERS)
+
+    def borders_for(diagonal: Column | int, upto: int) -> DataFrame:
+        """Borders of tiles, as the diagonals before them made them."""
+        if upto <= 0:
+            return none
+        made = spark.read.schema(f"{_BORDERS}, diagonal int").option("basePath", folder).parquet(f"{folder}/diagonal=*")
+        return made.filter(F.col("diagonal") == diagonal).drop("diagonal") if isinstance(diagonal, int) else made.drop("diagonal")
+
+    def tiles(places: DataFrame, borders: DataFrame) -> DataFrame:
+        found = places.join(left, ["game_id", "i"]).join(right, ["game_id", "j"])
+        return spread(_with_borders(found, borders), "game_id", "i", "j")
+
+    for d in range(far):
+        low, high = F.greatest(d - F.col("last_j"), F.lit(0)), F.least("last_i", F.lit(d))
+        places = games.filter(F.col("last_i") + F.col("last_j") > d).select(
+            "game_id", F.explode(F.sequence(low, high)).alias("i")
         )
-
-    return walk(
-        side(labels, 0).unionByName(side(plays, 1)),
-        ["game_id"],
-        "at",
-        _Alignment,
-        "expected_number int, play_number int",
-    )
+        places = places.withColumn("j", F.lit(d) - F.col("i"))
+        made = tiles(places, borders_for(d - 1, d)).mapInArrow(bordered, _BORDERS)
+        made.write.mode("overwrite").parquet(f"{folder}/diagonal={d}")
+
+    found, at = [], games.select("game_id", "r", "c")
+    while at.head(1):
+        places = at.withColumns({"i": F.floor((F.col("r") - 1) / tile), "j": F.floor((F.col("c") - 1) / tile)})
+        step = cut(tiles(places, borders_for(F.lit(None), far)).mapInArrow(traced, _TRACED))
+        found.append(step.filter("r is null").select("game_id", "expected_number", "play_number"))
+        at = step.filter("r > 0 and c > 0").select("game_id", "r", "c")
+    if not found:
+        return spark.createDataFrame([], "game_id string, expected_number int, play_number int")
+    return reduce(DataFrame.unionByName, found)
 
 
 def compare_fields(labels: DataFrame, plays: DataFrame, aligned: DataFrame) -> DataFrame:

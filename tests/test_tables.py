@@ -68,60 +68,6 @@ def test_frame_limit_counts_kept_rows_of_each_game(spark):
     assert sorted((r.game_id, r.frame_index) for r in rows) == [("g", 0), ("g", 4), ("g", 10), ("h", 50), ("h", 52), ("h", 60)]
 
 
-def test_alignment_skips_an_inserted_play():
-    def table(rows):
-        return {n: [r.get(n) for r in rows] for n in calibration.C.ALIGNMENT_WEIGHTS}
-
-    expected = [dict(quarter=1, down=d, distance=x, yard_line=y) for d, x, y in [(2, 9, 36), (3, 1, 44), (4, 2, 43)]]
-    observed = [expected[0], dict(quarter=1, down=1, distance=10, yard_line=5), *expected[1:]]
-    assert calibration.align_rows(table(expected), table(observed)) == [(0, 0), (1, 2), (2, 3)]
-
-
-def test_alignment_matches_the_full_table(monkeypatch):
-    import random
-
-    monkeypatch.setattr(calibration, "BLOCK", 3)
-    rng = random.Random(5)
-    for _ in range(60):
-        def rows(n):
-            choices = {k: [None, "HB A", "HBA", "B"] if "call" in k else [None, 1, 2, 3] for k in weights}
-            return {k: [rng.choice(choices[k]) for _ in range(n)] for k in weights}
-
-        weights = calibration.C.ALIGNMENT_WEIGHTS
-        m, n = rng.randint(0, 9), rng.randint(0, 9)
-        a, b = rows(m), rows(n)
-
-        def same(field, x, y):
-            if "call" not in field:
-                return x == y
-            x, y = x.replace(" ", ""), y.replace(" ", "")
-            return x in y or y in x
-
-        def score(i, j):
-            both = [k for k in weights if a[k][i] is not None and b[k][j] is not None]
-            points = [weights[k] if same(k, a[k][i], b[k][j]) else -0.75 * weights[k] for k in both]
-            return sum(points) if len(both) >= 2 else -3.0
-
-        pairs = [[score(i, j) for j in range(n)] for i in range(m)]
-        best = {(i, 0): (-3.0 * i, 1) for i in range(m + 1)} | {(0, j): (-3.0 * j, 2) for j in range(n + 1)}
-        for i in range(1, m + 1):
-            for j in range(1, n + 1):
-                options = [best[i - 1, j - 1][0] + pairs[i - 1][j - 1], best[i - 1, j][0] - 3, best[i, j - 1][0] - 3]
-                best[i, j] = max(options), options.index(max(options))
-        want, i, j = [], m, n
-        while i and j:
-            move = best[i, j][1]
-            if move == 0:
-                if pairs[i - 1][j - 1] > 0:
-                    want.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-            elif move == 1:
-                i -= 1
-            else:
-                j -= 1
-        assert calibration.align_rows(a, b) == want[::-1]
-
-
 def test_channels(spark):
     df = spark.createDataFrame([(0, " Example "), (1, "example"), (2, "Second"), (3, " ")], "position int, channel string")
     got = discovery.normalize_channels(df).orderBy("position").collect()

@@ -581,14 +581,12 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _same_number(observed: DataFrame) -> DataFrame:
-    return observed.select("game_id", F.col("play_number").alias("expected_number"), "play_number")
+def _aligned_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, plays, and which of them belong together. Orders are small, so small tiles show that borders fit."""
+    labels, observed = _labels(spark, sf_dir), cut(_observed(spark, sf_dir))
+    return labels, observed, calibration.align_plays(labels, observed, tile=4)
 
 
-register(
-    "align_plays",
-    lambda spark, sf: calibration.align_plays(_labels(spark, sf), _observed(spark, sf)),
-)
 _CAL = [
     ("b", """select cast(l_orderkey as string) as game_id, l_linenumber as play_number,
         cast(max(l_partkey % 4 + 1) as int) as quarter, cast(max(l_suppkey % 30) as int) as away_score,
@@ -609,26 +607,63 @@ _CAL = [
         ('offensive_play_call', 'HB' || call), ('result', result),
         ('end_down_distance', case when distance % 3 <> 0 then '2 & ' || distance end)) v(field, observed)
         where (quarter + play_number) % 5 <> 0"""),
-    ("cmp", f"""select game_id, e.play_number, case when o.field is not null then o.play_number end as observed_play_number,
-        field, expected, observed, case when observed is null then 'missing'
-          when field in ('offensive_play_call', 'result') then case when contains({_norm('observed')}, {_norm('expected')})
+    ("lab", """select *, 'h b ' || lower(call) as spoken, row_number() over (partition by game_id order by play_number) as i from b"""),
+    ("obs", """select *, row_number() over (partition by game_id order by play_number) as j from b where (quarter + play_number) % 5 <> 0"""),
+    ("pairs", """select l.game_id, i, list(p order by j) as p, count(*) as n from (
+        select l.game_id, l.i, o.j, case when l.play_number % 3 <> 0 then case when l.quarter = o.quarter then 1 else -0.75 end else 0 end
+          + case when l.away_score = o.away_score then 2 else -1.5 end + case when l.distance = o.distance then 3 else -2.25 end
+          + case when l.yard_line = case when o.yard_line % 4 <> 0 then o.yard_line else o.yard_line + 1 end then 4 else -3 end
+          + case when replace(l.spoken, ' ', '') = 'hb' || lower(o.call) then 3 else -2.25 end as p
+        from lab l join obs o using (game_id)) l group by all"""),
+    ("scored", """select game_id, cast(0 as bigint) as i, list_transform(range(n + 1), lambda j: -3.0::double * j) as s, cast([] as bigint[]) as moves
+        from (select distinct game_id, n from pairs)
+        union all
+        select game_id, i, s, list_transform(range(len(best)), lambda j: case when s[j + 2] > best[j + 1] then 2 when mt[j + 1] >= up[j + 1] then 0 else 1 end) as moves
+        from (select *, list_transform(range(len(cand)), lambda j: list_max(list_transform(range(j + 1), lambda k: cand[k + 1] + 3 * k)) - 3 * j) as s
+          from (select *, list_concat([head], best) as cand
+            from (select *, list_transform(range(len(mt)), lambda j: greatest(mt[j + 1], up[j + 1])) as best
+              from (select q.game_id, q.i, f.s[1] - 3 as head, list_transform(range(q.n), lambda j: f.s[j + 1] + q.p[j + 1]) as mt,
+                      list_transform(range(q.n), lambda j: f.s[j + 2] - 3) as up
+                from scored f join pairs q on q.game_id = f.game_id and q.i = f.i + 1))))"""),
+    ("way", """select game_id, max(i) as r, len(any_value(s)) - 1 as c, cast(null as bigint) as i, cast(null as bigint) as j from scored group by game_id
+        union all
+        select w.game_id, r - case when m = 2 then 0 else 1 end, c - case when m = 1 then 0 else 1 end,
+               case when m = 0 and p > 0 then r end, case when m = 0 and p > 0 then c end
+        from (select w.game_id, w.r, w.c, t.moves[w.c] as m, q.p[w.c] as p from way w join scored t on t.game_id = w.game_id and t.i = w.r
+              join pairs q on q.game_id = w.game_id and q.i = w.r where w.r > 0 and w.c > 0) w"""),
+    ("aligned", """select w.game_id, l.play_number as expected_number, o.play_number from way w
+        join lab l on l.game_id = w.game_id and l.i = w.i join obs o on o.game_id = w.game_id and o.j = w.j"""),
+    ("cmp", f"""select e.game_id, e.play_number, a.play_number as observed_play_number,
+        e.field, expected, observed, case when observed is null then 'missing'
+          when e.field in ('offensive_play_call', 'result') then case when contains({_norm('observed')}, {_norm('expected')})
             or contains({_norm('expected')}, {_norm('observed')})
             or replace({_norm('expected')}, ' ', '') = replace({_norm('observed')}, ' ', '') then 'match' else 'mismatch' end
           when expected = observed then 'match' else 'mismatch' end as status
-        from e left join o using (game_id, play_number, field)"""),
+        from e left join aligned a on a.game_id = e.game_id and a.expected_number = e.play_number
+        left join o on o.game_id = a.game_id and o.play_number = a.play_number and o.field = e.field"""),
 ]
+register(
+    "align_plays",
+    lambda spark, sf: calibration.align_plays(_labels(spark, sf), _observed(spark, sf)),
+    O.chain(*_CAL, last="select * from aligned"),
+)
+register(
+    "align_plays_in_tiles",
+    lambda spark, sf: _aligned_rows(spark, sf)[2],
+    O.chain(*_CAL, last="select * from aligned"),
+)
 register(
     "compare_fields",
-    lambda spark, sf: calibration.compare_fields(
-        _labels(spark, sf), _observed(spark, sf), _same_number(_observed(spark, sf))
-    ).select("game_id", "play_number", "observed_play_number", "field", "expected", "observed", "status"),
+    lambda spark, sf: calibration.compare_fields(*_aligned_rows(spark, sf)).select(
+        "game_id", "play_number", "observed_play_number", "field", "expected", "observed", "status"
+    ),
     O.chain(*_CAL, last="select * from cmp"),
 )
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels, observed = _labels(spark, sf_dir), _observed(spark, sf_dir)
-    compared = calibration.compare_fields(labels, observed, _same_number(observed))
+    labels, observed, aligned = _aligned_rows(spark, sf_dir)
+    compared = calibration.compare_fields(labels, observed, aligned)
     return calibration.calibration_summary(compared, labels)
 
 
