@@ -113,3 +113,22 @@ def nearest(examples: list[tuple[int, dict]], query: dict, k: int) -> list[tuple
     """(cosine, place) of the k nearest unit vectors, by computing all cosines."""
     found = [(sum(v * query.get(w, 0.0) for w, v in vector.items()), i) for i, vector in examples]
     return sorted([(c, i) for c, i in found if c > 0], key=lambda x: (-round(x[0], 12), x[1]))[:k]
+
+
+def alike(documents: list[str | None], width: int = 5) -> list[int]:
+    """The first document of each one's group: likeness of word shingle sets of 0.8 or more, over all pairs."""
+    words = [(t or "").encode().lower().split() for t in documents]
+    sets = [{tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} for w in words]
+    group = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((top(i), top(j)))
+                group[high] = low
+    return [top(i) for i in range(len(sets))]

@@ -97,6 +97,13 @@ def test_near_copies_of_likeness_are_found_against_all_pairs(spark, docs, none):
         for _ in range(i % 6):
             words[rng.randrange(len(words))] = f"changed{i}"
         rows.append((i, " ".join(words), None, None, None))
+    # Near copies of one text that are not alike with each other, in clusters, so that pairs around a hub decide.
+    hub = prose(77, 160).split()
+    for i in range(60):
+        words = list(hub)
+        for _ in range(2 + i % 4):
+            words[rng.randrange(len(words))] = f"edit{i // 3}"
+        rows.append((400 + i, " ".join(words[: 160 - i % 7]), None, None, None))
     # A chain in which the ends are not alike, and a key that most rows share.
     rows += [(300 + i, " ".join(prose(999, 400).split()[12 * i : 12 * i + 200]), None, None, None) for i in range(8)]
     table = spark.createDataFrame(rows, SCHEMA)

@@ -45,7 +45,7 @@ def test_stages_keep_what_a_plain_run_keeps(spark, folder):
     rows = [(r.doc_id, r.text) for r in docs.itertuples()]
     rows = [r for r, s in zip(rows, quality.scores(chain, [t or "" for _, t in rows]), strict=True) if s >= 0.5]
     rows.sort(key=lambda r: (r[0], r[1] or ""))
-    groups = plain.components({i: plain.simhash(t) for i, (_, t) in enumerate(rows)})
+    groups = plain.alike([t for _, t in rows])
     rows = [r for i, r in enumerate(rows) if groups[i] == i]
     item = decontam.plain(pd.read_parquet(f"{folder}/benchmark.parquet").text[0])
     rows = [r for r in rows if item not in decontam.plain(r[1] or "")]
