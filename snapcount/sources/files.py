@@ -12,6 +12,7 @@ from snapcount import schemas
 from snapcount.operators import pairing, reports
 from snapcount.operators.catalog import Catalog
 from snapcount.session import cut
+from snapcount.sources.stores import Snapshots, write_named
 
 
 class StateCacheError(RuntimeError):
@@ -247,15 +248,46 @@ def write_games(
     reports.quality_report(plays).write.mode("overwrite").partitionBy("section").json(
         f"{output}/full_game_quality_report"
     )
-    rows = play_rows(plays)
+    rows = cut(play_rows(plays))
     _replace(rows, f"{output}/football_play_data", "game_id")
     if completed is None:
         return
-    files = game_files(plays, completed)
-    archived = rows.join(files.select("game_id", "game_file"), "game_id").drop("game_id")
-    _replace(archived, f"{output}/Game_Data", "game_file")
-    by_team = rows.join(team_files(files), "game_id").drop("game_id")
-    _replace(by_team, f"{output}/Team_Data", "team", "game_file")
+    write_archives(rows, game_files(plays, completed), output)
+
+
+def write_archives(rows: DataFrame, files: DataFrame, output: str) -> None:
+    """One CSV file a game under its published name, and a copy in the folder of each of its teams.
+
+    ``rows`` have ``game_id`` and the published columns, ``files`` are the ``game_files``.
+    """
+    columns = [c for c in rows.columns if c != "game_id"]
+    order = [c for c in ("play_number",) if c in columns]
+    archived = rows.join(files.select("game_id", "game_file"), "game_id")
+    write_named(archived.select("game_file", *columns), "game_file", order, f"{output}/Game_Data")
+    path = F.concat_ws("/", "team", "game_file").alias("team_file")
+    by_team = rows.join(team_files(files).select("game_id", path), "game_id")
+    write_named(by_team.select("team_file", *columns), "team_file", order, f"{output}/Team_Data")
+
+
+def save_jobs(jobs: DataFrame, folder: str) -> int:
+    """Merge jobs into the saved state by ``stream_id``, the new ones winning; safe beside other writers.
+
+    Returns the version. Jobs are given once each; of equal ids in ``jobs`` any one stays.
+    """
+    jobs = cut(jobs.dropDuplicates(["stream_id"]))
+
+    def merged(saved: DataFrame | None) -> DataFrame:
+        if saved is None:
+            return jobs
+        return saved.join(jobs.select("stream_id"), "stream_id", "left_anti").select(*jobs.columns).unionByName(jobs)
+
+    return Snapshots(jobs.sparkSession, folder).change(merged)
+
+
+def saved_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The saved job state, empty if none was saved."""
+    found = Snapshots(spark, folder).read()
+    return spark.createDataFrame([], schemas.JOBS) if found is None else found
 
 
 def _replace(rows: DataFrame, path: str, *parts: str) -> None:

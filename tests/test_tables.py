@@ -1,11 +1,10 @@
 import json
-import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import games
-from snapcount import schemas
+from snapcount import constants as C, schemas
 from snapcount.operators import calibration, discovery, readings, sequence as S
 from snapcount.operators.catalog import Catalog
 from snapcount.operators.sequence import Sequence
@@ -13,7 +12,7 @@ from snapcount.operators.spots import consensus_by_key
 from snapcount.functions.similarity import best_supported
 from snapcount.plans.games import plays_from_frames
 from snapcount.sources import files
-from snapcount.streaming import live
+from snapcount.sources.stores import Conflict, Snapshots, write_named
 
 
 def no_catalog(spark):
@@ -98,8 +97,7 @@ def test_state_cache_and_outputs(spark, tmp_path):
     written = spark.read.option("header", True).csv(str(tmp_path / "out" / "football_play_data"))
     assert [c for c in written.columns if c != "game_id"] == list(files.C.PLAY_COLUMNS)
     assert written.count() == files.play_rows(plays).count() > 0
-    teams = spark.read.option("header", True).csv(str(tmp_path / "out" / "Team_Data"))
-    assert {r.team for r in teams.select("team").distinct().collect()} == {"NYJ", "TEN"}
+    assert {p.name for p in (tmp_path / "out" / "Team_Data").iterdir()} == {"NYJ", "TEN"}
 
 
 def test_missing_files_are_empty(spark, tmp_path):
@@ -110,19 +108,49 @@ def test_missing_files_are_empty(spark, tmp_path):
         files.read_teams(spark, str(tmp_path / "teams.json"))
 
 
-def test_live_result_equals_batch_result(spark, tmp_path):
-    rows = [games.game(seed, frames=40) for seed in (1, 2)]
-    whole = games.frames(spark, rows)
-    source = tmp_path / "in"
-    for part in (0, 1):
-        piece = whole.filter((F.col("frame_index") > 600) == F.lit(part == 1))
-        piece.coalesce(1).write.mode("append").parquet(str(source))
-        stream = spark.readStream.schema(whole.schema).parquet(str(source))
-        query = live.live_plays(stream, no_catalog(spark), str(tmp_path / "live"), str(tmp_path / "cp"))
-        query.awaitTermination()
-    want = plays_from_frames(whole, no_catalog(spark))
-    got = live.current_plays(spark, str(tmp_path / "live")).select(want.columns)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+def test_writers_of_job_state_lose_nothing(spark, tmp_path):
+    folder = str(tmp_path / "jobs")
+    assert files.saved_jobs(spark, folder).count() == 0
+
+    def jobs(*ids, status="recording"):
+        return spark.createDataFrame([(i, status) for i in ids], "stream_id string, status string")
+
+    assert files.save_jobs(jobs("a", "b"), folder) == 0
+    state = Snapshots(spark, folder, keep=2)
+    with pytest.raises(Conflict):  # both have read the same version
+        state.write(jobs("c"), -1)
+    raced = []
+
+    def slow(rows):
+        if not raced:  # another writer commits between reading and writing
+            raced.append(files.save_jobs(jobs("d"), folder))
+        return rows.unionByName(jobs("c"))
+
+    assert state.change(slow) == 2
+    files.save_jobs(jobs("a", status="completed"), folder)
+    found = {r.stream_id: r.status for r in files.saved_jobs(spark, folder).collect()}
+    assert found == {"a": "completed", "b": "recording", "c": "recording", "d": "recording"}
+    state.change(lambda rows: rows)
+    assert len(state.versions()) == 2 and state.read().count() == 4
+    assert len(list((tmp_path / "jobs").glob("rows-*"))) == 2
+
+
+def test_named_files_replace_their_own_only(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    rows = [("x.csv", 2, 'a "quoted", b', None), ("x.csv", 1, "", True), ("t/y.csv", 1, "ñ", False), (None, 1, "lost", None)]
+    table = spark.createDataFrame(rows, "name string, n int, text string, flag boolean").repartition(3)
+    assert write_named(table, "name", ["n"], out) == 2
+    assert (tmp_path / "out" / "t" / "y.csv").read_text() == "n,text,flag\n1,ñ,false\n"
+    read = spark.read.option("header", True).option("escape", "\\").csv(f"{out}/x.csv")
+    assert [r.n for r in read.collect()] == ["1", "2"] and read.collect()[1].text == 'a "quoted", b'
+    write_named(table.filter("n = 2"), "name", ["n"], out)
+    assert spark.read.option("header", True).csv(f"{out}/x.csv").count() == 1
+    assert (tmp_path / "out" / "t" / "y.csv").exists()
+    assert write_named(table.limit(0), "name", ["n"], out) == 0
+    broken = table.withColumn("n", F.when(F.col("name") == "x.csv", F.raise_error(F.lit("broken")).cast("int")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="broken"):
+        write_named(broken, "name", ["n"], out)
+    assert spark.read.option("header", True).csv(f"{out}/x.csv").count() == 1
 
 
 def test_archives_of_earlier_runs_stay(spark, tmp_path):
@@ -132,5 +160,9 @@ def test_archives_of_earlier_runs_stay(spark, tmp_path):
         files.write_games(plays, no_catalog(spark), out, f"2026-08-{seed:02d}")
     rows = spark.read.option("header", True).csv(f"{out}/football_play_data")
     assert {r.game_id for r in rows.select("game_id").distinct().collect()} == {"g3", "g4"}
-    archived = spark.read.option("header", True).csv(f"{out}/Game_Data")
-    assert archived.select("game_file").distinct().count() == 2
+    names = [p.name for p in sorted((tmp_path / "out" / "Game_Data").iterdir())]
+    assert len(names) == 2 and all(n.endswith(".csv") and " 2026-08-0" in n for n in names)
+    team_files = sorted((tmp_path / "out" / "Team_Data").glob("*/*.csv"))
+    assert {p.name for p in team_files} == set(names) and not list((tmp_path / "out").glob("*/_staging*"))
+    played = spark.read.option("header", True).csv(f"{out}/Game_Data")
+    assert played.columns == list(C.PLAY_COLUMNS) and played.count() == rows.count()

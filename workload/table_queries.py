@@ -510,6 +510,45 @@ register(
         where home_team is not null and away_team is not null and home_score is not null and away_score is not null"""),
 )
 
+def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all games, written under their names in two runs and read back, with their paths."""
+    folder = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    played = plays(spark, sf_dir).withColumns({c: F.lit(None).cast("int") for c in ("end_home_score", "end_away_score")})
+    named = files.game_files(played, "2026-08-19")
+    rows = played.select("game_id", "play_number", "quarter", "game_clock", "result", "description")
+    for run in (0, 1):
+        files.write_archives(rows, named.filter(F.crc32("game_file") % 2 == run), folder)
+    read = spark.read.option("header", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+    path = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "/(Game_Data|Team_Data/[^/]+)/[^/]+$", 1))
+    name = F.regexp_replace(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))), "/", "")
+    found = read.schema("play_number int, quarter int, game_clock string, result string, description string").csv(folder)
+    return found.select(path.alias("folder"), name.alias("game_file"), "*")
+
+
+_NAMED = """select game_id, home_team || ' ' || home_score || ' - ' || away_score || ' ' || away_team || ' 2026-08-19.csv' as game_file, home_team, away_team
+  from (select * from p qualify row_number() over (partition by game_id order by play_number desc) = 1)
+  where home_team is not null and away_team is not null and home_score is not null and away_score is not null"""
+register(
+    "archived_games",
+    _archived,
+    O.chain(("p", B.PLAYS), ("kept", _NAMED),
+      last="""select folder, game_file, play_number, quarter, game_clock, case when result = '' then null else result end as result, description
+        from p join kept using (game_id), lateral (
+          select distinct f from (values ('Game_Data'), ('Team_Data/' || kept.home_team), ('Team_Data/' || kept.away_team)) v(f)) d(folder)"""),
+)
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs saved in three versions, the last one with a newer status of some."""
+    folder = f"{checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    jobs = B.bound(spark, sf_dir, _JOBS)
+    for part in range(3):
+        mine = F.col("position") % 4 == part if part else F.col("position") % 4 != 1
+        status = F.when((F.col("position") % 4 == part) & F.lit(part > 0), F.lit("completed")).otherwise(F.col("status"))
+        files.save_jobs(jobs.filter(mine).withColumn("status", status), folder)
+    return files.saved_jobs(spark, folder).select("stream_id", "channel", "title", "position", "status")
+
+
 # Calibration ----------------------------------------------------------------
 
 
@@ -690,6 +729,12 @@ _JOBS = """select 's' || cast(event_id as string) as stream_id, 'player_' || cas
   event_type as title, cast(null as string) as started_at, cast(null as string) as detected_at, event_id as position,
   case event_type when 'view' then 'recording' when 'click' then 'awaiting_analysis' when 'signup' then 'analyzing'
        when 'purchase' then 'completed' else 'analysis_failed' end as status from events where event_id % 2 = 0"""
+register(
+    "saved_jobs",
+    _saved,
+    O.chain(("j", _JOBS), last="""select stream_id, channel, title, position, case when position % 4 = 2 then 'completed' else status end as status
+      from j"""),
+)
 _URLS = """select page_id, case page_id % 6 when 0 then url when 1 then replace(url, 'http', 'ftp')
   when 2 then 'https://u@clips.twitch.tv:443/x' when 3 then 'https://discord.com/channels/' || cast(page_id as string) || '/77/'
   when 4 then 'HTTP://www.Twitch.TV/some' else 'no link ' || url end as link from pages"""
