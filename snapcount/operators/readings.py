@@ -158,6 +158,27 @@ def median_regions(
     )
 
 
+def discover_layout(
+    frames: DataFrame, detections: DataFrame, most: int = 6, defaults: dict[str, tuple] = C.DEFAULT_REGIONS
+) -> DataFrame:
+    """(game_id, region, x, y, w, h): where each region lies in each game of ``frames``.
+
+    Detections (game_id, frame_index, region, x, y, w, h) count on at most ``most`` frames of a game, spread evenly
+    from first to last; the median of each coordinate is exact, over no more rows than that. A region without any
+    gets its default, null coordinates are left out, and a region that has no default does not appear.
+    """
+    sampled = evenly_spaced(frames.select("game_id", "frame_index"), most)
+    keys = ["game_id", "region"]
+    places = [
+        F.struct(F.lit(name).alias("region"), *(F.lit(float(v)).alias(f"_{c}") for c, v in zip("xywh", values, strict=True)))
+        for name, values in defaults.items()
+    ]
+    wanted = frames.select("game_id").distinct().select("game_id", F.explode(F.array(*places)).alias("_d")).select("game_id", "_d.*")
+    seen = detections.join(sampled, ["game_id", "frame_index"], "left_semi")
+    found = seen.groupBy(*keys).agg(*(F.median(c).alias(c) for c in "xywh"))
+    return wanted.join(found, keys, "left").select(*keys, *(F.coalesce(c, f"_{c}").alias(c) for c in "xywh"))
+
+
 def play_boundaries(
     frames: DataFrame,
     threshold: float = C.BOUNDARY_THRESHOLD,
@@ -182,6 +203,6 @@ def play_boundaries(
 
 
 __all__ = [
-    "banner_observations", "evenly_spaced", "filter_visible", "first_rows",
+    "banner_observations", "discover_layout", "evenly_spaced", "filter_visible", "first_rows",
     "median_regions", "parse_readings", "play_boundaries", "sample_frames", "visibility",
 ]

@@ -69,13 +69,23 @@ def job_status(job_events: DataFrame) -> DataFrame:
     return discovery.latest_status(job_events)
 
 
-def new_channels(messages: DataFrame, channels: DataFrame) -> DataFrame:
-    """Channels linked in a stream of messages that are not listed yet, once each."""
-    links = messages.select(
-        F.explode(discovery.linked_channels(discovery.message_texts())).alias("channel")
-    ).dropDuplicates(["channel"])
+def new_channels(
+    messages: DataFrame, channels: DataFrame, channel_id: int | None = None, author: str | None = None,
+    lateness: str | None = None,
+) -> DataFrame:
+    """Channels linked in a stream of messages that are not listed yet, once each.
+
+    With ``channel_id``, only watched messages count: those of that channel, and of authors whose name has ``author`` in
+    it. With ``lateness`` (needs ``ts``), channels seen longer ago than that are forgotten, so that state is bounded.
+    """
+    watched = messages if channel_id is None else discovery.watched_messages(messages, channel_id, author)
+    if lateness is not None:
+        watched = watched.withWatermark("ts", lateness)
+    time = [] if lateness is None else ["ts"]
+    links = watched.select(*time, F.explode(discovery.linked_channels(discovery.message_texts())).alias("channel"))
+    once = links.dropDuplicates(["channel"]) if lateness is None else links.dropDuplicatesWithinWatermark(["channel"])
     known = channels.select(F.lower("channel").alias("_name")).distinct()
-    return links.join(known, links["channel"] == F.col("_name"), "left_anti")
+    return once.join(known, once["channel"] == F.col("_name"), "left_anti").select("channel")
 
 
 def run_to_table(

@@ -240,3 +240,37 @@ register(
       select game_id, play_number, cast(row_number() over (partition by game_id order by play_number) - 1 as int)
              as csv_play_number from plays where {ANCHORED}"""),
 )
+
+_DETECTED = """
+select 'v' || cast(vec_id % 40 as string) as game_id, vec_id as frame_index,
+       case when vec_id % 3 = 0 then 'scoreboard' else 'play_call_banner' end as region,
+       cast(embedding[{0}] as double) as x, cast(embedding[{1}] as double) as y,
+       cast(embedding[{2}] as double) as w, cast(embedding[{3}] as double) as h
+from embeddings where vec_id % 40 <> 7
+"""
+_RECORDED = "select 'v' || cast(vec_id % 40 as string) as game_id, vec_id as frame_index from embeddings"
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of every game; one game has none detected."""
+    return readings.discover_layout(
+        B.bound(spark, sf_dir, _RECORDED), B.bound(spark, sf_dir, _DETECTED.format(0, 1, 2, 3))
+    )
+
+
+register(
+    "discovered_layout",
+    _layout,
+    O.chain(
+        ("r", f"select *, row_number() over (partition by game_id order by frame_index) - 1 as i, count(*) over (partition by game_id) as n from ({_RECORDED})"),
+        ("picked", """select distinct game_id, frame_index from r, (select unnest(range(6)) as s) where s < least(n, 6)
+                      and i = cast(floor(s * (n - 1) / greatest(least(n, 6) - 1, 1)) as bigint)"""),
+        ("d", _DETECTED.format(1, 2, 3, 4)),
+        ("found", """select game_id, region, median(x) as x, median(y) as y, median(w) as w, median(h) as h
+                     from d join picked using (game_id, frame_index) group by all"""),
+        ("wanted", """select game_id, region, dx, dy, dw, dh from (select distinct game_id from r),
+                      (values ('scoreboard', 0.1, 0.0, 0.8, 0.17), ('play_call_banner', 0.2, 0.72, 0.6, 0.2)) v(region, dx, dy, dw, dh)"""),
+        last="""select game_id, region, cast(coalesce(x, dx) as double) as x, cast(coalesce(y, dy) as double) as y,
+          cast(coalesce(w, dw) as double) as w, cast(coalesce(h, dh) as double) as h from wanted left join found using (game_id, region)""",
+    ),
+)

@@ -972,3 +972,22 @@ register(
            case when over is null then 'idle' else 'end_row' end as reason
     from g where coalesce(over, idle) <= (select max(ts) - interval 1 hour from events)""",
 )
+register(
+    "stream_watched_channels",
+    lambda spark, sf: _as_table(
+        live.new_channels(
+            _stream(spark, sf, "conversations").select(
+                (F.col("conv_id") % 3).alias("channel_id"),
+                F.when(F.col("role") == "user", "Scout Bot").otherwise(F.col("role")).alias("author"),
+                F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("ts"),
+                F.concat(F.lit("https://twitch.tv/Player_"), (F.col("conv_id") % 40).cast("string")).alias("content"),
+                F.array().cast("array<struct<url:string,title:string,description:string,author_url:string,fields:array<struct<value:string>>>>").alias("embeds"),
+            ),
+            B.bound(spark, sf, _CHANNELS).withColumn("channel", F.trim("channel")),
+            channel_id=1, author="bot", lateness="1 day",
+        ),
+        "stream_watched_channels",
+    ),
+    O.chain(("c", _CHANNELS), last="""select distinct 'player_' || (conv_id % 40) as channel from conversations
+      where conv_id % 3 = 1 and role = 'user' and 'player_' || (conv_id % 40) not in (select lower(trim(channel)) from c)"""),
+)
