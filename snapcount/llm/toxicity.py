@@ -48,6 +48,8 @@ DENSE = 0.05
 # Documents, and terms of documents, whose cosines are computed at once; bounds the memory of a task.
 AT_ONCE = 256
 TERMS_AT_ONCE = 1 << 17
+# Words whose places a task remembers; bounds its memory, others are looked up again.
+KNOWN_WORDS = 200_000
 BEGINNINGS = (5, 7)
 WORD = re.compile(r"\w+")
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
@@ -73,21 +75,32 @@ class Vocabulary:
         for i, term in enumerate(terms):
             at = 1 + BEGINNINGS.index(len(term) - 1) if term.endswith("-") else 0
             self.by[at][term.rstrip("-")] = i
+        # Places of words that have been looked up; only a shorter way to the same places.
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def places(self, word: str) -> tuple[int, ...]:
+        """Places of the terms that a word is or begins with."""
+        whole = self.by[0].get(word)
+        begun = (starts.get(word[:size]) for size, starts in zip(BEGINNINGS, self.by[1:]) if len(word) > size)
+        return tuple(i for i in (whole, *begun) if i is not None)
 
     def found(self, text: str) -> dict[int, int]:
         """How often each term of the vocabulary is in the text."""
         out: dict[int, int] = {}
-        whole = self.by[0]
+        known, at = self.known, out.get
         for word, n in Counter(WORD.findall(text.lower())).items():
-            if word in whole:
-                i = whole[word]
-                out[i] = out.get(i, 0) + n
-            for size, starts in zip(BEGINNINGS, self.by[1:]):
-                if len(word) > size and word[:size] in starts:
-                    i = starts[word[:size]]
-                    out[i] = out.get(i, 0) + n
+            places = known.get(word)
+            if places is None:
+                places = self.places(word)
+                if len(known) < KNOWN_WORDS:
+                    known[word] = places
+            for i in places:
+                out[i] = at(i, 0) + n
         return out
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
 
 @dataclass
 class Index:
@@ -204,20 +217,23 @@ def build(rows: list[tuple[int, str, int]], df: dict[str, int], total: int) -> I
     first: dict[str, int] = {}
     same = np.array([first.setdefault(t, i) for i, (_, t, _) in enumerate(rows)], dtype=np.int64)
     label = np.array([r[2] for r in rows], dtype=np.float64)
-    found = [np.fromiter(f, np.int64, len(f)) for f in (vocabulary.found(t) for _, t, _ in rows)]
-    held = np.bincount(np.concatenate(found), minlength=len(terms)).astype(np.float64)
-    marked = np.repeat(label, [len(f) for f in found])
-    toxic = np.bincount(np.concatenate(found), marked, minlength=len(terms))
+    held, toxic = np.zeros(len(terms)), np.zeros(len(terms))
+    for (_, text, _), bad in zip(rows, label, strict=True):
+        places = list(vocabulary.found(text))
+        held[places] += 1
+        toxic[places] += bad
     counted = np.array([df[t] for t in terms], dtype=np.float64)
     term_weight = (np.log((total + 1) / (counted + 1)) + 1) * (1 + STRENGTH * association(held, toxic, len(rows), label.sum()))
     index = Index(vocabulary, term_weight, np.array([r[0] for r in rows]), label, same, *(np.zeros(0, np.int64),) * 3)
     vectors = [index.vector(t) for _, t, _ in rows]
+    vocabulary.known.clear()
     word = np.concatenate([w for w, _ in vectors])
     example = np.repeat(np.arange(len(rows)), [len(w) for w, _ in vectors])
     weight = np.concatenate([v for _, v in vectors])
     order = np.argsort(word, kind="stable")
     index.post_at = np.searchsorted(word[order], np.arange(len(terms) + 1))
     index.example, index.weight = example[order].astype(np.int32), weight[order]
+    del word, example, weight, order
     votes = []
     for start in range(0, len(rows), AT_ONCE):
         for i, cosine in enumerate(index.cosines(vectors[start : start + AT_ONCE]), start):
