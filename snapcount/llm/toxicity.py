@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from snapcount.llm.common import add_columns, text_of, texts
 from snapcount.llm.decontam import spans_of
@@ -55,6 +56,7 @@ KNOWN_WORDS = 400_000
 BEGINNINGS = (5, 7)
 WORD = re.compile(r"\w+")
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
+ARROW_EVIDENCE = to_arrow_schema(T.StructType([T.StructField("evidence", EVIDENCE)])).field(0).type
 
 
 def counts(text: str) -> Counter:
@@ -311,13 +313,20 @@ def score(docs: DataFrame, index: Index | float, text: str = "text") -> DataFram
         documents = texts(batch, text)
         if isinstance(index, float):
             return [[index] * len(documents), [[] for _ in documents]]
-        distinct = list(dict.fromkeys(documents))
-        known = {}
-        for t, (p, best, cosine) in zip(distinct, index.judge(distinct), strict=True):
-            known[t] = p, [
-                {"doc_id": int(index.ids[i]), "toxic": int(index.label[i]), "cosine": float(c)}
-                for i, c in zip(best, cosine, strict=True)
-            ]
-        return [[known[t][0] for t in documents], [known[t][1] for t in documents]]
+        place: dict[str, int] = {}
+        places = np.array([place.setdefault(t, len(place)) for t in documents], dtype=np.int64)
+        judged = list(index.judge(list(place)))
+        if not judged:
+            return [[], []]
+        listed = np.cumsum([0, *(len(best) for _, best, _ in judged)])
+        best = np.concatenate([best for _, best, _ in judged])
+        cosine = np.concatenate([cosine for _, _, cosine in judged])
+        parts = [index.ids[best], index.label[best], cosine]
+        near = pa.StructArray.from_arrays(
+            [pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(parts, ARROW_EVIDENCE.value_type, strict=True)],
+            fields=list(ARROW_EVIDENCE.value_type),
+        )
+        evidence = pa.ListArray.from_arrays(pa.array(listed, pa.int32()), near, type=ARROW_EVIDENCE)
+        return [pa.array(np.array([p for p, _, _ in judged])[places]), evidence.take(pa.array(places))]
 
     return add_columns(docs, [("score", T.DoubleType()), ("evidence", EVIDENCE)], compute)
