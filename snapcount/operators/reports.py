@@ -81,44 +81,64 @@ def confidence_averages(plays: DataFrame) -> DataFrame:
     )
 
 
-def _rows(df: DataFrame, section: str, item: Column, number: Column) -> DataFrame:
-    return df.select(
-        "game_id",
+def _cell(section: str, item: Column, **values: Column) -> Column:
+    """One play's part in one item of a report: rows to count, and what to average or keep."""
+    return F.struct(
         F.lit(section).alias("section"),
         item.cast("string").alias("item"),
-        number.cast("double").alias("value"),
+        *(values.get(name, F.lit(None)).cast("double").alias(name) for name in ("kept", "averaged")),
     )
 
 
 def quality_report(plays: DataFrame) -> DataFrame:
     """All parts as (game_id, section, item, value) rows.
 
-    Long, not one nested row per game, so that a report grows in rows.
+    Long, not one nested row per game, so that a report grows in rows. One pass: each play becomes its cells, which are
+    summed before they meet. An item is a count of its cells, an average of them, or a value of one play.
     """
-    count = F.col("plays")
     interval = F.concat_ws(" - ", "start_timestamp_seconds", "end_timestamp_seconds")
-    averages = _long(confidence_averages(plays), CONFIDENCES, "game_id")
-    parts = [
-        _rows(plays.groupBy("game_id").agg(F.count("*").alias("plays")), "plays", F.lit("plays"), count),
-        _rows(duplicate_intervals(plays), "duplicate_intervals", interval, count),
-        _rows(
-            possession_anomalies(plays), "possession_anomaly_plays",
-            F.col("play_number"), F.lit(1),
-        ),
-        _rows(
-            low_confidence(plays), "low_confidence_plays",
-            F.col("play_number"), F.col("overall_confidence"),
-        ),
-        _rows(missing_fields(plays), "missing_required_fields", F.col("field"), count),
-        _rows(value_counts(plays, "play_type"), "play_type_counts", F.col("value"), count),
-        _rows(value_counts(plays, "result"), "result_counts", F.col("value"), count),
-        _rows(evidence_counts(plays), "transition_evidence_counts", F.col("value"), count),
-        _rows(averages, "confidence_averages", F.col("field"), F.col("value")),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    team, number = F.col("possession_team"), F.col("play_number")
+    known = team.eqNullSafe(F.col("away_team")) | team.eqNullSafe(F.col("home_team"))
+    doubtful = F.coalesce("overall_confidence", F.lit(0.0)) < C.LOW_CONFIDENCE
+
+    def counted(name: str) -> Column:
+        return F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown"))
+
+    def lacks(name: str) -> Column:
+        return F.col(name).isNull() | (F.col(name).cast("string") == "")
+
+    cells = F.array(
+        _cell("plays", F.lit("plays")),
+        _cell("duplicate_intervals", interval),
+        F.when(team.isNotNull() & ~known, _cell("possession_anomaly_plays", number, kept=F.lit(1))),
+        F.when(doubtful, _cell("low_confidence_plays", number, kept=F.col("overall_confidence"))),
+        *(F.when(lacks(n), _cell("missing_required_fields", F.lit(n))) for n in C.REQUIRED_PLAY_FIELDS),
+        _cell("play_type_counts", counted("play_type")),
+        _cell("result_counts", counted("result")),
+        *(_cell("confidence_averages", F.lit(n), averaged=F.coalesce(n, F.lit(0.0))) for n in CONFIDENCES),
+    )
+    reasons = F.transform(
+        F.coalesce("transition_evidence", F.array().cast("array<string>")),
+        lambda reason: _cell("transition_evidence_counts", reason),
+    )
+    # Plays listed one by one stay one by one, also where numbers repeat.
+    alone = F.when(F.col("section").isin("possession_anomaly_plays", "low_confidence_plays"), F.col("kept"))
+    return (
+        plays.select("game_id", F.explode(F.concat(F.array_compact(cells), reasons)).alias("_c"))
+        .select("game_id", "_c.*")
+        .groupBy("game_id", "section", "item", alone.alias("kept"))
+        .agg(F.count("*").alias("_n"), F.round(F.avg("averaged"), 3).alias("_average"))
+        .filter((F.col("section") != "duplicate_intervals") | (F.col("_n") > 1))
+        .withColumn("_listed", F.col("section").isin("possession_anomaly_plays", "low_confidence_plays"))
+        .select(
+            "game_id",
+            "section",
+            "item",
+            F.when(F.col("_listed"), F.col("kept")).otherwise(F.coalesce("_average", "_n")).alias("value"),
+            F.explode(F.when(F.col("_listed"), F.sequence(F.lit(1), F.col("_n"))).otherwise(F.array(F.lit(1)))).alias("_"),
+        )
+        .drop("_")
+    )
 
 
 def _claims(plays: DataFrame) -> DataFrame:

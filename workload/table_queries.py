@@ -447,23 +447,43 @@ _report("call_status_counts", reports.status_counts, """
     select game_id, coalesce(nullif(s, ''), 'missing') as status, count(*) as cells from (
       select game_id, offensive_play_call_validation as s from p union all
       select game_id, defensive_play_call_validation from p) group by all""")
+def _coarse(plays: DataFrame) -> DataFrame:
+    """Plays whose intervals repeat."""
+    return plays.withColumns(
+        {
+            "start_timestamp_seconds": F.floor(F.col("start_timestamp_seconds") / 3).cast("double"),
+            "end_timestamp_seconds": F.floor(F.col("end_timestamp_seconds") / 5).cast("double"),
+        }
+    )
+
+
 register(
     "quality_report",
-    lambda spark, sf: reports.quality_report(plays(spark, sf)).groupBy("section").agg(
-        F.count("*").alias("items")
-    ),
-    O.chain(("p", B.PLAYS), last=f"""
-      select 'plays' as section, count(distinct game_id) as items from p
-      union all select 'possession_anomaly_plays', count(*) from p where possession_team is not null
+    lambda spark, sf: reports.quality_report(_coarse(plays(spark, sf))),
+    O.chain(
+        ("p", f"""select * replace (cast(floor(start_timestamp_seconds / 3) as double) as start_timestamp_seconds,
+                                   cast(floor(end_timestamp_seconds / 5) as double) as end_timestamp_seconds)
+                  from ({B.PLAYS})"""),
+        last=f"""
+      select game_id, 'plays' as section, 'plays' as item, cast(count(*) as double) as value from p group by game_id
+      union all select game_id, 'duplicate_intervals',
+        concat_ws(' - ', cast(start_timestamp_seconds as varchar), cast(end_timestamp_seconds as varchar)), count(*)
+        from p group by game_id, start_timestamp_seconds, end_timestamp_seconds having count(*) > 1
+      union all select game_id, 'possession_anomaly_plays', cast(play_number as varchar), 1 from p
+        where possession_team is not null
         and not (possession_team is not distinct from away_team or possession_team is not distinct from home_team)
-      union all select 'low_confidence_plays', count(*) from p where coalesce(overall_confidence, 0) < 0.7
-      union all select 'missing_required_fields', count(*) from (select distinct game_id, f from p, lateral (values
-        {', '.join(f"('{n}', cast({n} as string))" for n in C.REQUIRED_PLAY_FIELDS)}) v(f, x) where x is null or x = '')
-      union all select 'play_type_counts', count(*) from (select distinct game_id, coalesce(nullif(play_type, ''), 'unknown') from p)
-      union all select 'result_counts', count(*) from (select distinct game_id, coalesce(nullif(result, ''), 'unknown') from p)
-      union all select 'transition_evidence_counts', count(*) from (
-        select distinct game_id, 1 as k from p where event_id % 2 = 0 union select distinct game_id, 2 from p where event_id % 3 = 0)
-      union all select 'confidence_averages', 4 * count(distinct game_id) from p"""),
+      union all select game_id, 'low_confidence_plays', cast(play_number as varchar), overall_confidence from p
+        where coalesce(overall_confidence, 0) < 0.7
+      union all select game_id, 'missing_required_fields', f, count(*) from p, lateral (values
+        {', '.join(f"('{n}', cast({n} as varchar))" for n in C.REQUIRED_PLAY_FIELDS)}) v(f, x)
+        where x is null or x = '' group by game_id, f
+      union all select game_id, 'play_type_counts', coalesce(nullif(play_type, ''), 'unknown') as v, count(*) from p group by game_id, v
+      union all select game_id, 'result_counts', coalesce(nullif(result, ''), 'unknown') as v, count(*) from p group by game_id, v
+      union all select game_id, 'transition_evidence_counts', 'special_state', count(*) from p where event_id % 2 = 0 group by game_id
+      union all select game_id, 'transition_evidence_counts', 'score_change', count(*) from p where event_id % 3 = 0 group by game_id
+      union all select game_id, 'confidence_averages', f, round(avg(x), 3) from p, lateral (values
+        {', '.join(f"('{n}', coalesce({n}, 0))" for n in reports.CONFIDENCES)}) v(f, x) group by game_id, f""",
+    ),
 )
 _CLAIMS = f"""select game_id, play_number, play_type, field, side, value from p, lateral (values
   ('previous_offensive_play_call', 'offense', previous_offensive_play_call),
