@@ -236,6 +236,21 @@ def attach(df: DataFrame, seq: Sequence, per_key: DataFrame) -> DataFrame:
     return df.join(cut(per_chunk), list(seq.parts), "left")
 
 
+def latest_as_of(df: DataFrame, seq: Sequence, notes: DataFrame, *names: str) -> DataFrame:
+    """Add the latest non-null value of each of ``names`` in ``notes`` (keys, order, names) at or before a row.
+
+    Notes are merged into the sequence, each before the rows of its place, and carried
+    forward in one pass; nothing of a key is held. A note may be at a place without a row.
+    """
+    place, order = "_place", F.col(seq.order).cast("bigint")
+    marked = seq.mark(notes.select(*seq.keys, seq.order, *names))
+    noted = marked.withColumn(place, F.struct(order.alias("at"), F.lit(0).alias("row"))).drop(seq.order)
+    rows = seq.mark(df).withColumn(place, F.struct(order.alias("at"), F.lit(1).alias("row")))
+    merged = rows.unionByName(noted, allowMissingColumns=True)
+    carried = scan(merged, replace(seq, order=place), **{name: fill(F.col(name)) for name in names})
+    return carried.filter(F.col(place)["row"] == 1).drop(place)
+
+
 def same_value_runs(df: DataFrame, seq: Sequence, same: Column, name: str) -> DataFrame:
     """Number islands by the order value of their first row.
 

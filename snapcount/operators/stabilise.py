@@ -103,27 +103,14 @@ def accepted_scores(events: DataFrame, seq: Sequence) -> DataFrame:
 
 def apply_scores(df: DataFrame, seq: Sequence, accepted: DataFrame) -> DataFrame:
     """Replace both score columns by the last accepted value, 0 before any."""
-    per_key = accepted.groupBy(*seq.keys).agg(
-        *(
-            F.sort_array(
-                F.collect_list(
-                    F.when(
-                        F.col("side") == side,
-                        F.struct(F.col(seq.order).alias("at"), F.col("value")),
-                    )
-                )
-            ).alias(f"_{side}")
-            for side in ("away", "home")
-        )
+    steps = accepted.select(
+        *seq.keys,
+        seq.order,
+        *(F.when(F.col("side") == side, F.col("value")).alias(f"_{side}") for side in ("away", "home")),
     )
-    df = S.attach(df, seq, per_key)
-
-    def current(side: str) -> Column:
-        reached = F.filter(F.col(f"_{side}"), lambda step: step["at"] <= F.col(seq.order))
-        return F.coalesce(F.get(reached, F.size(reached) - 1)["value"], F.lit(0))
-
+    df = S.latest_as_of(df, seq, steps, "_away", "_home")
     return df.withColumns(
-        {"away_score": current("away"), "home_score": current("home")}
+        {f"{side}_score": F.coalesce(f"_{side}", F.lit(0)) for side in ("away", "home")}
     ).drop("_away", "_home")
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import games
+from snapcount.operators import sequence as S
 from snapcount import schemas
 from snapcount.operators import repairs, spots
 from snapcount.operators.catalog import Catalog
@@ -227,3 +228,17 @@ def test_plays_do_not_depend_on_chunks_or_input_order(frames, catalog):
     )
     names = [n for n in one.columns if n != "spot"]
     assert one.count() and table(one.select(*names)) == table(two.select(*names))
+
+
+@pytest.mark.parametrize("width", [None, 4])
+def test_notes_carry_forward_from_their_place(spark, width):
+    rows = spark.createDataFrame([("g", n) for n in (1, 3, 3, 9, 20)] + [("h", 2)], "game_id string, frame_index bigint")
+    notes = spark.createDataFrame(
+        [("g", 3, 5, None), ("g", 7, None, 2), ("g", 8, 6, None), ("g", 30, 7, 7), ("i", 1, 1, 1)],
+        "game_id string, frame_index bigint, a int, b int",
+    )
+    found = S.latest_as_of(rows, S.Sequence(width=width), notes, "a", "b")
+    got = sorted(((r.game_id, r.frame_index, r.a, r.b) for r in found.collect()), key=lambda r: r[:2])
+    assert got == [
+        ("g", 1, None, None), ("g", 3, 5, None), ("g", 3, 5, None), ("g", 9, 6, 2), ("g", 20, 6, 2), ("h", 2, None, None),
+    ]
