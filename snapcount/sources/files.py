@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -12,7 +12,8 @@ from snapcount import schemas
 from snapcount.operators import pairing, reports
 from snapcount.operators.catalog import Catalog
 from snapcount.session import cut
-from snapcount.sources.stores import Snapshots, write_named
+from snapcount.sources.pieces import read_elements
+from snapcount.sources.stores import Snapshots, write_lines, write_named
 
 
 class StateCacheError(RuntimeError):
@@ -26,39 +27,67 @@ def _state_fields() -> str:
 
 
 def read_state_caches(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Frame states of cached games, one JSON file per game.
+    """Frame states of cached games, one JSON file per game; a large file is read by many tasks.
 
     Files of another version are skipped, or an error with ``strict``. The file
     name without its ending is the game.
     """
-    schema = (
-        "version int, records array<array<double>>, sample_every_n_frames int, "
-        f"start_seconds double, states array<struct<{_state_fields()}>>"
-    )
-    files = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .json(path)
-        .withColumn("game_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1))
+    headers, states = read_elements(
+        spark,
+        path,
+        "states",
+        "version int, records array<array<double>>, sample_every_n_frames int, start_seconds double",
+        f"struct<{_state_fields()}>",
     )
+    headers = cut(headers)
     if strict:
-        wrong = files.filter(~F.col("version").eqNullSafe(F.lit(C.STATE_CACHE_VERSION))).head(1)
+        wrong = headers.filter(~F.col("_header.version").eqNullSafe(F.lit(C.STATE_CACHE_VERSION))).head(1)
         if wrong:
+            version = wrong[0]["_header"] and wrong[0]["_header"].version
             raise StateCacheError(
-                f"Unsupported state cache version {wrong[0].version}; "
-                f"expected {C.STATE_CACHE_VERSION}"
+                f"Unsupported state cache version {version}; expected {C.STATE_CACHE_VERSION}"
             )
-    states = files.filter(F.col("version") == C.STATE_CACHE_VERSION).select(
-        "game_id", "records", F.posexplode("states").alias("_pos", "_s")
+    current = headers.filter(F.col("_header.version") == C.STATE_CACHE_VERSION)
+    recorded = current.select(
+        "_file", F.posexplode("_header.records").alias("_pos", "_record")
+    ).select("_file", F.col("_pos").cast("bigint").alias("_pos"), F.get("_record", F.lit(0)).cast("bigint").alias("_frame"))
+    names = [f.name for f in T.StructType.fromDDL(schemas.FRAMES).fields[3:]]
+    return (
+        states.join(current.select("_file"), "_file", "left_semi")
+        .join(recorded, ["_file", "_pos"], "left")
+        .select(
+            F.url_decode(F.replace(F.regexp_extract("_file", r"([^/]*?)(\.json)?$", 1), F.lit("+"), F.lit("%2B"))).alias("game_id"),
+            F.coalesce("_frame", "_pos").alias("frame_index"),
+            F.col("_element.timestamp").alias("timestamp_seconds"),
+            *(F.col(f"_element.{n}") for n in names),
+        )
+    )
+
+
+def write_state_caches(frames: DataFrame, folder: str, sample_every: int = 1, start: float = 0.0) -> int:
+    """One JSON file ``<game_id>.json`` a game, by frame; files of the same games are replaced. Returns their number.
+
+    Of frames with equal numbers any may come first. Fields that are null are left out.
+    """
+    file = F.concat("game_id", F.lit(".json")).alias("__name")
+    begun = f'{{"version": {C.STATE_CACHE_VERSION}, "sample_every_n_frames": {sample_every}, "start_seconds": {start}, "records": ['
+    sections = F.array(*(F.struct(F.lit(n).alias("part"), F.lit(t).alias("line")) for n, t in ((0, begun), (2, '], "states": ['), (4, "]}"))))
+    games = frames.select("game_id").distinct().withColumn("_s", F.explode(sections)).select(
+        file, F.col("_s.part").alias("_part"), F.lit(0).alias("_nth"), F.col("_s.line").alias("__line")
+    )
+    nth = F.row_number().over(Window.partitionBy("game_id").orderBy("frame_index", "timestamp_seconds"))
+    at = F.coalesce(F.round("timestamp_seconds", 3).cast("string"), F.lit("null"))
+    names = [f.name for f in T.StructType.fromDDL(schemas.FRAMES).fields[3:]]
+    state = F.to_json(F.struct(F.col("timestamp_seconds").alias("timestamp"), *names))
+    entries = F.array(
+        F.struct(F.lit(1).alias("part"), F.format_string("[%d, %s]", "frame_index", at).alias("line")),
+        F.struct(F.lit(3).alias("part"), state.alias("line")),
     )
-    recorded = F.get(F.get("records", F.col("_pos")), F.lit(0)).cast("bigint")
-    names = [n for n in spark.createDataFrame([], schemas.FRAMES).columns[3:]]
-    return states.select(
-        "game_id",
-        F.coalesce(recorded, F.col("_pos").cast("bigint")).alias("frame_index"),
-        F.col("_s.timestamp").alias("timestamp_seconds"),
-        *(F.col(f"_s.{n}") for n in names),
+    comma = F.when(F.col("_nth") > 1, ",").otherwise("")
+    listed = frames.withColumn("_nth", nth).withColumn("_s", F.explode(entries)).select(
+        file, F.col("_s.part").alias("_part"), "_nth", F.concat(comma, F.col("_s.line")).alias("__line")
     )
+    return write_lines(games.unionByName(listed), ["_part", "_nth"], folder, [])
 
 
 def game_signatures(records: DataFrame, width: int = 1 << 16) -> DataFrame:

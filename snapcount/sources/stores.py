@@ -75,15 +75,24 @@ def drop_folder(folder: str) -> None:
 def write_named(rows: DataFrame, name: str, order: list[str], folder: str) -> int:
     """Write one CSV file with a header for each value of the column ``name``, a relative path below ``folder``.
 
-    The rows of a file are in order of ``order``. A file is written by one task, line by line, so its rows are never
-    held together. Files of the same names are replaced, others stay; rows without a name are left out. A run that
-    fails before all files are written leaves nothing.
+    The rows of a file are in order of ``order``. Files are written as by ``write_lines``.
     """
-    spark = rows.sparkSession
-    ship_package(spark)
     columns = [c for c in rows.columns if c != name]
+    lines = rows.select(F.col(name).alias("__name"), *order, F.to_csv(F.struct(*columns)).alias("__line"))
+    return write_lines(lines, order, folder, [",".join(columns)])
+
+
+def write_lines(lines: DataFrame, order: list[str], folder: str, first: list[str]) -> int:
+    """Write one text file for each ``__name``, a relative path below ``folder``: ``first``, then each ``__line`` by ``order``.
+
+    A file is written by one task, line by line, so its lines are never held together. Files of the same names are
+    replaced, others stay; lines without a name are left out. A run that fails before all files are written leaves
+    nothing.
+    """
+    spark = lines.sparkSession
+    ship_package(spark)
     staging = staging_folder(spark, folder)
-    header = ",".join(columns)
+    header = "".join(f"{line}\n" for line in first)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = store(staging)
@@ -95,20 +104,21 @@ def write_named(rows: DataFrame, name: str, order: list[str], folder: str) -> in
                 if file != current:
                     if out is not None:
                         out.close()
-                    current, staged = file, f"{uuid.uuid4().hex}.csv"
+                    current, staged = file, uuid.uuid4().hex
                     out = system.open_output_stream(posixpath.join(root, staged))
-                    out.write(f"{header}\n".encode())
+                    out.write(header.encode())
                     begun.append((staged, file))
                 out.write(f"{line}\n".encode())
             yield pa.RecordBatch.from_arrays([pa.array([b[i] for b in begun], pa.string()) for i in (0, 1)], names=["staged", "name"])
         if out is not None:
             out.close()
 
-    lines = rows.filter(F.col(name).isNotNull()).select(F.col(name).alias("__name"), *order, F.to_csv(F.struct(*columns)).alias("__line"))
-    ordered = spread(lines, "__name").sortWithinPartitions("__name", *order).select("__name", "__line")
+    named = spread(lines.filter(F.col("__name").isNotNull()), "__name")
+    ordered = named.sortWithinPartitions("__name", *order).select("__name", "__line")
     return publish(cut(ordered.mapInArrow(each, "staged string, name string")), staging, folder)
 
 
+
 class Conflict(RuntimeError):
     """Someone else has committed this version."""
 
