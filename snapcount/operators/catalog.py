@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -14,11 +16,14 @@ from pyspark.sql import functions as F
 from snapcount import constants as C
 from snapcount.functions import text as P
 from snapcount.functions.similarity import seq_ratio
-from snapcount.session import BROADCAST_ROWS, at_most
+from snapcount.session import BROADCAST_ROWS, at_most, cut
 
 # A runner-up below this can never spoil the margin of an accepted match.
 RELEVANT = C.FUZZY_ACCEPT_WITH_MARGIN - C.FUZZY_MARGIN
 
+# Rarest pairs of a key that are coupled; the rows found are the same with any number.
+MOST_IN_COUPLES = 40
+
 SIDES = ("offense", "defense")
 
 
@@ -183,29 +188,26 @@ def build_catalog(offense: DataFrame, defense: DataFrame, base_url: str = "") ->
 
 
 def in_catalog_order(records: DataFrame) -> DataFrame:
-    """Add ``pos``, the rank in (side, family, formation, name) order.
+    """Add ``pos``, the rank in (side, family, formation, name) order; nulls come first.
 
-    Ranks are counted per side and family, then shifted by the rows before, so
-    the whole catalog never meets in one task.
+    Rows are cut into ranges of this order by sampled bounds, whatever family they are of, and ranked within their
+    range behind the rows of the ranges before. Rows equal in all order columns, slugs included, may take any order.
     """
-    group = ["side", "formation_family"]
-    inside = Window.partitionBy(*group).orderBy("formation", "play_name", "formation_slug", "play_slug")
-    sizes = records.groupBy(*group).count()
-    # One row per family: a small table however long the catalog gets.
-    starts = sizes.select(
-        *group,
-        (
-            F.sum("count").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("count")
-        ).alias("_start"),
-    )
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
+    order = ["side", "formation_family", "formation", "play_name", "formation_slug", "play_slug"]
+    count = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written with their range, as another run may sample other bounds.
+    ranged = cut(records.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id()))
+    # One row a range, so at most ``count`` rows.
+    sizes = ranged.groupBy("_range").count().orderBy("_range").collect()
+    starts = accumulate((row["count"] for row in sizes), initial=0)
+    before = records.sparkSession.createDataFrame(
+        [(row["_range"], start) for row, start in zip(sizes, starts)], "_range int, _start long"
+    )
+    inside = Window.partitionBy("_range").orderBy(*order)
     return (
-        records.withColumn("_rank", F.row_number().over(inside))
-        .alias("r")
-        .join(starts.alias("s"), same, "left")
-        .select("r.*", (F.col("_start") + F.col("_rank") - 1).alias("pos"))
-        .drop("_rank")
+        ranged.withColumn("_rank", F.row_number().over(inside))
+        .join(F.broadcast(before), "_range")
+        .select(*records.columns, (F.col("_start") + F.col("_rank") - 1).alias("pos"))
     )
 
 
@@ -317,15 +319,95 @@ def _matching_udf(df: DataFrame, catalog: Catalog, side: str):
     return matching
 
 
+def _numbered_pairs(keys: DataFrame, key: str) -> DataFrame:
+    """Pairs of neighbouring letters of each distinct key; equal pairs of a key are numbered."""
+    starts = F.sequence(F.lit(1), F.length(key) - 1)
+    pairs = F.transform(starts, lambda i: F.substring(key, i, F.lit(2)))
+    listed = keys.filter(F.length(key) >= 2).select(key, F.posexplode(pairs).alias("_at", "_pair"))
+    nth = F.row_number().over(Window.partitionBy(key, "_pair").orderBy("_at"))
+    return listed.select(key, "_pair", nth.alias("_nth"))
+
+
+def _meeting_keys(pairs: DataFrame, frequency: DataFrame, key: str, ratio: float, text: bool) -> DataFrame:
+    """(``key``, ``_meets``): what a text or name shares with all names or texts as near as ``ratio``.
+
+    With M matched letters of L in both, the matches form at most L-2M+1 blocks, so 3M-L-1 pairs stay whole, and M is at
+    least L times half the ratio. Two keys that share so many pairs share two of the rarest of each that are left when
+    two fewer are taken off; keys are such couples. The least L follows from the bands of length of both. Single pairs
+    are the keys where bands are so short that one shared pair is all that is sure, or so long that couples are many.
+    """
+    width = 1.001 * (2 - ratio) / ratio
+    rarity = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_pair", "_nth")
+    listed = (
+        pairs.join(frequency, ["_pair", "_nth"], "left")
+        .groupBy(key)
+        .agg(F.transform(F.sort_array(F.collect_list(rarity)), lambda p: F.concat(p["_pair"], p["_nth"])).alias("_rare"))
+        .withColumn("_band", F.floor(F.log(F.length(key)) / math.log(width)))
+        .withColumn("_step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    )
+    own, other = F.col("_band"), F.col("_band") + F.col("_step")
+    least = F.pow(F.lit(width), own) + F.pow(F.lit(width), other)
+    shared = F.greatest(F.lit(1), F.ceil((1.5 * ratio - 1) * least - 1 - 1e-6))
+    longest = F.pow(F.lit(width), F.greatest(own, other) + 1)
+    sized = listed.withColumn("_shared", shared).withColumn(
+        "_couples", (F.col("_shared") >= 2) & (longest - F.col("_shared") <= MOST_IN_COUPLES)
+    )
+    kept = F.length(key) - F.col("_shared") + F.when(F.col("_couples"), 1).otherwise(0)
+    rare = F.slice("_rare", F.lit(1), F.greatest(F.lit(0), kept.cast("int")))
+    couples = F.flatten(
+        F.transform(
+            "_rare", lambda x, i: F.transform(F.slice("_rare", i + 2, F.size("_rare")), lambda y: F.concat(x, F.lit("|"), y))
+        )
+    )
+    bands = (own, other) if text else (other, own)
+    return (
+        sized.withColumn("_rare", rare)
+        .withColumn("_key", F.explode(F.when(F.col("_couples"), couples).otherwise(F.col("_rare"))))
+        .select(key, F.concat_ws(":", *bands, "_key").alias("_meets"))
+    )
+
+
+def _near_keys(texts: DataFrame, keys: DataFrame, ratio: float) -> DataFrame:
+    """(compact, name_key, _ratio) of distinct texts and names that are as near as ``ratio``.
+
+    They meet at their rarest pairs. Where lengths add up to 5, 8 or 11 no pair need be shared; those short texts meet
+    on single letters.
+    """
+    low = ratio - 1e-9
+    mine, theirs = _numbered_pairs(texts, "compact"), _numbered_pairs(keys, "name_key")
+    # At most one row for each two letters of the alphabet and number.
+    frequency = theirs.groupBy("_pair", "_nth").agg(F.count("*").alias("_n"))
+    met = _meeting_keys(mine, frequency, "compact", low, True).join(
+        _meeting_keys(theirs, frequency, "name_key", low, False), "_meets"
+    )
+
+    def letters(rows: DataFrame, key: str, longest: int) -> DataFrame:
+        short = rows.filter(F.length(key) <= longest)
+        return short.select(key, F.explode(F.array_distinct(F.split(key, ""))).alias("_letter"))
+
+    single = letters(texts, "compact", 10).join(letters(keys, "name_key", 8), "_letter")
+    single = single.filter((F.length("compact") + F.length("name_key")).isin(5, 8, 11))
+    columns = ["compact", "name_key"]
+    return _scored(met.select(columns).unionByName(single.select(columns)).distinct(), low)
+
+
+def _scored(pairs: DataFrame, low: float) -> DataFrame:
+    """Pairs with ``_ratio``, without those that edits rule out before it is computed.
+
+    Matched letters are a common subsequence, so the edit distance is at most the unmatched letters of both.
+    """
+    total = F.length("compact") + F.length("name_key")
+    shorter = F.least(F.length("compact"), F.length("name_key"))
+    most = F.floor((1 - low) * total).cast("int")
+    possible = (2 * shorter >= low * total) & (F.levenshtein("compact", "name_key") <= most)
+    return pairs.filter(possible).withColumn("_ratio", seq_ratio("compact", "name_key")).filter(F.col("_ratio") >= low)
+
+
 def _match_by_blocks(lookups: DataFrame, catalog: Catalog, side: str) -> DataFrame:
-    """(compact, fkey, fuzzy) for a catalog too large to broadcast.
-
-    Two texts of ratio 0.72 or more share a pair of neighbouring letters, or
-    else their lengths add up to 5, 8 or 11: with M matched letters of L, the
-    matches form at most L-2M+1 blocks, so M-(L-2M+1) pairs stay whole, and
-    M >= 0.36 L makes that at least one for every other L. Those short texts
-    meet on single letters instead. So equal-key joins find every pair that
-    counts, and no all-pairs join is needed.
+    """(compact, fkey, fuzzy) for a catalog too large to broadcast, by equal-key joins that find every pair that counts.
+
+    No name is accepted below a ratio of ``FUZZY_ACCEPT_WITH_MARGIN``, so texts are first searched at that ratio; only
+    those whose best name needs a margin are searched for a runner-up, which may be less near.
     """
     names = catalog.names.filter(F.col("side") == side).select(
         "play_name", P.compact_key("play_name").alias("name_key")
@@ -342,30 +424,18 @@ def _match_by_blocks(lookups: DataFrame, catalog: Catalog, side: str) -> DataFra
         fnames.select("fkey", F.explode("names").alias("play_name")), "fkey"
     ).withColumn("name_key", P.compact_key("play_name"))
 
-    def grams(text: str, size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
-        return F.when(
-            F.length(text) >= size,
-            F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))),
-        )
-
-    def meeting(size: int) -> DataFrame:
-        left = outside.withColumn("_gram", F.explode(grams("compact", size)))
-        right = names.withColumn("_gram", F.explode(grams("name_key", size)))
-        if size == 1:
-            left = left.filter(F.length("compact") <= 10)
-            right = right.filter(F.length("name_key") <= 8)
-        met = left.join(right, "_gram").drop("_gram")
-        total = F.length("compact") + F.length("name_key")
-        return met.filter(total.isin(5, 8, 11)) if size == 1 else met
-
-    columns = ["compact", "fkey", "play_name", "name_key"]
-    pairs = (
-        meeting(2).select(columns).unionByName(meeting(1).select(columns)).distinct()
-    ).unionByName(pairs_in.select(columns))
-    shorter = F.least(F.length("compact"), F.length("name_key"))
-    near = 2 * shorter / (F.length("compact") + F.length("name_key")) >= RELEVANT - 1e-9
-    scored = pairs.filter(near).withColumn("_ratio", seq_ratio("compact", "name_key"))
+    texts, keys = outside.select("compact").distinct(), names.select("name_key").distinct()
+    first = cut(_near_keys(texts, keys, C.FUZZY_ACCEPT_WITH_MARGIN))
+    tops = first.groupBy("compact").agg(F.max("_ratio").alias("_top"))
+    doubtful = tops.filter(F.col("_top") < C.FUZZY_ACCEPT).select("compact")
+    near = first.join(doubtful, "compact", "left_anti").unionByName(_near_keys(doubtful, keys, RELEVANT))
+    columns = ["compact", "fkey", "play_name", "_ratio"]
+    scored = (
+        near.join(names.distinct(), "name_key")
+        .join(outside, "compact")
+        .select(columns)
+        .unionByName(_scored(pairs_in, RELEVANT - 1e-9).select(columns))
+    )
     ranked = Window.partitionBy("compact", "fkey").orderBy(F.desc("_ratio"), F.desc("play_name"))
     top = (
         scored.withColumn("_rank", F.row_number().over(ranked))

@@ -66,6 +66,39 @@ def test_blocks_find_what_the_broadcast_finds(spark):
     assert run(True) == run(False)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_blocks_find_what_the_broadcast_finds_on_random_names(spark, seed):
+    rng = random.Random(seed)
+    alphabet = "AB" if seed else "ABCDEFGHIJ3 -"
+    names = sorted({"".join(rng.choices(alphabet, k=rng.randint(1, 16))).strip() for _ in range(150)} - {""})
+
+    def edited(name):
+        letters = list(name)
+        for _ in range(rng.randint(0, 1 + len(name) // 4)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at : at + rng.randint(0, 1)] = rng.choice([[], [rng.choice(alphabet)]])
+        return "".join(letters)
+
+    c = make(spark, names)
+    df = spark.createDataFrame([(t,) for t in sorted({edited(rng.choice(names)) for _ in range(400)})], "text string")
+    found = []
+    for small in (True, False):
+        c._small = small
+        found.append({(r.text, r.n, r.n_status) for r in K.validate_calls(df, c, "text", "offense", "n").collect()})
+    assert found[0] == found[1]
+    assert {"verified_fuzzy", "unverified"} <= {status for _, _, status in found[0]}
+
+
+def test_catalog_order_of_one_family_over_many_ranges(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["offense", None]), "Gun", rng.choice([None, "", "Ace", "Trips"]), f"n{rng.randint(0, 99):02}", "f", f"s{i:03}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "side string, formation_family string, formation string, play_name string, formation_slug string, play_slug string, i long")
+    got = [r.i for r in K.in_catalog_order(df).orderBy("pos").collect()]
+    assert [r.pos for r in K.in_catalog_order(df).orderBy("pos").collect()] == list(range(300))
+    assert got == [r[6] for r in sorted(rows, key=lambda r: tuple((v is not None, v or "") for v in r[:6]))]
+    assert K.in_catalog_order(df.limit(0)).count() == 0
+
+
 def test_empty_catalog(spark):
     assert check(spark, make(spark), "HB STRETCH") == (None, "catalog_unavailable")
 
