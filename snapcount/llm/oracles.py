@@ -61,9 +61,23 @@ template_shingles as (
 ), windows as (
   select doc_id, template, k, count(distinct s)::double / any_value(total) as containment, min(i) as start_word
   from hits where k >= 0 group by all
+  having count(distinct s)::double / any_value(total) >= 0.8
+), own as (
+  select a.template, b.template as other, x.s
+  from templates a join templates b on a.license <> b.license join sized x on x.template = a.template
+  where not exists (select 1 from sized y where y.template = b.template and y.s = x.s)
+), confused as (
+  select distinct doc_id, template, k from (
+    select w.doc_id, w.template, w.k, o.other, count(distinct o.s) as n, count(distinct h.s) as held
+    from windows w join own o using (template)
+    left join hits h on h.doc_id is not distinct from w.doc_id and h.template = w.template and h.k = w.k and h.s = o.s
+    group by all)
+  where held < 0.5 * n
 )
 select doc_id, template, license, min(start_word) as start_word, max(containment) as containment
-from windows join templates using (template) where containment >= 0.8 group by all
+from windows w join templates using (template)
+where not exists (select 1 from confused c where c.doc_id is not distinct from w.doc_id and c.template = w.template and c.k = w.k)
+group by all
 """
 
 

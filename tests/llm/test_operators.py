@@ -455,6 +455,47 @@ def test_licenses_of_awkward_rows(spark, docs, none):
     assert licenses.scan(table, templates=[("a", "A", "too short")]).count() == 0
 
 
+LGPL = """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES"""
+THIRD = """3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+
+
+def test_licenses_of_one_family_are_told_apart(spark):
+    texts = {
+        "LGPL-3.0": LGPL,
+        "LGPL-2.1": LGPL.replace("version 3", "version 2.1"),
+        "GPL-3.0": LGPL.replace("Lesser\n", "").replace("library", "program"),
+        "GPL-2.0": LGPL.replace("Lesser\n", "").replace("library", "program").replace("version 3", "version 2"),
+        "AGPL-3.0": LGPL.replace("Lesser", "Affero").replace("library", "program"),
+        "BSD-2-Clause": BSD.format(""),
+        "BSD-3-Clause": BSD.format(THIRD),
+        "ISC": """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby
+            granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    }
+    both = BSD.format("") + prose(3, 400) + BSD.format(THIRD)
+    rows = [(i, prose(i) + "\n" + t + "\n" + prose(i + 50), None, None, None) for i, t in enumerate([*texts.values(), both])]
+    found = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == set(enumerate(texts)) | {(len(texts), "BSD-2-Clause"), (len(texts), "BSD-3-Clause")}
+
+
+def test_each_template_is_found_as_itself_alone(spark):
+    rows = [(i, t, None, None, None) for i, (_, _, t) in enumerate(licenses.TEMPLATES)]
+    found = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {(i, license_id) for i, (_, license_id, _) in enumerate(licenses.TEMPLATES)}
+
+
 def test_every_template_shingle_has_an_anchor():
     runs = set()
     for _, _, text in licenses.TEMPLATES:
