@@ -41,7 +41,7 @@ OWN = 0.5
 BANDS = 64
 MOST_TEMPLATE_WORDS = 200_000
 # Words that most English texts hold; the list changes no result.
-FREQUENT = frozenset("a an and any as by for if in is it not of or that the this to under was what with you".split())
+FREQUENT = frozenset("a an and any as by do for if in is it not of or that the this to under was what with you".split())
 BREAK = r"[^\p{L}\p{N}]+"
 
 # Notices as their licenses word them.
