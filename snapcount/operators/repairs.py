@@ -366,28 +366,58 @@ def propagate(summaries: DataFrame, *names: str, seq: Sequence = SUMMARIES) -> D
     return df.drop(*(f"_filled_{n}" for n in names))
 
 
+class _Overtimes(Walk):
+    """Quarters after the fourth, from restarts whose label is the next quarter."""
+
+    def __init__(self) -> None:
+        self.quarter = self.since = None
+
+    def add(self, row):
+        if self.quarter is None:
+            self.quarter, self.since = row.begins, row.entered
+        if row.quarter != self.quarter + 1 or row.low_at < self.since:
+            return []
+        self.quarter, self.since = row.quarter, row.spot
+        return [(row.spot, 1)]
+
+
 def repair_quarter_and_clock(summaries: DataFrame, seq: Sequence = SUMMARIES) -> DataFrame:
     """Quarters advance on clock restarts only, and clocks never rise inside one.
 
     A restart is a clock of five minutes or more after one of 45 seconds or
-    less; up to the fourth quarter each restart is the next quarter. Quarter
-    reads are 1 to 4, so nothing advances past the fourth.
+    less; up to the fourth quarter each restart is the next quarter, later
+    only one that is labelled so.
     """
     seconds = P.clock_seconds("game_clock")
     low_high = F.when(seconds <= 45, "low").when(seconds >= 300, "high")
+    order = F.col(seq.order)
     df = S.scan(
         summaries,
         seq,
         _last=S.latest(low_high),
-        _first=S.whole_min(F.struct(F.col(seq.order).alias("o"), F.col("quarter").alias("q"))),
+        _low_at=S.latest(F.when(seconds <= 45, order)),
+        _first=S.whole_min(F.struct(order.alias("o"), F.col("quarter").alias("q"))),
     )
     restart = (low_high == "high") & (F.col("_last") == "low")
     df = S.scan(df, seq, _restarts=S.running_sum(F.when(restart, 1).otherwise(0)))
     first = F.coalesce(F.nullif("_first.q", F.lit(0)), F.lit(1))
-    df = df.withColumn(
-        "_ahead",
-        F.least(F.col("_restarts"), F.greatest(F.lit(4) - first, F.lit(0))).cast("int"),
-    )
+    regular = F.greatest(F.lit(4) - first, F.lit(0))
+    df = df.withColumn("_ahead", F.least(F.col("_restarts"), regular).cast("int"))
+    df = S.scan(df, seq, _entered=S.whole_min(F.when(F.col("_ahead") == regular, order)))
+    labelled = df.filter((low_high == "high") & (F.col("quarter") > 4) & (F.col("_low_at") >= F.col("_entered")))
+    later = S.walk(
+        labelled.select(
+            *seq.keys, order.alias("spot"), "quarter", F.col("_low_at").alias("low_at"),
+            F.col("_entered").alias("entered"), F.greatest(F.lit(4), first).alias("begins"),
+        ),
+        list(seq.keys),
+        "spot",
+        _Overtimes,
+        "spot bigint, _later int",
+    ).withColumnRenamed("spot", seq.order)
+    df = df.join(later, [*seq.keys, seq.order], "left")
+    df = S.scan(df, seq, _overtimes=S.running_sum(F.coalesce("_later", F.lit(0))))
+    df = df.withColumn("_ahead", F.col("_ahead") + F.col("_overtimes").cast("int"))
     df = S.scan(df, seq.within("_ahead"), _lowest=S.min_before(seconds))
     return df.withColumns(
         {
@@ -396,7 +426,7 @@ def repair_quarter_and_clock(summaries: DataFrame, seq: Sequence = SUMMARIES) ->
                 seconds > F.col("_lowest"), P.seconds_clock("_lowest")
             ).otherwise(F.col("game_clock")),
         }
-    ).drop("_last", "_first", "_restarts", "_ahead", "_lowest")
+    ).select(*summaries.columns)
 
 
 class _TouchdownScores(Walk):

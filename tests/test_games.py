@@ -156,6 +156,20 @@ def test_quarters_advance_at_restarts_and_clocks_never_rise(spark, summaries):
     assert found == [(1, "1:00"), (1, "0:30"), (2, "7:00"), (2, "7:00"), (2, None), (2, "6:40")]
 
 
+@pytest.mark.parametrize("seq", [Sequence(("game_id",), "spot"), CHUNKED], ids=["whole", "chunked"])
+def test_overtimes_need_a_restart_with_their_label(spark, summaries, seq):
+    reads = [
+        (4, "0:20"), (None, "10:00"), (6, "9:50"), (5, "9:40"), (6, "9:30"), (5, "0:10"), (6, "8:00"), (7, "7:00"), (None, "0:05"), (8, "6:00"),
+        (7, "5:30"),
+    ]
+    df = summed(spark, summaries, *({"quarter": q, "game_clock": c} for q, c in reads))
+    found = in_order(repairs.repair_quarter_and_clock(df, seq), "spot", "quarter", "game_clock")
+    assert found == [
+        (4, "0:20"), (4, "0:20"), (4, "0:20"), (5, "9:40"), (5, "9:30"), (5, "0:10"), (6, "8:00"), (6, "7:00"), (6, "0:05"), (6, "0:05"),
+        (7, "5:30"),
+    ]
+
+
 def test_a_touchdown_gives_six_before_the_try(spark, summaries):
     teams = {"away_team": "A", "home_team": "H", "home_score": 0}
     rows = [
