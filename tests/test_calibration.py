@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from snapcount.operators import calibration
@@ -63,3 +65,33 @@ def test_an_inserted_play_is_skipped_and_empty_sides_have_no_pairs(spark):
     assert sorted(tuple(r)[1:] for r in calibration.align_plays(labels, plays).collect()) == [(0, 0), (10, 20), (20, 30)]
     none = table(spark, {})
     assert calibration.align_plays(labels, none).count() == calibration.align_plays(none, plays).count() == 0
+
+
+def test_tiles_of_a_batch_are_computed_together_in_bounded_groups(monkeypatch):
+    rng = random.Random(8)
+
+    def rows(n):
+        return [{"place": p, "number": p, **{k: rng.choice([None, "A", "B"] if "call" in k else [None, 1, 2]) for k in WEIGHTS}} for p in range(n)]
+
+    sizes = [(rng.randint(1, 6), rng.randint(1, 6)) for _ in range(500)]
+    made = [{"game_id": f"g{g}", "i": 0, "j": 0, "i_rows": rows(a), "j_rows": rows(b), "top": None, "left": None} for g, (a, b) in enumerate(sizes)]
+    scores = pa.list_(pa.float64())
+    item = pa.struct([("place", pa.int32()), ("number", pa.int64()), *((k, pa.string() if "call" in k else pa.int32()) for k in WEIGHTS)])
+    fields = [("game_id", pa.string()), ("i", pa.int64()), ("j", pa.int64()), ("i_rows", pa.list_(item)), ("j_rows", pa.list_(item)), ("top", scores), ("left", scores)]
+    batch = pa.RecordBatch.from_pylist(made, schema=pa.schema(fields))
+    whole = list(calibration._Tiles(batch, 6).groups())
+    assert len(whole) == 1
+    monkeypatch.setattr(calibration, "CELLS", 700)
+    tiles = calibration._Tiles(batch, 6)
+    groups = list(tiles.groups())
+    assert sorted(np.concatenate(groups).tolist()) == list(range(500)) and len(groups) < 60
+    found = {}
+    for some in groups:
+        assert len(some) * (max(sizes[g][0] for g in some) + 1) * (max(sizes[g][1] for g in some) + 1) <= 700
+        rows_of, columns_of = (np.array([sizes[g][k] for g in some]) for k in (0, 1))
+        at, left, right, _, _ = tiles.trace(some, rows_of, columns_of)
+        numbers = tiles.labels.number.to_numpy()[left], tiles.plays.number.to_numpy()[right]
+        for t, a, b in zip(at, *numbers, strict=True):
+            found.setdefault(some[t], []).append((10 * a, 10 * b))
+    for g, m in enumerate(made):
+        assert found.get(g, []) == full_table(m["i_rows"], m["j_rows"])
