@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from snapcount.sources import pieces
 from snapcount.sources.pieces import read_elements
 
 TEXTS = ["", "a", "}", "{", '"', "\\", '\\"', '"states": [{', "]}, {[", "é}ü\n\t", "x" * 300, "},", "\\}"]
@@ -62,3 +63,29 @@ def test_ranges_give_the_rows_of_whole_files(spark, tmp_path, width):
         got = sorted((r["_pos"], r["_element"]) for r in rows if r["_file"].endswith("/" + name))
         assert [(p, e.asDict(recursive=True)) for p, e in got] == list(enumerate(made["states"]))
     assert not [r for r in rows if r["_file"].rsplit("/", 1)[1] not in documents]
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    (tmp_path / "a b%.json").write_text('{"states": [{"g": 1}, {"g": 2}]}\n')
+    (tmp_path / "_hidden.json").write_text('{"states": [{"g": 3}]}')
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "c.json").write_text('{"states": [{"g": 4}]}')
+    rows = {}
+    for path in (str(tmp_path), f"{tmp_path}/a*.json"):
+        found = pieces._texts(spark, path)
+        rows[path] = sorted((r._file.rsplit("/", 1)[1], r._text) for r in found.collect())
+    assert not [f for f in pieces._texts(spark, str(tmp_path)).inputFiles() if f.endswith(".json")]
+    assert rows[str(tmp_path)] == rows[f"{tmp_path}/a*.json"] and len(rows[str(tmp_path)]) == 4
+
+
+def test_a_text_belongs_to_the_range_it_begins_in(tmp_path, monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK_BYTES", 3)
+    rnd = random.Random(2)
+    for n in range(60):
+        data = "".join(rnd.choice("ab}") for _ in range(rnd.randint(1, 30))).encode()
+        (tmp_path / "x").write_bytes(data)
+        size = rnd.randint(1, 9)
+        with open(tmp_path / "x", "rb") as source:
+            found = [t for b in range(0, len(data), size) for t in pieces.texts_of_range(source, b, min(b + size, len(data)))]
+        *whole, rest = data.split(b"}")
+        assert found == (whole + [rest] if rest else whole)
