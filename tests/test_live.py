@@ -113,3 +113,15 @@ def test_a_game_whose_plays_go_leaves_none_behind(spark, tmp_path):
         tables.write("plays", spark.createDataFrame(rows, "game_id string, play_number int"), batch)
         tables.finish(spark.createDataFrame([(n,) for n in names], "game_id string"), batch)
     assert [r.game_id for r in live.current_plays(spark, str(tmp_path)).collect()] == ["b"]
+
+
+def test_a_bucket_of_a_small_batch_is_one_file(spark, tmp_path):
+    """However many tasks hold the rows; else each of them has a file for every bucket."""
+    tables = Versions(spark, str(tmp_path / "t"), states=("plays",))
+    rows = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("g"), F.col("id") % 300).alias("game_id"), "id")
+    tables.write("plays", rows, 0)
+    tables.finish(rows.select("game_id").distinct(), 0)
+    for part in ("plays/batch=0", "games/batch=0"):
+        buckets = [p for p in (tmp_path / "t" / part).iterdir() if p.is_dir()]
+        assert len(buckets) > 100 and all(len(list(p.glob("*.parquet"))) == 1 for p in buckets)
+    assert rows_of(tables.latest("plays"), ["game_id", "id"]) == rows_of(rows, ["game_id", "id"])
