@@ -100,6 +100,15 @@ def test_state_cache_and_outputs(spark, tmp_path):
     assert {p.name for p in (tmp_path / "out" / "Team_Data").iterdir()} == {"NYJ", "TEN"}
 
 
+def test_records_of_state_caches_are_not_broadcast(spark, tmp_path, capsys):
+    """Their file is small, so that its size says little of the rows in it: one for each frame of all games."""
+    written = games.frames(spark, [games.game(seed) for seed in (3, 4)])
+    files.write_state_caches(written, str(tmp_path / "caches"))
+    files.read_state_caches(spark, str(tmp_path / "caches")).explain()
+    joins = [line for line in capsys.readouterr().out.splitlines() if "Join " in line]
+    assert "SortMergeJoin" in joins[0] and "LeftOuter" in joins[0]
+
+
 def test_missing_files_are_empty(spark, tmp_path):
     assert files.read_catalog(spark, str(tmp_path / "none.json")).plays.count() == 0
     assert files.read_labels(spark, str(tmp_path / "none.json"), "g").count() == 0
