@@ -23,8 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a five-word likeness of 0.8 or more: the one with the smallest id.
 
-    By exact likeness of shingle sets (``llm.likeness``), not by the four bits of SimHash that ``op10_simhash`` links by:
-    most texts of that likeness differ in more bits.
+    Candidates are found by SimHash, compared bit-sliced, and decided by exact likeness of shingle sets (``llm.likeness``). Most texts of
+    that likeness differ in more than the four of 64 bits that ``op10_simhash`` links by, so fingerprints are wider here.
     """
     return likeness.keep_one(docs)
 

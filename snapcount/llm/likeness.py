@@ -3,22 +3,29 @@
 Texts become the set of their ``WIDTH``-word shingles. Texts with one sequence of words are one text; two
 texts are linked if the likeness of their sets is ``LIKE`` or more; a group is what links reach.
 
-* Candidates: ``BANDS`` keys a text, each of ``ROWS`` MinHash values. A pair of likeness 0.8 shares no key
-  with a chance of ``(1 - 0.8 ** 8) ** 60``, about one in 60,000, and a liker pair with less.
-* First round: every text of a key is compared with the key's hub, the text that shares most keys with others. So a
-  large group of copies of one text makes a link a row.
+* Fingerprints: SimHash. Each bit is the majority of one hash bit over the distinct shingles. A bit differs between sets of likeness 0.8
+  with a chance of 0.15, and of ``FLIP`` at most (four shingles of five). 64 bits at such distances can't be told from
+  other texts, so a fingerprint has as many words as the keys need.
+* Candidates: ``BANDS`` keys a text, each a block of ``ROWS`` bits of its own; texts of a key are compared bit-sliced (``simhash``)
+  over ``WORDS`` words and are near within ``RADIUS`` bits, then those that reach each other again over ``MORE_WORDS`` words, within ``MORE_RADIUS`` bits. A pair of likeness 0.8 shares no key with a chance of at most
+  ``(1 - (1 - FLIP) ** ROWS) ** BANDS``, one in 300,000, and lies beyond a radius with one in 75,000; a liker pair with less.
+  Above ``RUN`` texts a key, blocks are longer and there are more of them, with the same chance (``key_shape``).
+* First round: texts of a key that reach each other within both radii share a meeting, and every text of a meeting
+  is compared with its hub, the text that shares most meetings with others. So a large group of copies of one text makes a link a row.
 * Second round: around hubs whose texts are not one group by then, only those pairs meet that what they share with the hub leaves
-  possible (``around_hubs``). No pair that shares a key and could be alike is passed over, and the texts of a key
+  possible (``around_hubs``). No pair that shares a meeting and could be alike is passed over, and its texts
   don't all meet each other.
 * Verification: the exact likeness of the two sets of shingle hashes (XXH64).
 
 Defined results: null and blank texts are one text; texts of fewer words than a shingle are one shingle; very long texts are
-read whole, their signature in steps of ``STEP`` shingles; repeated rows are one text; an empty table gives an empty table; columns
+read whole, their fingerprint in steps of ``STEP`` shingles; repeated rows are one text; an empty table gives an empty table; columns
 that are not ``doc_id`` and ``text`` are carried, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -28,18 +35,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapcount.llm.common import add_columns, texts
-from snapcount.llm.simhash import SEED, stars
-from snapcount.session import cut
+from snapcount.llm.common import BATCH_ROWS, add_columns, texts
+from snapcount.llm.simhash import SEED, labels_of_runs, stars, whole_runs
+from snapcount.session import cut, ship_package, spread
 
 WIDTH = 5
 BANDS = 60
 ROWS = 8
 # Sizes of sets that meet under one key, as steps of the logarithm.
 SIZE_STEP = 0.02
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-# Shingles that are hashed at once; bounds the memory of a task.
-STEP = 4096
+# Chance, at worst, that a bit differs between sets of likeness 0.8.
+FLIP = 3 / 16
+# Words of a fingerprint that are compared, and the bits in which near ones may differ: in the texts of a key, and again in what is near there.
+WORDS, RADIUS = 3, 60
+MORE_WORDS, MORE_RADIUS = 8, 138
+# Texts of one key, on average, from which on keys have more bits; and those of one key from which on dense groups are searched first.
+RUN = 8192
+LARGE_RUN = 4096
+# Shingles that vote at once; their votes must fit in a byte.
+STEP = 255
 LONGS = T.ArrayType(T.LongType())
 
 
@@ -63,13 +77,30 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.array([digest(whole[s : e - 1], SEED) for s, e in zip(begins, ends[WIDTH - 1 :], strict=True)], dtype=np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+def key_shape(count: int) -> tuple[int, int]:
+    """(keys, bits of a key) for ``count`` texts."""
+    bits = max(ROWS, math.ceil(math.log2(max(count, 1) / RUN)))
+    return math.ceil(BANDS * (1 - FLIP) ** (ROWS - bits)), bits
+
+
+def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set of shingle hashes: the majority of each bit, in ``words`` words of 64 bits."""
+    salts = np.random.default_rng(SEED).integers(0, 1 << 64, size=words, dtype=np.uint64)
+    votes = np.zeros(64 * words, dtype=np.int64)
     for at in range(0, len(hashes), STEP):
-        least = np.minimum(least, (hashes[at : at + STEP] * FACTORS).min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+        x = hashes[at : at + STEP, None] ^ salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1)
+        # Eight votes are added at once, as the bytes of a word.
+        votes += np.add.reduce(bits.view(np.uint64), axis=0).view(np.uint8)
+    return np.packbits(2 * votes > len(hashes)).view(np.uint64)
+
+
+def block_keys(prints: np.ndarray, keys: int, bits: int) -> np.ndarray:
+    """Keys of each fingerprint, one a block of ``bits`` bits; the number of the block is a part of its key."""
+    blocks = np.unpackbits(prints.view(np.uint8), axis=1)[:, : keys * bits].reshape(len(prints), keys, bits)
+    return blocks @ (np.int64(1) << np.arange(bits)) + (np.arange(keys) << 40)
 
 
 def signed(values: list[int]) -> pa.Array:
@@ -84,16 +115,51 @@ def id_text() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, n, keys): hash of the text, number of shingles and band keys; no shuffle."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, t, print): hash of the text and fingerprint of its shingles; no shuffle."""
 
     def compute(batch: pa.RecordBatch) -> list:
         documents = texts(batch)
-        sets = [shingles(t) for t in documents]
-        return [signed([text_hash(t) for t in documents]), [len(s) for s in sets], [band_keys(s) for s in sets]]
+        prints = [fingerprint(shingles(t), words).view(np.int64).tolist() for t in documents]
+        return [signed([text_hash(t) for t in documents]), prints]
+
+    fields = [("t", T.LongType()), ("print", LONGS)]
+    return add_columns(docs.select("doc_id", "text"), fields, compute).select("doc_id", "t", "print")
+
+
+def with_keys(batches: Iterator[pa.RecordBatch], keys: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (k, t, words of the fingerprint) of each key of rows (t, print)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH_ROWS):
+            t, prints = whole.slice(at, BATCH_ROWS).columns
+            prints = prints.flatten().to_numpy().reshape(len(t), -1)
+            columns = [t.to_numpy(), *prints[:, :WORDS].T]
+            rows = [block_keys(prints, keys, bits).ravel(), *[np.repeat(c, keys) for c in columns]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["k", "t", *[f"w{i}" for i in range(WORDS)]])
 
-    fields = [("t", T.LongType()), ("n", T.LongType()), ("keys", LONGS)]
-    return add_columns(docs.select("doc_id", "text"), fields, compute).select("doc_id", "t", "n", "keys")
+
+def near_in_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (t, k, g) of texts that are within ``radius`` of another of their key; ``g`` is one of those that they reach."""
+    for k, t, *words in whole_runs(batches):
+        label = labels_of_runs(k, np.stack(words, axis=1).view(np.uint64), radius, LARGE_RUN)
+        near = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t[near], k[near], t[label[near]])], names=["t", "k", "g"])
+
+
+def meetings(marked: DataFrame, keys: int, bits: int) -> DataFrame:
+    """(t, k): texts that share a key and reach each other within the radii have one ``k``."""
+    ship_package(marked.sparkSession)
+    once = cut(marked.groupBy("t").agg(F.first("print").alias("print")))
+    words = "".join(f", w{i} long" for i in range(WORDS))
+    keyed = once.mapInArrow(lambda batches: with_keys(batches, keys, bits), f"k long, t long{words}")
+
+    def near(rows: DataFrame, radius: int) -> DataFrame:
+        runs = spread(rows, "k").sortWithinPartitions("k")
+        return runs.mapInArrow(lambda batches: near_in_runs(batches, radius), "t long, k long, g long").select("t", F.xxhash64("k", "g").alias("k"))
+
+    more = once.select("t", *[F.col("print")[i].alias(f"w{i}") for i in range(MORE_WORDS)])
+    again = near(keyed, RADIUS).join(more, "t").select("k", "t", *more.columns[1:])
+    return cut(near(again, MORE_RADIUS))
 
 
 def pair(t: str, other: str) -> list[Column]:
@@ -179,12 +245,13 @@ def around_hubs(met: DataFrame) -> DataFrame:
     return by_share.select("t", F.col("x_t").alias("o")).union(by_shingle.select("t", F.col("x_t").alias("o")))
 
 
-def groups(docs: DataFrame, marked: DataFrame, ids: DataFrame) -> DataFrame:
-    """(a, b): every text ``a`` that is linked, with the least text ``b`` of its group (``a`` other than ``b``)."""
-    members = marked.groupBy("t").agg(F.first("keys").alias("keys")).select("t", F.explode("keys").alias("k"))
-    several = members.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
-    shared = cut(members.join(several, "k"))
-    # The text that shares most keys with others is the likeliest to be alike with many of them.
+def groups(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
+    """(a, b): every text ``a`` that is linked, with the least text ``b`` of its group (``a`` other than ``b``).
+
+    ``members`` (t, k) are the texts of each meeting.
+    """
+    shared = cut(members.join(members.groupBy("k").agg(F.count("*").alias("c")), "k"))
+    # The text that shares most meetings with others is the likeliest to be alike with many of them.
     weight = shared.groupBy("t").agg(F.sum("c").alias("w"))
     shared = cut(shared.drop("c").join(weight, "t"))
     hub = cut(shared.groupBy("k").agg(F.max(F.struct("w", "t")).alias("h")).select("k", F.col("h.t").alias("o")))
@@ -201,11 +268,12 @@ def groups(docs: DataFrame, marked: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id, first among equals."""
-    marked = cut(signatures(docs))
+    keys, bits = key_shape(docs.count())
+    marked = cut(signatures(docs, max(MORE_WORDS, -(-keys * bits // 64))))
     least = marked.groupBy("t").agg(F.min("doc_id").alias("d"))
     ids = least.select("t", F.coalesce(F.col("d").cast("string"), F.lit("")).alias("id"))
     chosen = (
-        least.join(groups(docs, marked, ids).toDF("t", "g"), "t", "left")
+        least.join(groups(docs, meetings(marked, keys, bits), ids).toDF("t", "g"), "t", "left")
         .groupBy(F.coalesce("g", "t").alias("g"))
         .agg(F.min(F.struct(F.col("d").isNull().alias("no"), "d", "t")).alias("one"))
         .select(F.col("one.t").alias("__t"), F.coalesce(F.col("one.d").cast("string"), F.lit("")).alias("__id"))

@@ -43,7 +43,7 @@ SHARED = 2
 # Rows with one key from which on a dense group is taken out by search first.
 LARGE_RUN = 512
 # (row, word) pairs that are compared at once; bounds the memory of a task.
-PAIRS_AT_ONCE = 1 << 17
+PAIRS_AT_ONCE = 1 << 15
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -83,10 +83,11 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, out: str =
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """Bit planes: word w of plane k holds bit k of rows 64 w to 64 w + 63."""
-    padded = np.zeros(-(-len(values) // 64) * 64, dtype=np.uint64)
-    padded[: len(values)] = values
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes: word w of plane k holds bit k of rows 64 w to 64 w + 63. A row is one number, or several side by side."""
+    wide = values[:, None] if values.ndim == 1 else values
+    padded = np.zeros((-(-len(wide) // 64) * 64, wide.shape[1]), dtype="<u8")
+    padded[: len(wide)] = wide
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
     return packed.view("<u8")
 
@@ -98,18 +99,18 @@ def near_lanes(sliced: np.ndarray, queries: np.ndarray, words: np.ndarray, lanes
     """
     bits = radius.bit_length()
     alive = np.flatnonzero(lanes)
-    q, w, m = queries[alive], words[alive], lanes[alive]
+    q, w, m = np.ascontiguousarray(np.atleast_2d(queries[alive].T)), words[alive], lanes[alive]
     counters = [np.zeros(len(alive), dtype=np.uint64) for _ in range(bits)]
     over = np.zeros(len(alive), dtype=np.uint64)
     one = np.uint64(1)
-    for k in range(64):
-        carry = sliced[k][w] ^ (np.uint64(0) - ((q >> np.uint64(k)) & one))
+    for k in range(len(sliced)):
+        carry = sliced[k][w] ^ (np.uint64(0) - ((q[k >> 6] >> np.uint64(k & 63)) & one))
         for c in counters:
             carried = c & carry
             c ^= carry
             carry = carried
         over |= carry
-        if k % 8 == 7:
+        if k % 8 == 7 and k >= radius:
             beyond, equal = over.copy(), ~over
             for place in range(bits - 1, -1, -1):
                 if radius >> place & 1:
@@ -120,7 +121,7 @@ def near_lanes(sliced: np.ndarray, queries: np.ndarray, words: np.ndarray, lanes
             m = m & ~beyond
             live = np.flatnonzero(m)
             if len(live) < len(m):
-                alive, q, w, m, over = alive[live], q[live], w[live], m[live], over[live]
+                alive, q, w, m, over = alive[live], q[:, live], w[live], m[live], over[live]
                 counters = [c[live] for c in counters]
             if not len(alive):
                 break
@@ -196,7 +197,7 @@ def reach(values: np.ndarray, seed: int, radius: int) -> np.ndarray:
         for at in range(0, len(frontier), step):
             some = frontier[at : at + step]
             word = np.tile(words, len(some))
-            pair, mask = near_lanes(sliced, np.repeat(values[some], width), word, np.tile(lanes, len(some)), radius)
+            pair, mask = near_lanes(sliced, np.repeat(values[some], width, axis=0), word, np.tile(lanes, len(some)), radius)
             new[lane_rows(word[pair], mask)[1]] = True
             if new.all():
                 break
@@ -222,37 +223,46 @@ def large_run(values: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def links_of_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of rows (k, fp) that come sorted by ``k``; the last run waits for more rows."""
-    held_k, held_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def links(k: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        values = v.view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(k)]]))
-        label = np.arange(len(k))
-        big = sizes > LARGE_RUN
-        for s, n in zip(starts[big], sizes[big], strict=True):
-            label[s : s + n] = s + large_run(values[s : s + n], radius)
-        small = np.flatnonzero(np.repeat(~big & (sizes > 1), sizes))
-        if len(small):
-            size = sizes[~big & (sizes > 1)]
-            begin = np.repeat(np.cumsum(size) - size, size)
-            label[small] = small[compare_runs(values[small], begin, begin + np.repeat(size, size), radius)]
-        at = np.flatnonzero(label != np.arange(len(k)))
-        return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(v[label[at]])], names=["a", "b"])
+def labels_of_runs(k: np.ndarray, values: np.ndarray, radius: int, large: int = LARGE_RUN) -> np.ndarray:
+    """Labels that join rows of one ``k`` (sorted) that reach each other by steps of at most ``radius`` bits."""
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(k)]]))
+    label = np.arange(len(k))
+    big = sizes > large
+    for s, n in zip(starts[big], sizes[big], strict=True):
+        label[s : s + n] = s + large_run(values[s : s + n], radius)
+    small = np.flatnonzero(np.repeat(~big & (sizes > 1), sizes))
+    if len(small):
+        size = sizes[~big & (sizes > 1)]
+        begin = np.repeat(np.cumsum(size) - size, size)
+        label[small] = small[compare_runs(values[small], begin, begin + np.repeat(size, size), radius)]
+    return label
+
 
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come sorted by the first; the last run waits for more rows."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
-        v = np.concatenate([held_v, batch.column(1).to_numpy(zero_copy_only=False)])
-        if not len(k):
+        if not batch.num_rows:
             continue
-        whole = int(np.searchsorted(k, k[-1]))
-        held_k, held_v = k[whole:], v[whole:]
-        if whole:
-            yield links(k[:whole], v[:whole])
-    if len(held_k):
-        yield links(held_k, held_v)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        whole = int(np.searchsorted(columns[0], columns[0][-1]))
+        if held and (whole or held[-1][0][-1] != columns[0][0]):
+            yield [np.concatenate(c) for c in zip(*held, [c[:whole] for c in columns], strict=True)]
+            held = []
+        elif whole:
+            yield [c[:whole] for c in columns]
+        held.append([c[whole:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def links_of_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (k, fp) that come sorted by ``k``."""
+    for k, v in whole_runs(batches):
+        label = labels_of_runs(k, v.view(np.uint64), radius)
+        at = np.flatnonzero(label != np.arange(len(k)))
+        yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(v[label[at]])], names=["a", "b"])
 
 
 def block_keys(fp: str, blocks: tuple[int, ...] = BLOCKS, shared: int = SHARED):

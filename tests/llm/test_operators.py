@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,72 @@ def test_near_copies_of_likeness_are_found_against_all_pairs(spark, docs, none):
     assert likeness.keep_one(none).count() == 0
 
 
+def test_fingerprints_of_several_words_against_all_pairs():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2, size=(40, 192), dtype=np.uint8)
+    bits = rng.permutation(np.repeat(centres, 20, axis=0) ^ (rng.random((800, 192)) < 0.12))
+    values = np.packbits(bits, axis=1).view(np.uint64)
+    keys = np.sort(rng.integers(0, 9, 800))
+    near = (bits[:, None] != bits[None]).sum(axis=2) <= 45
+    near &= keys[:, None] == keys[None]
+    expected = np.arange(800)
+    for _ in range(12):
+        expected = np.array([expected[row].min() for row in near])
+    assert near.sum() > 1500 and 100 < len(set(expected)) < 700
+    for large in (4, 60, 800):
+        label = simhash.labels_of_runs(keys, values, 45, large)
+        assert ((label[:, None] == label[None]) == (expected[:, None] == expected[None])).all()
+
+
+def test_pairs_of_likeness_meet_by_simhash(spark):
+    rng = np.random.default_rng(6)
+    keys, bits = likeness.key_shape(1000)
+    first, second = [], []
+    for n in rng.integers(6, 700, 300):
+        whole = rng.integers(0, 1 << 64, size=n, dtype=np.uint64)
+        part = n // 10  # of 5 shingles 4 are shared
+        first.append(likeness.fingerprint(whole[part:], 8))
+        second.append(likeness.fingerprint(whole[: n - part], 8))
+    a, b = np.array(first), np.array(second)
+    apart = np.bitwise_count(a ^ b)[:, : likeness.WORDS].sum(axis=1)
+    assert apart.max() <= likeness.RADIUS and (np.bitwise_count(a ^ b)[:, 0] > 4).mean() > 0.5
+    assert np.bitwise_count(a ^ b)[:, : likeness.MORE_WORDS].sum(axis=1).max() <= likeness.MORE_RADIUS
+    assert (likeness.block_keys(a, keys, bits) == likeness.block_keys(b, keys, bits)).any(axis=1).all()
+    assert np.bitwise_count(a[1:] ^ b[:-1])[:, : likeness.WORDS].sum(axis=1).min() > likeness.RADIUS
+
+    rows = []
+    for i in range(40):
+        words = prose(i, 120).split()
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[8:])), (3 * i + 2, " ".join(words).upper())]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    marked = likeness.signatures(table, 8)
+    found = {}
+    for r in likeness.meetings(marked, keys, bits).collect():
+        found.setdefault(r.k, set()).add(r.t)
+    hashes = [likeness.text_hash(t) for _, t in rows]
+    signed = [h - (h >> 63 << 64) for h in hashes]
+    assert {frozenset(m) for m in found.values()} == {frozenset(signed[3 * i : 3 * i + 2]) for i in range(40)}
+
+
+def test_keys_grow_with_the_texts_and_keep_the_chance():
+    lost = []
+    for count in (0, 1, 10_000, 2_000_000, 50_000_000, 10**10):
+        keys, bits = likeness.key_shape(count)
+        assert bits >= likeness.ROWS and count / 2**bits <= likeness.RUN
+        lost.append((1 - (1 - likeness.FLIP) ** bits) ** keys)
+    assert max(lost) < 1 / 60_000
+
+
+def test_runs_are_whole_over_batches():
+    k = np.array([1, 1, 1, 1, 2, 2, 3, 4, 4, 4, 4, 4, 5])
+    for step in (1, 2, 3, 5, 13):
+        batches = [pa.RecordBatch.from_arrays([pa.array(k[i : i + step]), pa.array(np.arange(13)[i : i + step])], names=["k", "v"]) for i in range(0, 13, step)]
+        parts = list(simhash.whole_runs([batches[0].slice(0, 0), *batches]))
+        assert np.concatenate([v for _, v in parts]).tolist() == list(range(13))
+        ends = [set(keys.tolist()) for keys, _ in parts]
+        assert all(not a & b for i, a in enumerate(ends) for b in ends[:i])
+
+
 # -- 8 ----------------------------------------------------------------------------------
 
 
