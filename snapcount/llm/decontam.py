@@ -8,10 +8,13 @@ position) that differ by at most e.
 
 1. Density: text positions whose q-gram is none of the benchmark's, and stretches of
    m + e positions with fewer such q-grams than any window asks for, cannot be part of a region.
-2. Bands: the q-grams that are left are put, by item, in bands of 2 (e + 1) diagonals, each
+2. Seeds: e edits leave a stretch of ``SEED`` characters of a window unedited (of items too short for that, a q-gram).
+   An item is looked for only near text positions where such a stretch of it stands, so a q-gram that many items
+   hold is not paired with all of them.
+3. Bands: the q-grams that are left are put, by item, in bands of 2 (e + 1) diagonals, each
    overlapping the next by half, so that the diagonals of one region lie in one band.
    Windows in which a band has fewer than the bound go.
-3. Verification: windows that stand unedited in the text are runs on one diagonal; where an item has
+4. Verification: windows that stand unedited in the text are runs on one diagonal; where an item has
    none, the edit distance of every window that is left, within the band, with free ends in the text.
 
 The benchmark's index goes to every task and is bounded: benchmarks of more than
@@ -27,6 +30,7 @@ are carried.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,9 @@ WINDOWS_AT_ONCE = 8192
 # Bits of the filter in front of the index.
 FILTER_BITS = 22
 BREAK = 1
+# Characters that e edits leave together in a window of ``WINDOW``, and of the cells of text around them; a cell is wider than a region.
+SEED = 11
+CELL = 128
 
 
 def plain(text: str) -> str:
@@ -80,6 +87,44 @@ def edits_allowed(m: int) -> int:
     return max(0, min(int(RATE * m), m // Q - 1))
 
 
+def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (first ^ (last >> np.uint32(15))) * np.uint32(0x9E3779B1) + last
+
+
+def seed_hashes(hashed: np.ndarray) -> np.ndarray:
+    """Hash of the ``SEED`` characters at each position, from the q-grams they begin and end with."""
+    return joined(hashed[: Q - SEED], hashed[SEED - Q :])
+
+
+@dataclass
+class Postings:
+    """Where each value stands: item and place in it, by value, item and place."""
+
+    values: np.ndarray
+    begins: np.ndarray
+    of_item: np.ndarray
+    of_place: np.ndarray
+
+    @classmethod
+    def of(cls, per_item: list[np.ndarray], chosen: np.ndarray) -> Postings:
+        """Of the ``chosen`` items."""
+        items = np.flatnonzero(chosen)
+        every = np.concatenate([per_item[0][:0], *[per_item[i] for i in items]])
+        size = np.array([len(per_item[i]) for i in items], dtype=np.int64)
+        order = np.argsort(every, kind="stable")
+        values, begins = np.unique(every[order], return_index=True)
+        place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+        return cls(values, np.append(begins, len(every)), np.repeat(items, size)[order].astype(np.int32), place[order].astype(np.int32))
+
+    def slots(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``values`` are known, their slots)."""
+        if not len(self.values):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        slot = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        known = np.flatnonzero(self.values[slot] == values)
+        return known, slot[known]
+
+
 @dataclass
 class Index:
     """Items of a benchmark and where each q-gram stands in them."""
@@ -89,13 +134,17 @@ class Index:
     window: np.ndarray
     least: np.ndarray
     edits: np.ndarray
-    hashes: np.ndarray
-    begins: np.ndarray
-    of_item: np.ndarray
-    of_place: np.ndarray
+    grams: Postings
+    seeds: Postings
+    short: Postings
     seen: np.ndarray
     shapes: list[tuple[int, int]]
 
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Slot and item of each entry of the q-grams, as one number; ascends."""
+        return np.repeat(np.arange(len(self.grams.values)), np.diff(self.grams.begins)) * len(self.texts) + self.grams.of_item
+
     @property
     def segments(self) -> list[np.ndarray]:
         """All windows."""
@@ -117,12 +166,10 @@ def build(rows: list[tuple[int, str]]) -> Index | None:
         return None
     wholes = [codes(text) for text in first]
     hashed = [grams(t) for t in wholes]
-    every = np.concatenate(hashed)
-    order = np.argsort(every, kind="stable")
-    size = np.array([len(h) for h in hashed])
-    hashes, begins = np.unique(every[order], return_index=True)
+    everywhere = np.ones(len(wholes), dtype=bool)
+    grams_ = Postings.of(hashed, everywhere)
     seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-    seen[hashes >> np.uint32(32 - FILTER_BITS)] = True
+    seen[grams_.values >> np.uint32(32 - FILTER_BITS)] = True
     window = np.array([min(len(t), WINDOW) for t in wholes])
     edits = np.array([edits_allowed(int(m)) for m in window])
     least = window + 1 - Q * (edits + 1)
@@ -131,10 +178,11 @@ def build(rows: list[tuple[int, str]]) -> Index | None:
     for m, e, n in zip(window.tolist(), edits.tolist(), least.tolist(), strict=True):
         width, few = shapes.get(m.bit_length(), (1, m))
         shapes[m.bit_length()] = max(width, m + e - Q + 1), min(few, n)
+    # Edits leave this many characters, in one stretch more than there are edits.
+    seeded = -(-(window - edits) // (edits + 1)) >= SEED
     return Index(
-        np.array(list(first.values())), wholes, window, least, edits, hashes, np.append(begins, len(every)),
-        np.repeat(np.arange(len(size)), size)[order],
-        (np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size))[order], seen, list(shapes.values()),
+        np.array(list(first.values())), wholes, window, least, edits, grams_,
+        Postings.of([seed_hashes(h) for h in hashed], seeded), Postings.of(hashed, ~seeded), seen, list(shapes.values()),
     )
 
 
@@ -159,6 +207,35 @@ def dense(hit: np.ndarray, index: Index) -> np.ndarray:
     return np.flatnonzero(hit & (np.cumsum(change)[:-1] > 0)) if change.any() else np.zeros(0, dtype=np.int64)
 
 
+def entries(hashed: np.ndarray, at: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(text position, entry in the postings) of the q-grams at ``at`` (ascending) of items that have a seed near them."""
+    grams, items = index.grams, len(index.texts)
+    known, slot = grams.slots(hashed[at])
+    at = at[known]
+    # Seeds begin where their first and last q-grams are such positions.
+    ends = np.zeros(len(hashed) + SEED, dtype=bool)
+    ends[at] = True
+    cells = []
+    begin = at[ends[at + SEED - Q]]
+    for postings, place, values in (
+        (index.seeds, begin, joined(hashed[begin], hashed[begin + SEED - Q])),
+        (index.short, at, hashed[at]),
+    ):
+        found, found_slot = postings.slots(values)
+        counts = postings.begins[found_slot + 1] - postings.begins[found_slot]
+        cells.append(np.repeat(place[found] // CELL, counts) * items + postings.of_item[spans_of(postings.begins[found_slot], counts)])
+    near = np.unique(np.concatenate(cells))
+    near = np.unique(np.concatenate([near - items, near, near + items]))
+    cell, item = near // items, near % items
+    # Every such item with every q-gram of the cell; its entries stand together.
+    low, high = np.searchsorted(at, cell * CELL), np.searchsorted(at, (cell + 1) * CELL)
+    row = spans_of(low, high - low)
+    wanted = slot[row] * items + np.repeat(item, high - low)
+    first = np.searchsorted(index.places, wanted)
+    counts = np.searchsorted(index.places, wanted, "right") - first
+    return np.repeat(at[row], counts), spans_of(first, counts)
+
+
 def unedited(code: np.ndarray, index: Index, item: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(item, text position) of the first window of each run of q-grams that holds a whole window unedited."""
     order = np.lexsort((place, at - place, item))
@@ -203,15 +280,10 @@ def search(code: np.ndarray, index: Index, starts: list[int]) -> list[tuple[int,
     hit = index.seen[hashed >> np.uint32(32 - FILTER_BITS)]
     if not hit.any():
         return []
-    at = dense(hit, index)
-    slot = np.searchsorted(index.hashes, hashed[at])
-    known = index.hashes[np.minimum(slot, len(index.hashes) - 1)] == hashed[at]
-    at, slot = at[known], slot[known]
+    at, entry = entries(hashed, dense(hit, index), index)
     if not len(at):
         return []
-    counts = index.begins[slot + 1] - index.begins[slot]
-    entry = spans_of(index.begins[slot], counts)
-    item, place, at = index.of_item[entry], index.of_place[entry], np.repeat(at, counts)
+    item, place = (x[entry].astype(np.int64) for x in (index.grams.of_item, index.grams.of_place))
     whole, position = unedited(code, index, item, at, place)
     out = [(int(i), int(p), 0) for i, p in zip(whole, position, strict=True)]
 
@@ -224,6 +296,9 @@ def search(code: np.ndarray, index: Index, starts: list[int]) -> list[tuple[int,
     key, item, place = np.concatenate([key, key - 1]), np.concatenate([item, item]), np.concatenate([place, place])
     order = np.lexsort((place, key))
     key, item, place = key[order], item[order], place[order]
+    # A q-gram of the item counts once in a band, on however many diagonals it stands.
+    once = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(place) != 0)])
+    key, item, place = key[once], item[once], place[once]
     row, start = windows(index, key, item, place)
     item, half = item[row], index.edits[item[row]] + 1
     low = key[row] % bands * half - shift - index.edits[item] + start
@@ -234,25 +309,32 @@ def search(code: np.ndarray, index: Index, starts: list[int]) -> list[tuple[int,
         e = edits_allowed(int(m))
         for some in np.split(chosen, range(WINDOWS_AT_ONCE, len(chosen), WINDOWS_AT_ONCE)):
             parts = np.array([index.texts[i][s : s + m] for i, s in zip(item[some], start[some], strict=True)])
-            distance, lane = banded(code, low[some], parts, 2 * (e + 1) + 2 * e)
+            distance, lane = banded(code, low[some], parts, 2 * (e + 1) + 2 * e, e)
             for i in np.flatnonzero(distance <= e):
                 out.append((int(item[some[i]]), int(low[some[i]] + lane[i]), int(distance[i])))
     return out
 
 
-def banded(code: np.ndarray, low: np.ndarray, parts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def banded(code: np.ndarray, low: np.ndarray, parts: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edit distance of each window to the best text region on diagonals ``low`` to ``low + width``,
-    and the diagonal, less ``low``, on which that region ends."""
-    lanes = np.arange(width)
+    and the diagonal, less ``low``, on which that region ends. Windows beyond ``most`` edits are given up, with one more."""
+    lanes = np.arange(width, dtype=np.int16)
     padded = np.concatenate([np.zeros(width + WINDOW, np.uint32), code, np.zeros(width + 2 * WINDOW, np.uint32)])
     at = low[:, None] + lanes + width + WINDOW
-    distance = np.zeros((len(low), width), dtype=np.int64)
+    distance = np.zeros((len(low), width), dtype=np.int16)
+    best, end = np.full(len(low), most + 1), np.zeros(len(low), dtype=np.int64)
+    left = np.arange(len(low))
     for i in range(parts.shape[1]):
-        same = padded[np.clip(at + i, 0, len(padded) - 1)] == parts[:, i : i + 1]
-        here = distance + ~same
-        here[:, :-1] = np.minimum(here[:, :-1], distance[:, 1:] + 1)
+        here = distance + (padded[np.clip(at + i, 0, len(padded) - 1)] != parts[:, i : i + 1])
+        np.minimum(here[:, :-1], distance[:, 1:] + np.int16(1), out=here[:, :-1])
         distance = np.minimum.accumulate(here - lanes, axis=1) + lanes
-    return distance.min(axis=1), distance.argmin(axis=1)
+        if i % 8 == 7:
+            # The least distance never falls.
+            near = np.flatnonzero(distance.min(axis=1) <= most)
+            if len(near) < len(left):
+                left, distance, at, parts = left[near], distance[near], at[near], parts[near]
+    best[left], end[left] = np.minimum(distance.min(axis=1), most + 1), distance.argmin(axis=1)
+    return best, end
 
 
 def matches(documents: list[str], index: Index | None) -> list[list[dict]]:

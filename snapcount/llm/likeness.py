@@ -9,6 +9,7 @@ texts are linked if the likeness of their sets is ``LIKE`` or more; a group is w
 * Candidates: ``BANDS`` keys a text, each a block of ``ROWS`` bits of its own; texts of a key are compared bit-sliced (``simhash``)
   over ``WORDS`` words and are near within ``RADIUS`` bits, then those that reach each other again over ``MORE_WORDS`` words, within ``MORE_RADIUS`` bits. A pair of likeness 0.8 shares no key with a chance of at most
   ``(1 - (1 - FLIP) ** ROWS) ** BANDS``, one in 300,000, and lies beyond a radius with one in 75,000; a liker pair with less.
+  Texts of a key come by the size of their sets, and are compared only where sizes let sets be alike.
   Above ``RUN`` texts a key, blocks are longer and there are more of them, with the same chance (``key_shape``).
 * First round: texts of a key that reach each other within both radii share a meeting, and every text of a meeting
   is compared with its hub, the text that shares most meetings with others. So a large group of copies of one text makes a link a row.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -73,8 +75,11 @@ def shingles(text: str) -> np.ndarray:
     if len(words) <= WIDTH:
         return np.array([xxhash.xxh64_intdigest(whole, SEED)], dtype=np.uint64)
     begins = [0, *ends[: len(words) - WIDTH]]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(whole[s : e - 1], SEED) for s, e in zip(begins, ends[WIDTH - 1 :], strict=True)], dtype=np.uint64))
+    digest = xxhash.xxh64_digest
+    hashes = b"".join([digest(whole[s : e - 1], SEED) for s, e in zip(begins, ends[WIDTH - 1 :], strict=True)])
+    # Sorting is much faster than numpy's search for distinct values.
+    ordered = np.sort(np.frombuffer(hashes, dtype=">u8").astype(np.uint64))
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
 
 
 def key_shape(count: int) -> tuple[int, int]:
@@ -83,9 +88,14 @@ def key_shape(count: int) -> tuple[int, int]:
     return math.ceil(BANDS * (1 - FLIP) ** (ROWS - bits)), bits
 
 
+@lru_cache
+def salts_of(words: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 64, size=words, dtype=np.uint64)
+
+
 def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     """SimHash of a set of shingle hashes: the majority of each bit, in ``words`` words of 64 bits."""
-    salts = np.random.default_rng(SEED).integers(0, 1 << 64, size=words, dtype=np.uint64)
+    salts = salts_of(words)
     votes = np.zeros(64 * words, dtype=np.int64)
     for at in range(0, len(hashes), STEP):
         x = hashes[at : at + STEP, None] ^ salts
@@ -116,32 +126,39 @@ def id_text() -> Column:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, t, print): hash of the text and fingerprint of its shingles; no shuffle."""
+    """(doc_id, t, n, print): hash of the text, number of its shingles and their fingerprint; no shuffle."""
 
     def compute(batch: pa.RecordBatch) -> list:
         documents = texts(batch)
-        prints = [fingerprint(shingles(t), words).view(np.int64).tolist() for t in documents]
-        return [signed([text_hash(t) for t in documents]), prints]
+        sets = [shingles(t) for t in documents]
+        prints = [fingerprint(s, words).view(np.int64).tolist() for s in sets]
+        return [signed([text_hash(t) for t in documents]), [len(s) for s in sets], prints]
 
-    fields = [("t", T.LongType()), ("print", LONGS)]
-    return add_columns(docs.select("doc_id", "text"), fields, compute).select("doc_id", "t", "print")
+    fields = [("t", T.LongType()), ("n", T.LongType()), ("print", LONGS)]
+    return add_columns(docs.select("doc_id", "text"), fields, compute).select("doc_id", "t", "n", "print")
 
 
 def with_keys(batches: Iterator[pa.RecordBatch], keys: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k, t, words of the fingerprint) of each key of rows (t, print)."""
+    """Rows (k, n, t, words of the fingerprint) of each key of rows (t, n, print)."""
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH_ROWS):
-            t, prints = whole.slice(at, BATCH_ROWS).columns
+            t, n, prints = whole.slice(at, BATCH_ROWS).columns
             prints = prints.flatten().to_numpy().reshape(len(t), -1)
-            columns = [t.to_numpy(), *prints[:, :WORDS].T]
+            columns = [n.to_numpy(), t.to_numpy(), *prints[:, :WORDS].T]
             rows = [block_keys(prints, keys, bits).ravel(), *[np.repeat(c, keys) for c in columns]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["k", "t", *[f"w{i}" for i in range(WORDS)]])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["k", "n", "t", *[f"w{i}" for i in range(WORDS)]])
+
+
+def alike_upto(k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The end of the rows of its ``k`` that are small enough for each row; rows come sorted by ``k`` and ``n``."""
+    run = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])) << 40
+    return np.searchsorted(run + n, run + 5 * n // 4, "right")
 
 
 def near_in_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows (t, k, g) of texts that are within ``radius`` of another of their key; ``g`` is one of those that they reach."""
-    for k, t, *words in whole_runs(batches):
-        label = labels_of_runs(k, np.stack(words, axis=1).view(np.uint64), radius, LARGE_RUN)
+    for k, n, t, *words in whole_runs(batches):
+        label = labels_of_runs(k, np.stack(words, axis=1).view(np.uint64), radius, LARGE_RUN, alike_upto(k, n))
         near = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t[near], k[near], t[label[near]])], names=["t", "k", "g"])
 
@@ -149,16 +166,16 @@ def near_in_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
 def meetings(marked: DataFrame, keys: int, bits: int) -> DataFrame:
     """(t, k): texts that share a key and reach each other within the radii have one ``k``."""
     ship_package(marked.sparkSession)
-    once = cut(marked.groupBy("t").agg(F.first("print").alias("print")))
+    once = cut(marked.groupBy("t").agg(F.first("n").alias("n"), F.first("print").alias("print")))
     words = "".join(f", w{i} long" for i in range(WORDS))
-    keyed = once.mapInArrow(lambda batches: with_keys(batches, keys, bits), f"k long, t long{words}")
+    keyed = once.mapInArrow(lambda batches: with_keys(batches, keys, bits), f"k long, n long, t long{words}")
 
     def near(rows: DataFrame, radius: int) -> DataFrame:
-        runs = spread(rows, "k").sortWithinPartitions("k")
+        runs = spread(rows, "k").sortWithinPartitions("k", "n")
         return runs.mapInArrow(lambda batches: near_in_runs(batches, radius), "t long, k long, g long").select("t", F.xxhash64("k", "g").alias("k"))
 
-    more = once.select("t", *[F.col("print")[i].alias(f"w{i}") for i in range(MORE_WORDS)])
-    again = near(keyed, RADIUS).join(more, "t").select("k", "t", *more.columns[1:])
+    more = once.select("n", "t", *[F.col("print")[i].alias(f"w{i}") for i in range(MORE_WORDS)])
+    again = near(keyed, RADIUS).join(more, "t").select("k", *more.columns)
     return cut(near(again, MORE_RADIUS))
 
 
@@ -176,18 +193,21 @@ def alike() -> Column:
     return 9 * F.col("shared") >= 4 * (F.col("n") + F.col("on"))
 
 
-def compared(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (t, o) with the sizes of both sets (n, on), how many shingles they share, and those of t alone (``added``).
+def sets_of(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(t, s): the shingles of every text of ``pairs`` (t, o).
 
     ``ids`` (t, id) names one document of each text; each text that is needed is read once.
     """
-    pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("t", "o")).alias("__t")).distinct().join(ids.select(F.col("t").alias("__t"), "id"), "__t")
     held = with_hash(docs.select("doc_id", "text")).withColumn("id", id_text()).drop("doc_id")
     once = held.join(wanted, ["__t", "id"]).dropDuplicates(["__t"]).select("__t", "text")
     sets = add_columns(once, [("s", LONGS)], lambda batch: [[shingles(t).view(np.int64).tolist() for t in texts(batch)]])
-    sets = cut(sets.select("__t", "s"))
-    both = pairs.join(sets.toDF("t", "s"), "t").join(sets.toDF("o", "os"), "o")
+    return cut(sets.select(F.col("__t").alias("t"), "s"))
+
+
+def compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (t, o) with the sizes of both sets (n, on), how many shingles they share, and those of t alone (``added``)."""
+    both = pairs.join(sets, "t").join(sets.toDF("o", "os"), "o")
     return both.select(
         "t", "o", F.size("s").alias("n"), F.size("os").alias("on"),
         F.size(F.array_intersect("s", "os")).alias("shared"), F.array_except("s", "os").alias("added"),
@@ -255,14 +275,16 @@ def groups(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
     weight = shared.groupBy("t").agg(F.sum("c").alias("w"))
     shared = cut(shared.drop("c").join(weight, "t"))
     hub = cut(shared.groupBy("k").agg(F.max(F.struct("w", "t")).alias("h")).select("k", F.col("h.t").alias("o")))
-    met = shared.join(hub, "k").where("t <> o").select("t", "o").distinct()
-    met = cut(compared(docs, ids, met))
+    met = cut(shared.join(hub, "k").where("t <> o").select("t", "o").distinct())
+    sets = sets_of(docs, ids, met)
+    met = cut(compared(sets, met))
     links = met.where(alike()).select(F.col("t").alias("a"), F.col("o").alias("b"))
     itself = met.select("o", "on").distinct().select(
         F.col("o").alias("t"), "o", F.col("on").alias("n"), "on", F.col("on").alias("shared"), F.array().cast(LONGS).alias("added")
     )
     open_ = mixed(with_groups(met.union(itself), links), "o")
-    rest = cut(compared(docs, ids, untried(around_hubs(open_), met)))
+    # These are texts that met a hub, or hubs, so their sets are known.
+    rest = cut(compared(sets, cut(untried(around_hubs(open_), met))))
     return stars(links.union(rest.where(alike()).select(F.col("t").alias("a"), F.col("o").alias("b"))))
 
 

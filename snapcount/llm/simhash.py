@@ -10,7 +10,7 @@ other are linked; a group is what links reach.
   plane (one 64-bit word holds one bit of 64 rows). A row meets 64 others at once: one XOR a
   plane, and the distances are held in carry-save counters, bit by bit. After every eight
   planes, words of which every lane is beyond the radius are given up.
-* Large runs: a dense group is first taken out by a search from one row, in which found rows are
+* Large runs: a dense group, if one of eight rows is near a sixteenth of all, is first taken out by a search from that row, in which found rows are
   not compared again; what remains is compared in blocks. A run emits one link a row
   (a forest with the same reach), never all pairs.
 * Groups: the links are turned into stars by alternating large and small stars, each round
@@ -24,6 +24,7 @@ empty table; a null ``doc_id`` counts only where its whole group has none (null
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -42,8 +43,10 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 SHARED = 2
 # Rows with one key from which on a dense group is taken out by search first.
 LARGE_RUN = 512
-# (row, word) pairs that are compared at once; bounds the memory of a task.
+# (row, word) pairs that are compared at once, or links that are joined; bounds the memory of a task.
 PAIRS_AT_ONCE = 1 << 15
+# Tiles of 64 rows and a word that are compared at once; few, so that their counters stay in a core's cache.
+TILES_AT_ONCE = 256
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -160,24 +163,101 @@ def forest(size: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = N
     return label
 
 
+def added(total: np.ndarray, one: np.ndarray, other: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Add two planes to the plane ``total``, lane by lane; the carry takes the place of ``one``."""
+    np.bitwise_xor(total, one, out=held)
+    np.bitwise_and(total, one, out=one)
+    np.bitwise_xor(held, other, out=total)
+    np.bitwise_and(held, other, out=held)
+    return np.bitwise_or(one, held, out=one)
+
+
+def near_tiles(sliced: np.ndarray, queries: np.ndarray, row: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int):
+    """(row, word, lanes within ``radius``) of the pairs of a query row and a word that have any.
+
+    Pairs come as tiles, (tile, 64 rows) with one ``word`` each. Eight planes at a time are added up by a tree
+    of carry-save adders, in place; tiles become single pairs as soon as most pairs are beyond the radius.
+    """
+    bits = max(3, radius.bit_length())
+    low = int(row.min())
+    queries, near = np.ascontiguousarray(queries[low : int(row.max()) + 1].T), row - low
+    counters = [np.zeros(row.shape, dtype=np.uint64) for _ in range(bits)]
+    over = np.zeros(row.shape, dtype=np.uint64)
+    spare = [np.empty(row.shape, dtype=np.uint64) for _ in range(5)]
+    one = np.uint64(1)
+    # Few pairs of random rows are within the radius once half of the planes, less some deviations, are beyond it.
+    check = 2 * radius + 3 * math.isqrt(2 * radius)
+
+    def differing(k: int, out: np.ndarray) -> np.ndarray:
+        mask = np.uint64(0) - ((queries[k >> 6] >> np.uint64(k & 63)) & one)
+        if near.ndim == 2:
+            np.take(mask.reshape(-1, 64), near[:, 0] >> 6, axis=0, out=out, mode="clip")
+            return np.bitwise_xor(out, sliced[k][word][:, None], out=out)
+        np.take(mask, near, out=out, mode="clip")
+        return np.bitwise_xor(out, sliced[k][word], out=out)
+
+    for k in range(0, len(sliced), 8):
+        a, b, c, d, held = spare
+        for half, fours in ((k, c), (k + 4, d)):
+            # The carry of the first pair waits in ``fours``, where that of both is put.
+            added(counters[0], differing(half, fours), differing(half + 1, b), held)
+            added(counters[0], differing(half + 2, a), differing(half + 3, b), held)
+            added(counters[1], fours, a, held)
+        carry = added(counters[2], c, d, held)
+        for counter in counters[3:]:
+            np.bitwise_and(counter, carry, out=a)
+            np.bitwise_xor(counter, carry, out=counter)
+            a, carry = carry, a
+        over |= carry
+        if k + 8 < min(check, len(sliced)):
+            continue
+        beyond, equal = over.copy(), ~over
+        for place in range(bits - 1, -1, -1):
+            if radius >> place & 1:
+                equal &= counters[place]
+            else:
+                beyond |= equal & counters[place]
+                equal &= ~counters[place]
+        lanes = lanes & ~beyond
+        live = np.flatnonzero(lanes)
+        if len(live) < lanes.size // 2 or k + 8 >= len(sliced):
+            tile = live >> 6 if near.ndim == 2 else live
+            near, word, lanes = near.ravel()[live], word[tile], lanes.ravel()[live]
+            counters, over = [x.ravel()[live] for x in counters], over.ravel()[live]
+            spare = [np.empty(len(live), dtype=np.uint64) for _ in spare]
+        if not len(live):
+            break
+    return near + low, word, lanes
+
+
 def compare_runs(values: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> np.ndarray:
     """Labels that join rows of a run (``first`` to ``last``) at most ``radius`` bits apart."""
     sliced = planes(values)
-    label = np.arange(len(values))
-    rows = np.flatnonzero(last - np.arange(len(values)) > 1)
-    begin = (rows + 1) >> 6
-    count = ((last[rows] - 1) >> 6) - begin + 1
+    size, blocks = len(values), sliced.shape[1]
+    label = np.arange(size)
+    queries = np.zeros((64 * blocks, len(sliced) >> 6), dtype=np.uint64)
+    queries[:size] = values.reshape(size, -1)
+    ends = np.zeros(64 * blocks, dtype=np.int64)
+    ends[:size] = last
+    ends[ends - np.arange(64 * blocks) <= 1] = 0
+    # Each block of 64 rows meets the words from its own to the last one that any of its rows meets.
+    block = np.arange(blocks)
+    count = np.maximum((ends.reshape(-1, 64).max(axis=1) + 63 >> 6) - block, 0)
     done = np.concatenate([[0], np.cumsum(count)])
-    at = 0
-    while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS_AT_ONCE, "right")) - 1)
-        n = count[at:to]
-        row = np.repeat(rows[at:to], n)
-        word = np.repeat(begin[at:to], n) + np.arange(len(row)) - np.repeat(done[at:to] - done[at], n)
-        pair, mask = near_lanes(sliced, values[row], word, lanes_between(word, row + 1, last[row]), radius)
-        index, other = lane_rows(word[pair], mask)
-        label = forest(len(values), row[pair][index], other, label)
-        at = to
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    links = 0
+    for at in range(0, int(done[-1]), TILES_AT_ONCE):
+        tile = np.arange(at, min(at + TILES_AT_ONCE, int(done[-1])))
+        own = np.searchsorted(done, tile, "right") - 1
+        word = own + tile - done[own]
+        row = 64 * own[:, None] + np.arange(64)
+        row, word, mask = near_tiles(sliced, queries, row, word, lanes_between(word[:, None], row + 1, ends[row]), radius)
+        index, other = lane_rows(word, mask)
+        found.append((row[index], other))
+        links += len(other)
+        if links >= PAIRS_AT_ONCE or at + TILES_AT_ONCE >= done[-1]:
+            label = forest(size, *(np.concatenate(x) for x in zip(*found, strict=True)), label)
+            found, links = [], 0
     return label
 
 
@@ -207,35 +287,50 @@ def reach(values: np.ndarray, seed: int, radius: int) -> np.ndarray:
     return np.flatnonzero(found)
 
 
-def large_run(values: np.ndarray, radius: int) -> np.ndarray:
+def dense_seed(values: np.ndarray, radius: int) -> int | None:
+    """The row, of eight, that is near most others, if these are a sixteenth of all."""
+    sliced, seeds = planes(values), len(values) * np.arange(8) // 8
+    words = np.tile(np.arange(sliced.shape[1]), 8)
+    seed = np.repeat(seeds, sliced.shape[1])
+    pair, mask = near_lanes(sliced, values[seed], words, lanes_between(words, 0 * words, 0 * words + len(values)), radius)
+    degree = np.zeros(len(values), dtype=np.int64)
+    np.add.at(degree, seed[pair], np.bitwise_count(mask))
+    best = int(degree.argmax())
+    return best if degree[best] * 16 >= len(values) else None
+
+
+def large_run(values: np.ndarray, radius: int, upto: np.ndarray | None = None) -> np.ndarray:
     """As ``compare_runs`` for one large run: dense groups go first."""
     label = np.arange(len(values))
+    upto = np.full(len(values), len(values)) if upto is None else upto
     left = np.arange(len(values))
-    poor = 0
-    while len(left) > LARGE_RUN and poor < 8:
-        group = reach(values[left], (poor * len(left)) // 8, radius)
+    while len(left) > LARGE_RUN and (seed := dense_seed(values[left], radius)) is not None:
+        group = reach(values[left], seed, radius)
         label[left[group]] = left[group].min()
-        poor += len(group) * 16 < len(left)
         left = np.delete(left, group)
     if len(left):
-        rest = compare_runs(values[left], np.zeros(len(left), dtype=np.int64), np.full(len(left), len(left)), radius)
+        rest = compare_runs(values[left], np.zeros(len(left), dtype=np.int64), np.searchsorted(left, upto[left]), radius)
         label[left] = left[rest]
     return label
 
 
-def labels_of_runs(k: np.ndarray, values: np.ndarray, radius: int, large: int = LARGE_RUN) -> np.ndarray:
-    """Labels that join rows of one ``k`` (sorted) that reach each other by steps of at most ``radius`` bits."""
+def labels_of_runs(k: np.ndarray, values: np.ndarray, radius: int, large: int = LARGE_RUN, upto: np.ndarray | None = None) -> np.ndarray:
+    """Labels that join rows of one ``k`` (sorted) that reach each other by steps of at most ``radius`` bits.
+
+    A row need not be compared with the rows of its run from ``upto`` on; it ascends.
+    """
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(k)]]))
+    upto = np.repeat(starts + sizes, sizes) if upto is None else upto
     label = np.arange(len(k))
     big = sizes > large
     for s, n in zip(starts[big], sizes[big], strict=True):
-        label[s : s + n] = s + large_run(values[s : s + n], radius)
+        label[s : s + n] = s + large_run(values[s : s + n], radius, upto[s : s + n] - s)
     small = np.flatnonzero(np.repeat(~big & (sizes > 1), sizes))
     if len(small):
         size = sizes[~big & (sizes > 1)]
         begin = np.repeat(np.cumsum(size) - size, size)
-        label[small] = small[compare_runs(values[small], begin, begin + np.repeat(size, size), radius)]
+        label[small] = small[compare_runs(values[small], begin, np.searchsorted(small, upto[small]), radius)]
     return label
 
 

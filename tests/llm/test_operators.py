@@ -142,6 +142,35 @@ def test_fingerprints_of_several_words_against_all_pairs():
         assert ((label[:, None] == label[None]) == (expected[:, None] == expected[None])).all()
 
 
+def test_texts_of_a_key_are_compared_only_where_sizes_let_sets_be_alike(monkeypatch):
+    rng = np.random.default_rng(9)
+    n = (4 * 1.002 ** rng.integers(0, 3000, 4000)).astype(np.int64)
+    k = np.sort(rng.integers(0, 2, 4000))
+    n = np.concatenate([np.sort(n[k == 0]), np.sort(n[k == 1])])
+    inside = (k[:, None] == k[None]) & (5 * np.minimum(n[:, None], n[None]) >= 4 * np.maximum(n[:, None], n[None]))
+    assert likeness.alike_upto(k, n).tolist() == [int(np.flatnonzero(row).max()) + 1 for row in inside]
+    # One fingerprint, so whatever is compared is linked; two sets that can't be alike are linked by others between them only.
+    gap = np.where(n < 400, n, 100 * n)
+    tiles, whole = [], simhash.near_tiles
+    monkeypatch.setattr(simhash, "near_tiles", lambda *a: tiles.append(len(a[3])) or whole(*a))
+    words = [pa.array(np.full(4000, 7))] * likeness.WORDS
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (k, gap, np.arange(4000))] + words, names=list("knt012"))
+    found = pa.Table.from_batches(likeness.near_in_runs([batch], likeness.RADIUS))
+    t, g = found.column("t").to_numpy(), found.column("g").to_numpy()
+    assert len(t) == 4000 and len(set(g.tolist())) == 4 and ((gap[t] < 400) == (gap[g] < 400)).all()
+    assert 0 < sum(tiles) < 2 * 32**2 / 4
+
+
+def test_sets_of_shingles_are_read_once(spark, monkeypatch):
+    hub = prose(77, 160).split()
+    rows = [(i, " ".join([*hub[: 40 + 2 * i], f"edit{i}", *hub[42 + 2 * i : 155 - i % 7]]), None, None, None) for i in range(40)]
+    passes, reads = [], likeness.add_columns
+    monkeypatch.setattr(likeness, "add_columns", lambda *a: passes.append(a[1]) or reads(*a))
+    assert 0 < likeness.keep_one(spark.createDataFrame(rows, SCHEMA)).count() < 40
+    # Fingerprints, the hash of texts whose sets are wanted, these sets, and the hash of texts that are kept.
+    assert len(passes) == 4
+
+
 def test_pairs_of_likeness_meet_by_simhash(spark):
     rng = np.random.default_rng(6)
     keys, bits = likeness.key_shape(1000)
@@ -191,6 +220,23 @@ def test_runs_are_whole_over_batches():
         assert all(not a & b for i, a in enumerate(ends) for b in ends[:i])
 
 
+def test_items_that_share_q_grams_with_a_text_are_looked_for_at_seeds_only():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(600)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(20)) for i in range(400)]
+    index = decontam.build(items)
+    document = text(300) + " " + items[7][1] + " " + text(300)
+    hashed = decontam.grams(decontam.codes(decontam.plain(document)))
+    at, entry = decontam.entries(hashed, np.arange(len(hashed)), index)
+    known, slot = index.grams.slots(hashed)
+    every = int((index.grams.begins[slot + 1] - index.grams.begins[slot]).sum())
+    assert len(at) == len(entry) < every / 2
+    # All q-grams of an item that stands there are among them.
+    assert len(set(index.grams.of_place[entry][index.grams.of_item[entry] == 7])) == len(decontam.plain(items[7][1])) - decontam.Q + 1
+    assert [(m["item_id"], m["edits"]) for m in decontam.matches([document], index)[0] if not m["edits"]] == [(7, 0)]
+
+
 # -- 8 ----------------------------------------------------------------------------------
 
 
