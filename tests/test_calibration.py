@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from snapcount import schemas
 from snapcount.operators import calibration
+from workload import table_queries
 
 WEIGHTS = calibration.C.ALIGNMENT_WEIGHTS
 SCHEMA = "game_id string, play_number int, " + ", ".join(f"{n} {'string' if 'call' in n else 'int'}" for n in WEIGHTS)
@@ -95,3 +97,41 @@ def test_tiles_of_a_batch_are_computed_together_in_bounded_groups(monkeypatch):
             found.setdefault(some[t], []).append((10 * a, 10 * b))
     for g, m in enumerate(made):
         assert found.get(g, []) == full_table(m["i_rows"], m["j_rows"])
+
+
+def test_fields_are_compared_before_a_row_becomes_one_for_each(spark):
+    fields = [f.split() for f in schemas.LABELS.replace("\n", " ").split(",")]
+
+    def label(**values):
+        return tuple(values.get(name) for name, _ in fields)
+
+    labels = spark.createDataFrame(
+        [label(game_id="g", play_number=1, quarter=2, result=" No-Gain ", formation="...", distance_label="inches"),
+         label(game_id="g", play_number=2, down=3, result="Sack", offensive_play_call="HB dive")], schemas.LABELS,
+    )
+    names = [n for n in calibration.C.CALIBRATED_FIELDS if n != "game_clock_bucket"]
+    plays = spark.createDataFrame(
+        [("g", 5, "2:10", *({"quarter": "3", "result": "NOGAIN", "formation": "Gun"}.get(n) for n in names)),
+         ("g", 6, "2:10", *({"down": "3", "offensive_play_call": "Punt"}.get(n) for n in names))],
+        "game_id string, play_number int, game_clock string, " + ", ".join(f"{n} string" for n in names),
+    )
+    aligned = spark.createDataFrame([("g", 1, 5), ("g", 2, 6)], "game_id string, expected_number int, play_number int")
+    found = calibration.compare_fields(labels, plays, aligned)
+    assert {(r.play_number, r.observed_play_number, r.field, r.expected, r.observed, r.status) for r in found.collect()} == {
+        (1, 5, "quarter", "2", "3", "mismatch"), (1, 5, "result", " No-Gain ", "NOGAIN", "match"), (1, 5, "formation", "...", "Gun", "match"),
+        (1, 5, "distance", "0", None, "missing"), (2, 6, "down", "3", "3", "match"), (2, 6, "result", "Sack", None, "missing"),
+        (2, 6, "offensive_play_call", "HB dive", "Punt", "mismatch"),
+    }
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[0]
+    assert "regexp_replace" not in above
+
+
+def test_lines_are_numbered_once(spark, tmp_path, monkeypatch):
+    rows = [(o, n, 7 * o + n, 3 * o + n, 5.0 * n, "ANR"[n % 3], "FO"[o % 2]) for o in range(6) for n in range(1, 8)]
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    reads, numbered = [], table_queries._numbered
+    monkeypatch.setattr(table_queries, "_numbered", lambda *a: reads.append(a) or numbered(*a))
+    labels, observed, aligned = table_queries._aligned_rows(spark, str(tmp_path))
+    assert len(reads) == 1 and labels.count() == 42 and 0 < observed.count() < 42
+    assert {tuple(r) for r in aligned.select("game_id", "play_number").collect()} <= {tuple(r) for r in observed.select("game_id", "play_number").collect()}
